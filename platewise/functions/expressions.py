@@ -75,6 +75,11 @@ def seeded_order(seed: int, *parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[as_col(p).cast("string") for p in parts]))
 
 
+def seeded_number(seed: int, *parts: Column | str) -> Column:
+    """The leading 60 bits of ``seeded_order`` as a number."""
+    return F.conv(F.substring(seeded_order(seed, *parts), 1, 15), 16, 10).cast("bigint")
+
+
 def seeded_bucket(seed: int, buckets: Column | int, *parts: Column | str) -> Column:
     """Reproducible bucket number between 1 and ``buckets``."""
     head = F.conv(F.substring(seeded_order(seed, *parts), 1, 8), 16, 10).cast("bigint")

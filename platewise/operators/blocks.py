@@ -132,3 +132,30 @@ def ordinal_rank(df: DataFrame, keys: list[str], value: str, row_id: str, alias:
         .drop("__range", "__part", "__before")
     )
 
+
+
+def running_totals(df: DataFrame, keys: list[str], order: str, sums: list[str], following: str,
+                   ranges: int = 256, hot_rows: int = 20_000_000, probe: int | None = None) -> DataFrame:
+    """Running sums of ``sums`` by ``order`` per key, and the next order value.
+
+    Order values are distinct per key. Beyond ``hot_rows`` rows in one key, sums run
+    within value ranges and each range starts from the total of those before it.
+    """
+    if (largest_group(df, keys) if probe is None else probe) <= hot_rows:
+        w = Window.partitionBy(*keys).orderBy(order)
+        return df.withColumns({
+            **{f"run_{s}": F.sum(s).over(w) for s in sums}, following: F.lead(order).over(w)})
+    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, steps, F.lit(10 * ranges)).alias("__cuts"))
+    placed = df.join(cuts, keys).withColumn(
+        "__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
+    across = Window.partitionBy(*keys).orderBy("__range")
+    totals = placed.groupBy(*keys, "__range").agg(
+        *[F.sum(s).alias(f"__t_{s}") for s in sums], F.min(order).alias("__first"))
+    offsets = totals.select(*keys, "__range", F.lead("__first").over(across).alias("__next"), *[
+        (F.sum(f"__t_{s}").over(across) - F.col(f"__t_{s}")).alias(f"__o_{s}") for s in sums])
+    inside = Window.partitionBy(*keys, "__range").orderBy(order)
+    out = placed.join(offsets, [*keys, "__range"]).withColumns({
+        **{f"run_{s}": F.sum(s).over(inside) + F.col(f"__o_{s}") for s in sums},
+        following: F.coalesce(F.lead(order).over(inside), F.col("__next"))})
+    return out.drop("__range", "__next", *[f"__o_{s}" for s in sums])
