@@ -2,9 +2,11 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewise.operators.blocks import ordinal_rank
+
 SITE = ["source_id", "file", "method"]
 THRESHOLDS = (0.5, 0.7, 0.8, 0.9)
 
@@ -247,13 +249,13 @@ def threshold_ablation(wide: DataFrame, metric: str, codec: str = "codec",
 def extreme_samples(metrics: DataFrame, value: str = "iou", keys: list[str] | None = None) -> DataFrame:
     """Worst, median and best site by its mean value over methods.
 
-    Positions come from a count; only three rows are taken from the ordered list.
+    Only three positions of the ranking are kept; a large ranking is split by value.
     """
     keys = keys or ["source_id", "file"]
-    means = metrics.groupBy(*keys).agg(F.avg(value).alias("mean"))
-    order = Window.orderBy("mean", *keys)
+    means = metrics.groupBy(*keys).agg(F.avg(value).alias("mean")).withColumns(
+        {"__all": F.lit(0), "__ident": F.xxhash64(*keys)})
     n = means.count()
     wanted = {1: "worst", n // 2 + 1: "median", n: "best"}
-    place = means.withColumn("place", F.row_number().over(order)).filter(F.col("place").isin(list(wanted)))
+    placed = ordinal_rank(means, ["__all"], "mean", "__ident", "place", probe=n)
     label = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])[F.col("place")]
-    return place.withColumn("sample", label).drop("place")
+    return placed.filter(F.col("place").isin(list(wanted))).select(*keys, "mean", label.alias("sample"))
