@@ -7,7 +7,9 @@ from platewise import columns as C
 from platewise.catalog.inputs import STANDARD, normalized_sql, precision_sql, profiles
 from platewise.catalog.registry import register
 from platewise.operators.normalize import standardize
-from platewise.operators.retrieval import mean_average_precision, phenotypic_activity
+from platewise.operators.retrieval import (
+    activity_summary, mean_average_precision, phenotypic_activity, with_significance,
+)
 from platewise.session import cut_lineage
 
 PAIRS = """
@@ -45,3 +47,24 @@ def activity_map(spark, sf_dir):
         F.col(C.PERT).alias("pert"), F.col(C.GROUP).alias("grp"),
         F.round("mean_average_precision", 6).alias("map"),
         F.round("mean_normalized_average_precision", 6).alias("mean_nap"), "n_replicates")
+
+
+@register("activity_group_nap", f"""{ACTIVITY}, maps AS (
+  SELECT pert, grp, avg({NAP}) AS nap FROM ap WHERE ap IS NOT NULL GROUP BY pert, grp)
+SELECT grp, round(avg(nap), 6) AS mean_nap, round(median(nap), 6) AS median_nap,
+       round(avg(greatest(nap, 0)), 6) AS mean_nap_clipped, count(DISTINCT pert) AS n_units
+FROM maps GROUP BY grp""")
+def activity_group_nap(spark, sf_dir):
+    maps = mean_average_precision(activity(spark, sf_dir), [C.PERT, C.GROUP])
+    out = activity_summary(maps.withColumn("below_corrected_p", F.lit(True)), [C.GROUP], C.PERT)
+    return out.select(F.col(C.GROUP).alias("grp"), *[F.round(c, 6).alias(c) for c in (
+        "mean_nap", "median_nap", "mean_nap_clipped")], "n_units")
+
+
+@register("activity_summary")
+def activity_share(spark, sf_dir):
+    """Share of significant perturbations per group; the null draws are seeded, not SQL."""
+    ap = cut_lineage(activity(spark, sf_dir))
+    by = [C.PERT, C.GROUP]
+    maps = with_significance(mean_average_precision(ap, by), ap, by, null_size=10_000)
+    return activity_summary(maps, [C.GROUP], C.PERT)
