@@ -1,6 +1,6 @@
 """Registered queries over the given tables, with their SQL counterparts."""
 
-from platewise.catalog import activity, building, normalization  # noqa: F401
+from platewise.catalog import activity, building, curation, normalization, retrieval  # noqa: F401
 from platewise.catalog.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -198,11 +198,13 @@ def kept_rows(spark, names):
     return spark.createDataFrame([(n,) for n in names], "feature string")
 
 
-@register("numeric_features", """SELECT name FROM (VALUES ('l_orderkey'), ('l_partkey'), ('l_suppkey'), ('l_linenumber'),
-  ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) AS t(name) WHERE (SELECT count(*) FROM lineitem) > 0""")
+@register("numeric_features", "SELECT feature, round(sum(value), 2) AS total FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM lineitem" for c in (
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+        "l_tax")) + ") GROUP BY feature")
 def numeric_features(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem")
-    return df.select(F.explode(F.array(*[F.lit(n) for n in numeric_columns(df, df.columns)])).alias("name")).distinct()
+    p = pack(table(spark, sf_dir, "lineitem"))
+    return named(p, to_long(p.df, []).groupBy("pos").agg(F.round(F.sum("value"), 2).alias("total")))
 
 
 @register("invalid_share", f"""{LONG_WIDE} SELECT feature, round(count(*) FILTER (WHERE NOT {VALID}) / count(*), 6)
@@ -276,17 +278,25 @@ def drop_outliers(spark, sf_dir):
     return kept_rows(spark, S.drop_outliers(wide(spark, sf_dir), 20))
 
 
-@register("blocklist", "SELECT DISTINCT feature FROM (" + LONG_WIDE + """ SELECT feature FROM long
-WHERE feature NOT LIKE '%Location_Center%')""")
+def valid_counts(profiles: Profiles):
+    stats = to_long(profiles.df, []).groupBy("pos").agg(F.count_if(is_valid("value")).alias("n_valid"))
+    return named(profiles, stats)
+
+
+COUNTS = f"{LONG_WIDE} SELECT feature, count(*) FILTER (WHERE {VALID}) AS n_valid FROM long WHERE {{}} GROUP BY feature"
+
+
+@register("blocklist", COUNTS.format("feature NOT LIKE '%Location_Center%'"))
 def blocklist(spark, sf_dir):
-    return kept_rows(spark, S.blocklist(wide(spark, sf_dir)))
+    p = wide(spark, sf_dir)
+    return valid_counts(p.keep(S.blocklist(p)))
 
 
-@register("include_exclude", "SELECT DISTINCT feature FROM (" + LONG_WIDE + """ SELECT feature FROM long
-WHERE feature LIKE '%f_%' AND feature NOT LIKE '%quant%')""")
+@register("include_exclude", COUNTS.format("feature LIKE '%f_%' AND feature NOT LIKE '%quant%'"))
 def include_exclude(spark, sf_dir):
     p = wide(spark, sf_dir)
-    return kept_rows(spark, S.exclude_parts(p.keep(S.include_parts(p, ["f_"])), ["quant"]))
+    some = p.keep(S.include_parts(p, ["f_"]))
+    return valid_counts(some.keep(S.exclude_parts(some, ["quant"])))
 
 
 PLAIN = ["f_quantity", "f_price", "f_discount", "f_constant", "f_rare", "f_copy"]

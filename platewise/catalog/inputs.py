@@ -134,48 +134,51 @@ PERTURBATIONS = """
   SELECT 'C' || p_partkey AS Metadata_JCP2022,
          CASE WHEN p_partkey % 3 = 0 THEN 'orf' WHEN p_partkey % 3 = 1 THEN 'crispr' ELSE 'compound' END
            AS Metadata_Perturbation_Type,
-         CASE WHEN p_partkey % 3 < 2 AND p_partkey % 13 > 0 THEN 'G' || (p_partkey % 60) END AS Metadata_Symbol,
+         CASE WHEN p_partkey % 3 < 2 AND p_partkey % 13 > 0 THEN 'G' || (p_partkey % 600) END AS Metadata_Symbol,
          CASE WHEN p_partkey % 3 < 2 THEN NULL WHEN p_partkey % 5 = 0 THEN 'unknown'
-              ELSE 'G' || (p_partkey % 60) || '|G' || (p_size % 60) END AS Metadata_graph_target
+              ELSE 'G' || (p_partkey * 13 % 600) || '|G' || (p_size * 7 % 600) END AS Metadata_graph_target
   FROM {part}"""
 
 # Curated compound-gene evidence and gene pairs.
 CURATED = """
-  SELECT 'G' || (l_suppkey % 60) AS target,
+  SELECT 'G' || ((l_partkey * 13 + l_linenumber) % 600) AS target,
          CASE WHEN l_linenumber = 1 THEN 'inhibitor' WHEN l_linenumber = 2 THEN 'agonist'
               WHEN l_linenumber = 3 THEN 'binds' WHEN l_linenumber = 4 THEN 'enzyme' ELSE 'associates' END AS rel_type,
          'K' || (l_partkey % 700) || '-X' || l_linenumber AS inchikey
-  FROM {lineitem} WHERE l_orderkey % 3 = 0"""
+  FROM {lineitem}"""
 
 STRUCTURES = """
   SELECT DISTINCT 'K' || (p_partkey % 700) AS InChIKey_Connectivity, 'C' || p_partkey AS Metadata_JCP2022
   FROM {part} WHERE p_partkey % 3 = 2"""
 
 GENE_PAIRS = """
-  SELECT 'G' || (l_suppkey % 60) AS target_a, CASE WHEN l_orderkey % 29 = 0 THEN NULL ELSE 'G' || (l_partkey % 60) END
-           AS target_b, CASE WHEN l_linenumber % 2 = 0 THEN 'ppi' ELSE 'covaries' END AS rel_type
-  FROM {lineitem} WHERE l_orderkey % 7 = 0"""
+  SELECT 'G' || (l_suppkey * 6 % 600) AS target_a,
+         CASE WHEN l_orderkey % 29 = 0 THEN NULL ELSE 'G' || (l_partkey % 600) END AS target_b,
+         CASE WHEN l_linenumber % 2 = 0 THEN 'ppi' ELSE 'covaries' END AS rel_type
+  FROM {lineitem}"""
 
 PAIRS = """
   SELECT 'K' || (l_partkey % 700) || '-A' AS inchikey_a, 'K' || (l_suppkey * 7 % 700) || '-B' AS inchikey_b
-  FROM {lineitem} WHERE l_orderkey % 11 = 0"""
+  FROM {lineitem}"""
 
 EVIDENCE = """
-  SELECT 'C' || l_partkey AS Metadata_JCP2022, 'G' || (l_suppkey % 80) AS target,
+  SELECT 'C' || l_orderkey AS Metadata_JCP2022,
+         CASE WHEN l_linenumber = 1 THEN 'G' || l_orderkey ELSE 'G' || (l_partkey % 1000) END AS target,
          CASE WHEN l_returnflag = 'R' THEN 'protein' ELSE 'gene' END AS target_type,
-         CASE WHEN l_partkey % 3 = 0 THEN 'Positive' WHEN l_partkey % 3 = 1 THEN 'Negative' ELSE 'unspecified' END AS mode,
+         CASE WHEN l_orderkey % 3 = 0 THEN 'Positive' WHEN l_orderkey % 3 = 1 THEN 'Negative' ELSE 'unspecified' END AS mode,
          CAST(l_quantity AS INT) % 9 AS support
-  FROM {lineitem} WHERE l_partkey % 4 = 0 AND l_orderkey % 4 = 0"""
+  FROM {lineitem}"""
 
 # Sweep results: family, codec, config with two scores.
 RESULTS = """
   SELECT 'f' || (l_suppkey % 6) AS family,
          CASE WHEN l_linenumber % 4 = 0 THEN 'zstd' WHEN l_linenumber % 4 = 1 THEN 'hq'
               WHEN l_linenumber % 4 = 2 THEN 'mq' ELSE 'd20' END AS codec,
-         'cfg' || (l_partkey % 25) AS config, avg(l_quantity) AS PA, avg(l_tax) * 1000 AS PC,
+         CASE WHEN l_suppkey % 6 = 2 AND l_linenumber % 4 = 1 THEN 'own' || (l_partkey % 5)
+              ELSE 'cfg' || (l_partkey % 25) END AS config,
+         avg(l_quantity) AS PA, avg(l_tax) * 1000 AS PC,
          avg(l_quantity) / 50 - 0.4 AS PA_mean_nap, avg(l_tax) * 10 AS PC_mean_nap
-  FROM {lineitem} WHERE NOT (l_suppkey % 6 = 2 AND l_linenumber % 4 = 1 AND l_partkey % 25 < 20)
-  GROUP BY 1, 2, 3"""
+  FROM {lineitem} GROUP BY 1, 2, 3"""
 
 # Recall rows with NULL modality and group as meaningful values.
 RECALL = """

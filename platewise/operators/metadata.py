@@ -204,7 +204,7 @@ def sample_controls(wells: DataFrame, fraction: float, seed: int = 42, plate: st
     """
     if fraction >= 1.0:
         return wells
-    ident = ident or [C.SOURCE, C.PLATE, C.WELL]
+    ident = ident or [C.SOURCE, C.PLATE, C.WELL, C.PERT]
     sizes = wells.groupBy(plate).agg(
         F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(fraction))).alias("__keep"))
     keyed = wells.withColumn("__order", seeded_number(seed, *ident)).withColumn("__ident", F.xxhash64(*ident))
