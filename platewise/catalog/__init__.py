@@ -1,6 +1,8 @@
 """Registered queries over the given tables, with their SQL counterparts."""
 
-from platewise.catalog import activity, building, curation, normalization, retrieval  # noqa: F401
+from platewise.catalog import (  # noqa: F401
+    activity, agreement, building, curation, normalization, release, retrieval, sweeps,
+)
 from platewise.catalog.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

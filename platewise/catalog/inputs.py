@@ -16,7 +16,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias(C.ROW_ID),
         F.concat(F.lit("P"), F.col("label")).alias(C.PERT),
         F.concat(F.lit("plate"), F.col("vec_id") % 8).alias(C.PLATE),
-        F.concat(F.lit("W"), F.col("vec_id") % 24).alias(C.WELL),
+        F.concat(F.lit("W"), F.floor(F.col("vec_id") / 8) % 12).alias(C.WELL),
         F.concat(F.lit("group"), F.col("vec_id") % 2).alias(C.GROUP),
         (F.col("label") == 0).alias(C.NEGCON),
         F.col("embedding").cast("array<double>").alias(C.FEATURES),
@@ -26,7 +26,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROFILES = """
 profiles AS (
   SELECT vec_id AS row_id, 'P' || label AS pert, 'plate' || (vec_id % 8) AS plate,
-         'W' || (vec_id % 24) AS well, 'group' || (vec_id % 2) AS grp, label = 0 AS negcon,
+         'W' || (CAST(floor(vec_id / 8) AS BIGINT) % 12) AS well, 'group' || (vec_id % 2) AS grp, label = 0 AS negcon,
          CAST(embedding AS DOUBLE[]) AS features
   FROM embeddings
 ), cells AS (

@@ -221,10 +221,10 @@ def plate_effect_controls(spark, sf_dir):
 
 
 EDGES = """
-  SELECT DISTINCT 'C' || (l_partkey % 70) AS Metadata_JCP2022, 'C' || (l_suppkey % 70) AS partner_jcp,
+  SELECT DISTINCT 'C' || l_partkey AS Metadata_JCP2022, 'C' || l_suppkey AS partner_jcp,
          CASE WHEN l_linenumber % 3 = 0 THEN 'cc' WHEN l_linenumber % 3 = 1 THEN 'cg' ELSE 'gg' END AS source,
          CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_returnflag = 'A' THEN 'orf' ELSE 'crispr' END AS target_modality
-  FROM {lineitem} WHERE l_discount = 0.05 AND l_tax = 0.02 AND l_quantity > 35"""
+  FROM {lineitem}"""
 
 
 def recall_sql(base: str, positive: str, query: str, ref: str, by: str, pool: str = "true") -> str:

@@ -87,6 +87,15 @@ def seeded_bucket(seed: int, buckets: Column | int, *parts: Column | str) -> Col
     return F.pmod(head, count) + 1
 
 
+def safe_corr(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation of complete pairs; NULL when a side does not vary."""
+    a, b = as_col(x), as_col(y)
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(spread > 0, F.covar_pop(a, b) / spread)
+
+
 def unique_sorted(values: Column | str) -> Column:
     return F.array_sort(F.array_distinct(as_col(values)))
 

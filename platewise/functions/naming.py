@@ -175,15 +175,15 @@ def map_names(short: DataFrame, long: DataFrame, name: str = "feature") -> DataF
 
 def map_coverage(short: DataFrame, long: DataFrame, mapping: DataFrame, name: str = "feature") -> DataFrame:
     """Mapped and unmapped counts of both vocabularies, and names hit more than once."""
-    a, b = short.select(name).distinct(), long.select(name).distinct()
-    hit_a = mapping.select(name).distinct()
-    hit_b = mapping.select(F.col("mapped").alias(name)).distinct()
-    twice = mapping.groupBy("mapped").count().filter("count > 1")
-    count = lambda df, side, kind: df.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(side).alias("vocabulary"), F.lit(kind).alias("kind"), "n")
-    return reduce(DataFrame.unionByName, [
-        count(a.join(hit_a, name, "left_semi"), "short", "mapped"),
-        count(a.join(hit_a, name, "left_anti"), "short", "unmapped"),
-        count(b.join(hit_b, name, "left_semi"), "long", "mapped"),
-        count(b.join(hit_b, name, "left_anti"), "long", "unmapped"),
-        count(twice, "long", "ambiguous")])
+    hits = {
+        "short": (short, mapping.groupBy(F.col(name)).agg(F.count(F.lit(1)).alias("hits"))),
+        "long": (long, mapping.groupBy(F.col("mapped").alias(name)).agg(F.count(F.lit(1)).alias("hits"))),
+    }
+    parts = []
+    for side, (names, found) in hits.items():
+        kinds = ["mapped", "unmapped"] + (["ambiguous"] if side == "long" else [])
+        counts = names.select(name).distinct().join(found, name, "left").agg(
+            F.count("hits").alias("mapped"), F.count_if(F.col("hits").isNull()).alias("unmapped"),
+            F.count_if(F.col("hits") > 1).alias("ambiguous"))
+        parts.append(counts.select(F.lit(side).alias("vocabulary"), *kinds).unpivot(["vocabulary"], kinds, "kind", "n"))
+    return reduce(DataFrame.unionByName, parts)

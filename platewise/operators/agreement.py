@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise import columns as C
-from platewise.functions.expressions import average_rank, clean_number
+from platewise.functions.expressions import average_rank, clean_number, safe_corr
 from platewise.functions.naming import feature_group
 from platewise.operators.blocks import running_totals
 from platewise.operators.moments import global_moments
@@ -61,7 +61,7 @@ def pair_correlation(pairs: DataFrame, keys: list[str], a: str = "value_ref", b:
         F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_valid"),
         F.avg(x).alias("mean_ref"), F.avg(y).alias("mean_codec"),
         F.stddev_pop(x).alias("std_ref"), F.stddev_pop(y).alias("std_codec"),
-        F.covar_pop(x, y).alias("covariance"), F.corr(x, y).alias("__r")]
+        F.covar_pop(x, y).alias("covariance"), safe_corr(x, y).alias("__r")]
     if medians:
         out += [F.median(x).alias("median_ref"), F.median(y).alias("median_codec")]
     agg = both.groupBy(*keys).agg(*out)
@@ -142,7 +142,7 @@ def table_correlation(pairs: DataFrame, key: str, site: str = "site", feature: s
     whole = kept.groupBy(key, site).agg(F.count_if(~missing).alias("__have")).join(n_good, key).filter(
         F.col("__have") == F.col("__need")).select(key, site)
     return kept.join(whole, [key, site], "left_semi").groupBy(key, feature).agg(
-        F.corr("value_ref", "value_codec").alias("corr"), F.count(F.lit(1)).alias("size"))
+        safe_corr("value_ref", "value_codec").alias("corr"), F.count(F.lit(1)).alias("size"))
 
 
 # ---- replicate wells ---------------------------------------------------------------
@@ -194,7 +194,7 @@ def spearman(pairs: DataFrame, keys: list[str], a: str, b: str, least: int) -> D
     rows = pairs.filter(clean_number(a).isNotNull() & clean_number(b).isNotNull())
     ranked = rows.withColumn("__ra", average_rank(F.col(a), keys)).withColumn(
         "__rb", average_rank(F.col(b), keys))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("__ra", "__rb").alias("__r")).select(
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), safe_corr("__ra", "__rb").alias("__r")).select(
         *keys, "n", F.when(F.col("n") >= least, clean_number("__r")).alias("rho"))
 
 

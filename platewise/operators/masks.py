@@ -115,7 +115,7 @@ def instance_mapping(overlap: DataFrame, thresholds: tuple[float, ...] = THRESHO
     schema = ", ".join([f"`{c}` {types[c]}" for c in site] + [
         "thresh double", "gt_id bigint", "pred_id bigint", "iou_score double", "match_type string"])
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         gt, pred = table.column("gt_id").to_pylist(), table.column("pred_id").to_pylist()
         score = table.column("score").to_pylist()
         touching = [k for k in range(len(gt)) if gt[k] > 0 and pred[k] > 0]
@@ -213,7 +213,7 @@ def surface_distances(pixels: DataFrame, site: list[str] | None = None) -> DataF
             out[start:start + 512] = np.sqrt(((part[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)).min(axis=1)
         return out
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         points = np.column_stack([table.column(c).to_numpy() for c in ("y", "x")]).astype(float)
         flag = table.column("is_gt").to_numpy(zero_copy_only=False).astype(bool)
         gt, pred = points[flag], points[~flag]

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.functions.expressions import average_rank, clean_number, is_valid, null_safe_all
+from platewise.functions.expressions import average_rank, clean_number, is_valid, null_safe_all, safe_corr
 from platewise.functions.stats import correlation_p
 
 # Model families by the start of a model name, and codecs from best to worst.
@@ -301,7 +301,7 @@ def rank_stability(df: DataFrame, value: str, codecs: list[str], keys: list[str]
     cell = [*keys, "codec_1", "codec_2"]
     rows = codec_pairs(df.filter(is_valid(value)), value, codecs, keys)
     ranked = rows.withColumn("rx", average_rank(F.col("x"), cell)).withColumn("ry", average_rank(F.col("y"), cell))
-    out = ranked.groupBy(*cell).agg(F.corr("rx", "ry").alias("__r"), F.count(F.lit(1)).alias("n_models")).filter(
+    out = ranked.groupBy(*cell).agg(safe_corr("rx", "ry").alias("__r"), F.count(F.lit(1)).alias("n_models")).filter(
         F.col("n_models") >= least)
 
     @F.pandas_udf("double")
