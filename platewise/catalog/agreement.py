@@ -9,6 +9,7 @@ from platewise.operators import agreement as A
 from platewise.operators import images as I
 from platewise.operators import masks as M
 from platewise.operators.packed import Profiles
+from platewise.session import cut_lineage
 
 PR = with_clause(pairs=PAIRED) + """, ok AS (SELECT *, value_ref IS NOT NULL AND value_codec IS NOT NULL AND NOT isnan(value_ref) AND NOT isnan(value_codec) AS ok FROM pairs),
 st AS (SELECT codec, feature, count(*) AS n, count(*) FILTER (WHERE ok) AS n_valid, avg(value_ref) FILTER (WHERE ok) AS ma, avg(value_codec) FILTER (WHERE ok) AS mb,
@@ -191,9 +192,15 @@ FEATURE_NAMES = """
   WHEN 'nuclei_2/max/zernikeZernike_4_0' THEN 'Nuclei_AreaShape_Zernike_4_0' WHEN 'cell_0/max/sizeshapeCentralMoment_0_1' THEN 'Cells_AreaShape_CentralMoment_0_1' END AS mapped FROM n""")
 def feature_names(spark, sf_dir):
     df = derive(spark, sf_dir, FEATURE_NAMES)
-    parts = N.with_name_parts(df)
-    return parts.select("id", F.col("full_feature_name").alias("feature"), N.feature_subcategory("feature").alias("subcategory"),
-                        N.candidate_name("full_feature_name").alias("mapped"))
+    parts = N.with_name_parts(distinct_names(df)).select(
+        F.col("full_feature_name").alias("feature"), N.feature_subcategory("feature").alias("subcategory"),
+        N.candidate_name("full_feature_name").alias("mapped"))
+    return df.join(parts, "feature")
+
+
+def distinct_names(df):
+    """The few names of a table, written once so that name rules run on them only."""
+    return cut_lineage(df.select("feature").distinct())
 
 
 @register("map_coverage", with_clause(n=FEATURE_NAMES) + """, s AS (SELECT DISTINCT feature FROM n) SELECT 'short' AS vocabulary, 'mapped' AS kind, count(*) AS n FROM s
@@ -201,7 +208,7 @@ def feature_names(spark, sf_dir):
 UNION ALL SELECT 'short', 'unmapped', count(*) FROM s WHERE feature NOT IN ('cell_0/max/sizeshapeArea', 'nuclei_2/max/zernikeZernike_4_0')
 UNION ALL SELECT 'long', 'mapped', 2 UNION ALL SELECT 'long', 'unmapped', count(DISTINCT p_type) FROM part UNION ALL SELECT 'long', 'ambiguous', 0""")
 def map_coverage(spark, sf_dir):
-    short = derive(spark, sf_dir, FEATURE_NAMES).select("feature").distinct()
+    short = distinct_names(derive(spark, sf_dir, FEATURE_NAMES))
     known = short.select(N.candidate_name("feature").alias("feature")).filter(F.col("feature").startswith("Cells_AreaShape_Area")
                                                                              | F.col("feature").startswith("Nuclei_AreaShape"))
     long = table(spark, sf_dir, "part").select(F.col("p_type").alias("feature")).unionByName(known)

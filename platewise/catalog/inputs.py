@@ -117,7 +117,7 @@ PLATE = """
 
 COMPOUND = """
   SELECT 'C' || p_partkey AS Metadata_JCP2022, CASE WHEN p_partkey % 11 = 0 THEN NULL
-         ELSE 'K' || (p_partkey % 700) || '-S' || (p_partkey % 5) || '-N' END AS Metadata_InChIKey,
+         ELSE 'K' || CAST(floor(p_partkey / 3) AS BIGINT) || '-S' || (p_partkey % 5) || '-N' END AS Metadata_InChIKey,
          'I' || p_partkey AS Metadata_InChI
   FROM {part} WHERE p_partkey % 2 = 0"""
 
@@ -134,31 +134,32 @@ PERTURBATIONS = """
   SELECT 'C' || p_partkey AS Metadata_JCP2022,
          CASE WHEN p_partkey % 3 = 0 THEN 'orf' WHEN p_partkey % 3 = 1 THEN 'crispr' ELSE 'compound' END
            AS Metadata_Perturbation_Type,
-         CASE WHEN p_partkey % 3 < 2 AND p_partkey % 13 > 0 THEN 'G' || (p_partkey % 600) END AS Metadata_Symbol,
+         CASE WHEN p_partkey % 3 < 2 AND p_partkey % 13 > 0 THEN 'G' || CAST(floor(p_partkey / 3) AS BIGINT) END
+           AS Metadata_Symbol,
          CASE WHEN p_partkey % 3 < 2 THEN NULL WHEN p_partkey % 5 = 0 THEN 'unknown'
-              ELSE 'G' || (p_partkey * 13 % 600) || '|G' || (p_size * 7 % 600) END AS Metadata_graph_target
+              ELSE 'G' || CAST(floor(p_partkey / 6) AS BIGINT) || '|G' || p_size END AS Metadata_graph_target
   FROM {part}"""
 
 # Curated compound-gene evidence and gene pairs.
 CURATED = """
-  SELECT 'G' || ((l_partkey * 13 + l_linenumber) % 600) AS target,
+  SELECT 'G' || CAST(floor((l_partkey + l_linenumber * 2) / 9) AS BIGINT) AS target,
          CASE WHEN l_linenumber = 1 THEN 'inhibitor' WHEN l_linenumber = 2 THEN 'agonist'
               WHEN l_linenumber = 3 THEN 'binds' WHEN l_linenumber = 4 THEN 'enzyme' ELSE 'associates' END AS rel_type,
-         'K' || (l_partkey % 700) || '-X' || l_linenumber AS inchikey
+         'K' || l_partkey || '-X' || l_linenumber AS inchikey
   FROM {lineitem}"""
 
 STRUCTURES = """
-  SELECT DISTINCT 'K' || (p_partkey % 700) AS InChIKey_Connectivity, 'C' || p_partkey AS Metadata_JCP2022
+  SELECT DISTINCT 'K' || p_partkey AS InChIKey_Connectivity, 'C' || p_partkey AS Metadata_JCP2022
   FROM {part} WHERE p_partkey % 3 = 2"""
 
 GENE_PAIRS = """
-  SELECT 'G' || (l_suppkey * 6 % 600) AS target_a,
-         CASE WHEN l_orderkey % 29 = 0 THEN NULL ELSE 'G' || (l_partkey % 600) END AS target_b,
+  SELECT 'G' || l_suppkey AS target_a,
+         CASE WHEN l_orderkey % 29 = 0 THEN NULL ELSE 'G' || CAST(floor(l_partkey / 3) AS BIGINT) END AS target_b,
          CASE WHEN l_linenumber % 2 = 0 THEN 'ppi' ELSE 'covaries' END AS rel_type
   FROM {lineitem}"""
 
 PAIRS = """
-  SELECT 'K' || (l_partkey % 700) || '-A' AS inchikey_a, 'K' || (l_suppkey * 7 % 700) || '-B' AS inchikey_b
+  SELECT 'K' || l_partkey || '-A' AS inchikey_a, 'K' || l_suppkey || '-B' AS inchikey_b
   FROM {lineitem}"""
 
 EVIDENCE = """

@@ -112,12 +112,12 @@ def filter_by_green_list(df: DataFrame, green: DataFrame, full: str = "full_feat
     listed = green.select(
         F.col("object").alias("g_object"), F.when(channel != "", channel).alias("g_channel"), core.alias("g_core"))
     listed = listed.filter(~starts_with_any(F.col("g_core"), UNSTABLE)).distinct()
-    keyed = df.withColumns(core_parts(full))
+    keyed = df.select(full).distinct().withColumns(core_parts(full))
     exact = listed.filter("g_channel is not null").withColumn("__exact", F.lit(True))
     loose = listed.filter("g_channel is null").select("g_object", "g_core", F.lit(True).alias("__loose"))
     joined = keyed.join(exact, ["g_object", "g_channel", "g_core"], "left").join(
         loose, ["g_object", "g_core"], "left")
-    return joined.filter("__exact or __loose").select(*df.columns)
+    return df.join(joined.filter("__exact or __loose").select(full), full, "left_semi")
 
 
 def without_red_features(df: DataFrame, feature: str = "feature", pattern: str = RED_PATTERN,

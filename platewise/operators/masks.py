@@ -185,7 +185,7 @@ def boundary_pixels(pixels: DataFrame, label: str, site: list[str] | None = None
     Each pixel votes for its four neighbours; a pixel with four votes is interior.
     """
     site = site or SITE
-    inside = pixels.filter(F.col(label) > 0).select(*site, "y", "x")
+    inside = pixels.filter(F.col(label) > 0).select(*site, "y", "x").distinct()
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
                       for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))])
     votes = inside.withColumn("s", F.explode(steps)).select(

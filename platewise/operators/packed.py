@@ -43,15 +43,21 @@ class Profiles:
         return Profiles(df, self.names)
 
     def keep(self, names: list[str]) -> Profiles:
-        """Project to ``names`` in one pass, in their given order."""
+        """Project to ``names``, in their given order.
+
+        A subset in table order is a filter by position, which reads the array once; only
+        a reordering picks single elements.
+        """
         if names == self.names:
             return self
-        position = {n: i for i, n in enumerate(self.names)}
-        picks = F.array(*[F.lit(position[n]) for n in names]).cast("array<int>")
-        source = F.col(C.FEATURES)
-        return Profiles(
-            self.df.withColumn(C.FEATURES, F.transform(picks, lambda i: F.get(source, i))), names
-        )
+        wanted = set(names)
+        if names == [n for n in self.names if n in wanted]:
+            mask = F.array(*[F.lit(n in wanted) for n in self.names])
+            picked = F.filter(C.FEATURES, lambda x, i: F.get(mask, i))
+        else:
+            position = {n: i for i, n in enumerate(self.names)}
+            picked = F.array(*[F.get(F.col(C.FEATURES), F.lit(position[n])) for n in names])
+        return Profiles(self.df.withColumn(C.FEATURES, picked), names)
 
 
 def pack(df: DataFrame, prefix: str = C.META) -> Profiles:
