@@ -1,8 +1,11 @@
-"""Scalar distribution helpers for small result tables."""
+"""Distribution helpers used inside tasks and on small result tables."""
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+
+import numpy as np
 
 
 def beta_fraction(a: float, b: float, x: float) -> float:
@@ -43,3 +46,25 @@ def correlation_p(r: float | None, n: int) -> float | None:
         return 0.0
     t2 = r * r * (n - 2) / (1 - r * r)
     return beta_inc((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
+
+
+@lru_cache(maxsize=256)
+def null_draws(n_pos: int, n_total: int, size: int, seed: int) -> np.ndarray:
+    """Average precision of ``size`` random rankings; the same for the same arguments."""
+    rng = np.random.default_rng([seed, n_pos, n_total])
+    place = np.arange(1, n_pos + 1)
+    out = np.empty(size)
+    done = 0
+    sparse = n_pos * n_pos < n_total // 4
+    while done < size:
+        chunk = min(size - done, max(1, 2_000_000 // (n_pos if sparse else n_total)))
+        if sparse:
+            spots = np.sort(rng.integers(0, n_total, size=(chunk, n_pos)), axis=1)
+            spots = spots[(np.diff(spots, axis=1) > 0).all(axis=1)]
+        elif n_pos == n_total:
+            spots = np.tile(np.arange(n_total), (chunk, 1))
+        else:
+            spots = np.sort(np.argpartition(rng.random((chunk, n_total)), n_pos - 1, axis=1)[:, :n_pos], axis=1)
+        out[done:done + len(spots)] = (place / (spots + 1)).mean(axis=1)
+        done += len(spots)
+    return out

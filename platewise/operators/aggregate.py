@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise import columns as C
+from platewise.functions.arrow import list_column, matrix_of
 from platewise.functions.expressions import as_col
 from platewise.functions.keys import well_key_of_file
 from platewise.operators.blocks import exact_median, largest_group
-from platewise.operators.moments import list_column, matrix_of
 from platewise.operators.packed import from_long, to_long
 from platewise.operators.similarity import text_key
 

@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 
 from platewise import columns as C
 from platewise.functions import linalg
+from platewise.functions.arrow import list_column, matrix_of
 from platewise.functions.expressions import normal_quantile, row_norm
 from platewise.operators.blocks import exact_median, largest_group, ordinal_rank, with_block
-from platewise.operators.moments import (
-    Moments, global_moments, list_column, matrix_of, moment_table, pilot_of, read_moments,
-)
+from platewise.operators.moments import Moments, global_moments, moment_table, pilot_of, read_moments
 from platewise.operators.packed import from_long, to_long
 
 EPSILON = 1e-18

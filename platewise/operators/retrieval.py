@@ -1,14 +1,12 @@
 """Retrieval metrics: activity, consistency, batch effects and recall."""
 
-from functools import lru_cache
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise import columns as C
 from platewise.functions.expressions import seeded_bucket
+from platewise.functions.stats import null_draws
 from platewise.operators.aggregate import group_medians
 from platewise.operators.similarity import (
     CELL_ROWS, PairRule, anchor_sims, average_precision, edge_anchors, partner_counts,
@@ -61,28 +59,6 @@ def mean_average_precision(ap: DataFrame, by: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n_replicates"))
 
 
-@lru_cache(maxsize=256)
-def null_draws(n_pos: int, n_total: int, size: int, seed: int) -> np.ndarray:
-    """Average precision of ``size`` random rankings; the same for the same arguments."""
-    rng = np.random.default_rng([seed, n_pos, n_total])
-    place = np.arange(1, n_pos + 1)
-    out = np.empty(size)
-    done = 0
-    sparse = n_pos * n_pos < n_total // 4
-    while done < size:
-        chunk = min(size - done, max(1, 2_000_000 // (n_pos if sparse else n_total)))
-        if sparse:
-            spots = np.sort(rng.integers(0, n_total, size=(chunk, n_pos)), axis=1)
-            spots = spots[(np.diff(spots, axis=1) > 0).all(axis=1)]
-        elif n_pos == n_total:
-            spots = np.tile(np.arange(n_total), (chunk, 1))
-        else:
-            spots = np.sort(np.argpartition(rng.random((chunk, n_total)), n_pos - 1, axis=1)[:, :n_pos], axis=1)
-        out[done:done + len(spots)] = (place / (spots + 1)).mean(axis=1)
-        done += len(spots)
-    return out
-
-
 def with_significance(maps: DataFrame, ap: DataFrame, by: list[str], null_size: int = 10_000,
                       threshold: float = 0.05, seed: int = 0, within: list[str] | None = None) -> DataFrame:
     """Permutation p values with Benjamini-Hochberg correction.
@@ -192,7 +168,8 @@ def phenotypic_consistency(profiles: DataFrame, scope: list[str], row_id: str =
                            max_targets: int | None = 50, keep_unknown: bool = False,
                            metric: str = "cosine", cell_rows: int = CELL_ROWS) -> DataFrame:
     """AP per (consensus profile, target): positives share the target, negatives none."""
-    rows = filter_targets(profiles, row_id, targets, compound, scope, min_compounds, max_targets, keep_unknown)
+    rows = cut_lineage(filter_targets(
+        profiles, row_id, targets, compound, scope, min_compounds, max_targets, keep_unknown))
     known = ~F.array_contains(targets, C.UNKNOWN)
     pos = PairRule(same=scope, shared=targets, query=known, ref=known)
     neg = PairRule(same=scope, disjoint=targets, query=known)

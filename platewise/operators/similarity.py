@@ -19,12 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise import columns as C
-from platewise.operators.moments import matrix_of
+from platewise.functions.cells import DIGITS, Cell, count_above, precision_of
 from platewise.session import cut_lineage
 
-DIGITS = 10
 CELL_ROWS = 4096
-STEP = 1024
 
 
 @dataclass(frozen=True)
@@ -64,12 +62,19 @@ def side(df: DataFrame, rule: PairRule, row_id: str, keep: Column | None, extra:
     return rows.select(text_key(rule.same).alias("pool"), F.lit(None).cast("string").alias("lab"), *cols)
 
 
-def into_cells(queries: DataFrame, refs: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Assign both sides to cells; a pool pair meets in exactly one cell per row pair."""
+def into_cells(queries: DataFrame, refs: DataFrame, cell_rows: int,
+               bound: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Assign both sides to cells; a pool pair meets in exactly one cell per row pair.
+
+    Pool sizes of both sides come from one aggregation. ``bound`` may name a cheaper table
+    with at least the queries' pools, to size them from.
+    """
     spark = queries.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = queries.groupBy("pool").agg(F.count(F.lit(1)).alias("q")).join(
-        refs.groupBy("pool").agg(F.count(F.lit(1)).alias("r")), "pool")
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    both = (queries if bound is None else bound).select("pool", one.alias("q"), none.alias("r")).unionByName(
+        refs.select("pool", none.alias("q"), one.alias("r")))
+    counted = both.groupBy("pool").agg(F.sum("q").alias("q"), F.sum("r").alias("r")).filter("q > 0 and r > 0")
     grid = counted.select(
         "pool", F.ceil(F.col("q") / cell_rows).cast("int").alias("gq"),
         F.ceil(F.col("r") / cell_rows).cast("int").alias("gr"))
@@ -87,77 +92,6 @@ def into_cells(queries: DataFrame, refs: DataFrame, cell_rows: int) -> tuple[Dat
     return left, right.select(*[F.col(c).alias(c) for c in right.columns])
 
 
-def codes_of(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Shared integer codes of two text columns; NULL equals NULL."""
-    both = pa.chunked_array([*left.chunks, *right.chunks], pa.string()).combine_chunks()
-    both = both.fill_null("\u0002").dictionary_encode()
-    if isinstance(both, pa.ChunkedArray):
-        both = both.combine_chunks()
-    codes = both.indices.to_numpy(zero_copy_only=False)
-    return codes[: len(left)], codes[len(left):]
-
-
-def prepared(matrix: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "euclidean":
-        return matrix
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(norm == 0, 1.0, norm)
-
-
-def similarities(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
-    """Similarity block, rounded so that equal pairs agree between differently cut blocks.
-
-    ``anticosine`` ranks the least similar first.
-    """
-    if metric == "euclidean":
-        square = np.zeros((len(q), len(r)))
-        for j in range(q.shape[1]):
-            square += (q[:, j][:, None] - r[:, j][None, :]) ** 2
-        return np.round(1.0 / (1.0 + np.sqrt(square)), DIGITS)
-    return np.round(q @ r.T if metric == "cosine" else -(q @ r.T), DIGITS)
-
-
-class Cell:
-    """Both sides of one cell, walked pool by pool in bounded steps."""
-
-    def __init__(self, left: pa.Table, right: pa.Table, differ: int, disjoint: bool, metric: str):
-        self.left, self.right = left, right
-        self.metric, self.disjoint = metric, disjoint
-        self.q = prepared(matrix_of(left.column("features")), metric)
-        self.r = prepared(matrix_of(right.column("features")), metric)
-        self.q_id, self.r_id = codes_of(left.column("id"), right.column("id"))
-        self.q_pool, self.r_pool = codes_of(left.column("pool"), right.column("pool"))
-        self.codes = [codes_of(left.column(f"d{i}"), right.column(f"d{i}")) for i in range(differ)]
-        self.q_labels = left.column("labels").to_pylist() if disjoint else None
-        self.r_labels = right.column("labels").to_pylist() if disjoint else None
-
-    def steps(self):
-        """(query rows, reference rows, similarities, allowed) per pool and step."""
-        order_q, order_r = np.argsort(self.q_pool, kind="stable"), np.argsort(self.r_pool, kind="stable")
-        pools = np.intersect1d(self.q_pool, self.r_pool)
-        sorted_q, sorted_r = self.q_pool[order_q], self.r_pool[order_r]
-        for pool in pools:
-            qs = order_q[np.searchsorted(sorted_q, pool, "left"):np.searchsorted(sorted_q, pool, "right")]
-            rs = order_r[np.searchsorted(sorted_r, pool, "left"):np.searchsorted(sorted_r, pool, "right")]
-            for start in range(0, len(qs), STEP):
-                part = qs[start:start + STEP]
-                allowed = self.q_id[part][:, None] != self.r_id[rs][None, :]
-                for mine, theirs in self.codes:
-                    allowed &= mine[part][:, None] != theirs[rs][None, :]
-                if self.disjoint:
-                    self.clear_shared(allowed, part, rs)
-                yield part, rs, similarities(self.q[part], self.r[rs], self.metric), allowed
-
-    def clear_shared(self, allowed, part, rs):
-        holders = {}
-        for j, r in enumerate(rs):
-            for label in self.r_labels[r] or []:
-                holders.setdefault(label, []).append(j)
-        for i, q in enumerate(part):
-            for label in self.q_labels[q] or []:
-                allowed[i, holders.get(label, [])] = False
-
-
 def anchor_sims(df: DataFrame, row_id: str, rule: PairRule, metric: str = "cosine",
                 cell_rows: int = CELL_ROWS) -> DataFrame:
     """``id, anchors array<struct<lab, ref, sim>>`` for queries with at least one partner."""
@@ -191,19 +125,6 @@ def anchor_sims(df: DataFrame, row_id: str, rule: PairRule, metric: str = "cosin
     return found.groupBy("id").agg(F.flatten(F.collect_list(zipped)).alias("anchors"))
 
 
-def count_above(sims, values, ids, anchor_sim, anchor_ref, mode):
-    """How many of ``sims`` rank above each anchor, by the tie rule of ``mode``."""
-    ordered = np.sort(sims)
-    if mode == "positives":
-        return len(sims) - np.searchsorted(ordered, anchor_sim, "left")
-    above = len(sims) - np.searchsorted(ordered, anchor_sim, "right")
-    if mode == "by_id":
-        equal = np.searchsorted(ordered, anchor_sim, "right") - np.searchsorted(ordered, anchor_sim, "left")
-        for j in np.nonzero(equal)[0]:
-            above[j] += sum(ids[t] < anchor_ref[j] for t in np.nonzero(values == anchor_sim[j])[0])
-    return above
-
-
 def partner_counts(df: DataFrame, row_id: str, rule: PairRule, anchors: DataFrame, mode: str,
                    metric: str = "cosine", cell_rows: int = CELL_ROWS) -> DataFrame:
     """``id, counts, total``: partners under ``rule`` above each anchor, and in all.
@@ -214,7 +135,8 @@ def partner_counts(df: DataFrame, row_id: str, rule: PairRule, anchors: DataFram
     carried = df.join(anchors.withColumnRenamed("id", "__id"),
                       F.col(row_id).cast("string") == F.col("__id")).drop("__id")
     queries, refs = into_cells(side(carried, rule, row_id, rule.query, ["anchors"]),
-                               side(df, rule, row_id, rule.ref, []), cell_rows)
+                               side(df, rule, row_id, rule.ref, []), cell_rows,
+                               side(df, rule, row_id, rule.query, []))
     differ, disjoint = len(rule.differ), rule.disjoint is not None
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -253,20 +175,6 @@ def partner_counts(df: DataFrame, row_id: str, rule: PairRule, anchors: DataFram
     return found.groupBy("id").agg(summed.alias("counts"), F.sum("total").alias("total"))
 
 
-def precision_of(sims, counts, anchor: str, total: int) -> tuple[int, int, float | None]:
-    """(positives, negatives, average precision) from anchors and counts."""
-    order = np.argsort(-sims, kind="stable")
-    sims, counts = sims[order], counts[order]
-    if anchor == "pos":
-        n_pos, n_neg = len(sims), total
-        place = np.arange(1, n_pos + 1)
-        return n_pos, n_neg, float(np.mean(place / (place + counts))) if n_pos and n_neg else None
-    n_pos, n_neg = total, len(sims)
-    place = np.arange(1, n_pos + 1)
-    ahead = np.searchsorted(counts, place, "left")
-    return n_pos, n_neg, float(np.mean(place / (place + ahead))) if n_pos and n_neg else None
-
-
 def average_precision(df: DataFrame, row_id: str, pos: PairRule, neg: PairRule, anchor: str = "pos",
                       metric: str = "cosine", cell_rows: int = CELL_ROWS) -> DataFrame:
     """Average precision of each query over its ranked positives and negatives.
