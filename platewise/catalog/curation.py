@@ -288,6 +288,20 @@ def registry_union(spark, sf_dir):
     return M.registry_union(r["compound"], r["crispr"], r["orf"]).withColumnRenamed(C.PERT, "pert")
 
 
+@register("sample_keys", """SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders)
+ORDER BY md5('3|' || o_custkey), o_custkey LIMIT 25""")
+def sample_keys(spark, sf_dir):
+    return M.sample_keys(table(spark, sf_dir, "orders"), "o_custkey", 25, 3)
+
+
+@register("rows_of_sites", """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem SEMI JOIN (
+  SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderstatus = 'F') o USING (l_orderkey)""")
+def rows_of_sites(spark, sf_dir):
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return M.rows_of_sites(table(spark, sf_dir, "lineitem"), done, ["l_orderkey"]).select(
+        "l_orderkey", "l_linenumber", "l_quantity")
+
+
 # ---- annotation graph --------------------------------------------------------------
 
 

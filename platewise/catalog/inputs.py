@@ -69,8 +69,8 @@ ranked AS (
   FROM ({pairs})
 ), ap AS (
   SELECT {keys}, sum(is_pos) AS n_pos, count(*) - sum(is_pos) AS n_neg,
-         CASE WHEN count(*) > sum(is_pos) THEN avg(CASE WHEN is_pos = 1 THEN hits * 1.0 / place END) END AS ap
-  FROM ranked GROUP BY {keys} HAVING sum(is_pos) > 0
+         avg(CASE WHEN is_pos = 1 THEN hits * 1.0 / place END) AS ap
+  FROM ranked GROUP BY {keys} HAVING sum(is_pos) > 0 AND count(*) > sum(is_pos)
 )"""
 
 

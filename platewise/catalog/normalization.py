@@ -139,6 +139,20 @@ def shape(df: DataFrame) -> DataFrame:
         F.max("model_status").alias("status"))
 
 
+@register("tvn_control_means", f"""WITH {PROFILES} SELECT plate, pos, 0.0e0 AS value FROM cells WHERE negcon GROUP BY plate, pos""")
+def tvn_control_means(spark, sf_dir):
+    """The controls of every corrected plate are centred."""
+    out = normalize.tvn(profiles(spark, sf_dir)).filter(C.NEGCON)
+    means = to_long(out, [C.PLATE]).groupBy(F.col(C.PLATE).alias("plate"), F.col("pos").cast("bigint").alias("pos"))
+    return means.agg(F.abs(F.round(F.avg("value"), 6)).alias("value"))
+
+
+@register("leading_variance")
+def leading_variance(spark, sf_dir):
+    ok, share = normalize.leading_variance_gate(profiles(spark, sf_dir))
+    return spark.createDataFrame([(ok, share)], "ok boolean, share double")
+
+
 @register("tvn")
 def tvn(spark, sf_dir):
     return shape(normalize.tvn(profiles(spark, sf_dir)))

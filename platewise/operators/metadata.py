@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise import columns as C
-from platewise.functions.expressions import seeded_number
+from platewise.functions.expressions import seeded_number, seeded_order
 from platewise.operators.blocks import ordinal_rank
 
 # Control perturbations per modality, and the pooled source groups.
@@ -342,3 +342,14 @@ def nested_subsample(df: DataFrame, sizes: list[int], seeds: list[int], key: str
     plates = treated.select("seed", "n", plate).distinct()
     controls = df.filter(negcon).join(plates, plate)
     return treated.unionByName(controls)
+
+
+def sample_keys(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """A reproducible sample of ``n`` distinct keys: the first by a hash order."""
+    return df.select(key).distinct().orderBy(seeded_order(seed, key), key).limit(n)
+
+
+def rows_of_sites(rows: DataFrame, sites: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Rows whose site occurs in another table."""
+    keys = keys or ["source_id", "file"]
+    return rows.join(sites.select(*keys).distinct(), keys, "left_semi")

@@ -52,19 +52,21 @@ def scale_by(df: DataFrame, model: DataFrame, batch_col: str | None) -> DataFram
 
 
 def standard_model(df: DataFrame, batch_col: str | None, control: str | None) -> DataFrame:
-    """``grp, center, scale``: mean and population deviation, in one aggregation."""
-    keyed = df.select(
-        batch_key(batch_col).alias("grp"), array_to_vector(C.FEATURES).alias("v"),
-        (F.lit(1.0) if control is None else F.coalesce(F.col(control).cast("double"), F.lit(0.0))).alias("w"))
-    parts = Summarizer.metrics("mean", "variance", "count")
-    agg = keyed.groupBy("grp").agg(
-        F.sum("w").alias("fitted"), parts.summary(F.col("v"), F.col("w")).alias("c"),
-        parts.summary(F.col("v")).alias("a"))
-    best = F.when(F.col("fitted") > 0, F.col("c")).otherwise(F.col("a"))
-    n = best["count"].cast("double")
-    return agg.select(
-        "grp", vector_to_array(best["mean"]).alias("center"),
-        F.transform(vector_to_array(best["variance"]), lambda v: F.sqrt(v * (n - 1) / n)).alias("scale"))
+    """``grp, center, scale``: mean and population deviation, in one aggregation.
+
+    Controls and other rows are summarised apart; a batch without controls has only the
+    other rows, which then are the whole batch.
+    """
+    fit = F.lit(True) if control is None else F.coalesce(F.col(control), F.lit(False))
+    keyed = df.select(batch_key(batch_col).alias("grp"), fit.alias("fit"), array_to_vector(C.FEATURES).alias("v"))
+    stats = keyed.groupBy("grp", "fit").agg(
+        Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s"))
+    n = F.col("s.count").cast("double")
+    each = stats.select(
+        "grp", "fit", vector_to_array(F.col("s.mean")).alias("center"),
+        F.transform(vector_to_array(F.col("s.variance")), lambda v: F.sqrt(v * (n - 1) / n)).alias("scale"))
+    best = F.max_by(F.struct("center", "scale"), "fit")
+    return each.groupBy("grp").agg(best.alias("m")).select("grp", "m.center", "m.scale")
 
 
 def standardize(df: DataFrame, batch_col: str | None = C.PLATE, control: str | None = C.NEGCON) -> DataFrame:

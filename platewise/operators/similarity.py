@@ -180,7 +180,7 @@ def average_precision(df: DataFrame, row_id: str, pos: PairRule, neg: PairRule,
     """Average precision of each query over its ranked positives and negatives.
 
     ``anchor`` names the rule expected to give fewer partners per query. Ties rank
-    positives first. Queries without positives or without negatives get NULL.
+    positives first. Queries lacking either kind have no precision and are left out.
     Returns ``id, lab, n_pos, n_neg, average_precision``.
     """
     first, second = (pos, neg) if anchor == "pos" else (neg, pos)
@@ -210,8 +210,9 @@ def average_precision(df: DataFrame, row_id: str, pos: PairRule, neg: PairRule,
                  pa.array(out["ap"], pa.float64())],
                 ["id", "lab", "n_pos", "n_neg", "average_precision"])
 
-    return both.mapInArrow(
+    scored = both.mapInArrow(
         finish, "id string, lab string, n_pos bigint, n_neg bigint, average_precision double")
+    return scored.filter("average_precision is not null")
 
 
 def edge_anchors(df: DataFrame, row_id: str, edges: DataFrame, query: Column | None = None,
