@@ -30,7 +30,9 @@ def site_key(*parts: Column | str) -> Column:
 
 def file_stem(path: Column | str) -> Column:
     """File name without folder and without its last suffix."""
-    return F.regexp_extract(as_col(path), r"([^/]+?)(\.[^./]+)?$", 1)
+    name = F.substring_index(as_col(path), "/", -1)
+    dot = F.length(name) - F.length(F.substring_index(name, ".", -1)) - 1
+    return F.when(dot > 0, F.substring(name, F.lit(1), dot)).otherwise(name)
 
 
 def well_key_of_file(path: Column | str) -> Column:

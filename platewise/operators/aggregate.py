@@ -33,17 +33,24 @@ def pivot_cells(df: DataFrame, keys: list[str], name: Column | str, names: list[
     return df.withColumn("__name", as_col(name)).groupBy(*keys).pivot("__name", names).agg(value)
 
 
+def median_profiles(df: DataFrame, keys: list[str], name: Column, names: list[str], value: str) -> DataFrame:
+    """Exact median per (key, feature), pivoted; a feature holding most rows is ranged."""
+    named = df.select(*keys, name.alias("__name"), value)
+    medians = exact_median(named, [*keys, "__name"], value)
+    return medians.groupBy(*keys).pivot("__name", names).agg(F.first("median"))
+
+
 def embedding_profiles(df: DataFrame, names: list[str], key: str = "Metadata_id", branch: str = "branch",
                        metric: str = "metric", value: str = "value") -> DataFrame:
-    """Median per (well, branch and metric), pivoted to one column per feature."""
-    return pivot_cells(df, [key], F.concat(F.col(branch), F.col(metric)), names, F.median(value))
+    """Median per (well, branch and metric), one column per feature."""
+    return median_profiles(df, [key], F.concat(F.col(branch), F.col(metric)), names, value)
 
 
 def object_profiles(df: DataFrame, names: list[str], key: str = "Metadata_id", obj: str = "object",
                     branch: str = "branch", metric: str = "metric", value: str = "value") -> DataFrame:
     """Median per (well, object, branch, metric), named ``object_branch_metric``."""
     full = F.concat_ws("_", F.col(obj), F.concat(F.col(branch), F.col(metric)))
-    return pivot_cells(df, [key], full, names, F.median(value))
+    return median_profiles(df, [key], full, names, value)
 
 
 def site_means(df: DataFrame, names: list[str], key: list[str], name: Column | str,
@@ -60,8 +67,10 @@ def packed_profiles(df: DataFrame, key: list[str], name: Column | str, names: li
     known = {n: i for i, n in enumerate(names)}
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     placed = df.withColumn("pos", lookup[as_col(name)]).filter(F.col("pos").isNotNull())
-    agg = F.median(value) if method == "median" else F.avg(value)
-    cells = placed.groupBy(*key, "pos").agg(agg.alias("cell"))
+    if method == "median":
+        cells = exact_median(placed, [*key, "pos"], value, "cell")
+    else:
+        cells = placed.groupBy(*key, "pos").agg(F.avg(value).alias("cell"))
     held = F.map_from_entries(F.collect_list(F.struct("pos", "cell")))
     slots = F.array(*[F.lit(i) for i in range(len(names))])
     return cells.groupBy(*key).agg(held.alias("__m")).select(
@@ -106,13 +115,14 @@ def group_medians(df: DataFrame, keys: list[str], in_memory: bool | None = None)
     the medians. Beyond that the long form is used, whose hot groups are ranged.
     """
     packed = df.select(*keys, C.FEATURES)
+    biggest = None
     if in_memory is None:
         first = df.select(F.size(C.FEATURES)).first()
         biggest = largest_group(df, keys)
         in_memory = first is None or biggest * max(first[0], 1) * 8 <= TASK_BYTES
     if not in_memory:
         long = to_long(packed, keys)
-        return from_long(exact_median(long, [*keys, "pos"]), keys, "median")
+        return from_long(exact_median(long, [*keys, "pos"], probe=biggest), keys, "median")
     buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = packed.withColumn("__pool", text_key(keys)).withColumn(
         "__bucket", F.pmod(F.xxhash64("__pool"), F.lit(buckets)))

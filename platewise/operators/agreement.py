@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from platewise import columns as C
 from platewise.functions.expressions import average_rank, clean_number, safe_corr
 from platewise.functions.naming import feature_group
-from platewise.operators.blocks import running_totals
+from platewise.operators.blocks import exact_median, largest_group, running_totals
 from platewise.operators.moments import global_moments
 from platewise.operators.packed import Profiles
+from platewise.session import cut_lineage
 
 
 def cell_features(long: DataFrame, object_type: str = "cell") -> DataFrame:
@@ -62,9 +63,12 @@ def pair_correlation(pairs: DataFrame, keys: list[str], a: str = "value_ref", b:
         F.avg(x).alias("mean_ref"), F.avg(y).alias("mean_codec"),
         F.stddev_pop(x).alias("std_ref"), F.stddev_pop(y).alias("std_codec"),
         F.covar_pop(x, y).alias("covariance"), safe_corr(x, y).alias("__r")]
-    if medians:
-        out += [F.median(x).alias("median_ref"), F.median(y).alias("median_codec")]
     agg = both.groupBy(*keys).agg(*out)
+    if medians:
+        complete = both.filter(ok)
+        probe = largest_group(complete, keys)
+        for side, name in (("__a", "median_ref"), ("__b", "median_codec")):
+            agg = agg.join(exact_median(complete, keys, side, name, probe=probe), keys, "left")
     defined = (F.col("n_valid") >= 2) & (F.col("std_ref") > 0) & (F.col("std_codec") > 0)
     return agg.withColumn("r", F.when(defined, clean_number("__r"))).withColumn(
         "nan_rate", 1 - F.col("n_valid") / F.col("n")).drop("__r")
@@ -171,13 +175,15 @@ def distribution_distance(long: DataFrame, keys: list[str], side: str = "side",
     shape = rows.groupBy(*keys).agg(
         F.count(x).alias("n_a"), F.count(y).alias("n_b"), F.avg(x).alias("__ma"), F.avg(y).alias("__mb"),
         F.var_samp(x).alias("__va"), F.var_samp(y).alias("__vb"))
-    steps = rows.groupBy(*keys, F.col(value).alias("__v")).agg(
-        F.count_if(is_a).alias("a"), F.count_if(is_b).alias("b"))
+    # the counted values are read twice: to find the largest key and to run over them
+    steps = cut_lineage(rows.groupBy(*keys, F.col(value).alias("__v")).agg(
+        F.count_if(is_a).alias("a"), F.count_if(is_b).alias("b")))
     run = running_totals(steps, keys, "__v", ["a", "b"], "__next").join(shape, keys)
-    gap = F.abs(F.col("run_a") / F.col("n_a") - F.col("run_b") / F.col("n_b"))
+    gap = F.abs(F.col("run_a") / F.greatest("n_a", F.lit(1)) - F.col("run_b") / F.greatest("n_b", F.lit(1)))
     width = F.coalesce(F.col("__next") - F.col("__v"), F.lit(0.0))
-    merged = run.groupBy(*keys).agg(F.max(gap).alias("__ks"), F.sum(gap * width).alias("__w"))
-    out = merged.join(shape, keys)
+    carried = ["n_a", "n_b", "__ma", "__mb", "__va", "__vb"]
+    out = run.groupBy(*keys).agg(F.max(gap).alias("__ks"), F.sum(gap * width).alias("__w"),
+                                 *[F.first(c).alias(c) for c in carried])
     enough = (F.col("n_a") >= least) & (F.col("n_b") >= least)
     pooled = (F.col("__va") + F.col("__vb")) / 2
     low, high = F.least("__va", "__vb"), F.greatest("__va", "__vb")

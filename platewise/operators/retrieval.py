@@ -451,27 +451,31 @@ def subset_recall(rows: DataFrame, targets: DataFrame, query_groups: list[str],
     metric = "cosine" if direction == "top" else "anticosine"
     used = rows if active is None else rows.join(
         active.select(compound, group).distinct(), [compound, group], "left_semi")
-    pairs = symbol_pairs(used, targets, compound, group, symbol).distinct()
-    parts = []
-    for ref_group in ref_groups:
-        per_subset = pairs.filter(F.col("ref_group") == ref_group)
-        is_query, is_ref = F.col(group).isin(query_groups), F.col(group) == ref_group
-        scope = used.filter(is_query | is_ref)
-        anchors = cut_lineage(edge_anchors(scope, C.ROW_ID, per_subset, is_query, is_ref, metric))
-        counts = partner_counts(scope, C.ROW_ID, PairRule(query=is_query, ref=is_ref), anchors, "by_id", metric)
-        # rank over the whole pool: non-anchors above plus anchors of any subset above
-        zipped = F.array_sort(F.arrays_zip(
-            F.transform("anchors", lambda a: -a["sim"]).alias("minus"),
-            F.transform("anchors", lambda a: a["ref"]).alias("ref"), F.col("counts").alias("above")))
-        both = anchors.join(counts, "id", "left").withColumn(
-            "counts", F.coalesce("counts", F.transform("anchors", lambda a: F.lit(0).cast("bigint"))))
-        ranks = both.select("id", F.posexplode(zipped)).select(
-            F.col("id").alias("query_id"), F.col("col.ref").alias("ref_id"),
-            (F.col("col.above") + F.col("pos") + 1).alias("place"))
-        parts.append(per_subset.join(ranks, ["query_id", "ref_id"]))
-    placed = parts[0]
-    for part in parts[1:]:
-        placed = placed.unionByName(part)
+    # a query appears once per reference group, so that the group is an ordinary pool
+    tagged = lambda query, pool: F.concat_ws(">", query, pool)
+    pairs = cut_lineage(symbol_pairs(used, targets, compound, group, symbol).filter(
+        F.col("ref_group").isin(ref_groups)).distinct().withColumn("tag", tagged("query_id", "ref_group")))
+    pools = F.explode(F.array(*[F.lit(g) for g in ref_groups]))
+    queries = used.filter(F.col(group).isin(query_groups)).withColumn("pool", pools).select(
+        tagged(C.ROW_ID, "pool").alias(C.ROW_ID), "pool", F.lit(True).alias("is_query"), C.FEATURES)
+    refs = used.filter(F.col(group).isin(ref_groups)).select(
+        C.ROW_ID, F.col(group).alias("pool"), F.lit(False).alias("is_query"), C.FEATURES)
+    scope = queries.unionByName(refs)
+    asks, answers = F.col("is_query"), ~F.col("is_query")
+    edges = pairs.select(F.col("tag").alias("query_id"), "ref_id")
+    anchors = cut_lineage(edge_anchors(scope, C.ROW_ID, edges, asks, answers, metric))
+    rule = PairRule(same=["pool"], query=asks, ref=answers)
+    counts = partner_counts(scope, C.ROW_ID, rule, anchors, "by_id", metric)
+    # rank over the whole pool: non-anchors above plus anchors of any subset above
+    zipped = F.array_sort(F.arrays_zip(
+        F.transform("anchors", lambda a: -a["sim"]).alias("minus"),
+        F.transform("anchors", lambda a: a["ref"]).alias("ref"), F.col("counts").alias("above")))
+    both = anchors.join(counts, "id", "left").withColumn(
+        "counts", F.coalesce("counts", F.transform("anchors", lambda a: F.lit(0).cast("bigint"))))
+    ranks = both.select("id", F.posexplode(zipped)).select(
+        F.col("id").alias("tag"), F.col("col.ref").alias("ref_id"),
+        (F.col("col.above") + F.col("pos") + 1).alias("place"))
+    placed = pairs.join(ranks, ["tag", "ref_id"])
     sizes = used.groupBy(F.col(group).alias("ref_group")).agg(F.count(F.lit(1)).alias("n_refs"))
     names = used.select(F.col(C.ROW_ID).alias("query_id"), F.col(group).alias("query_group"))
     k_percent = options.get("k_percent", (1.0, 5.0, 10.0))

@@ -46,3 +46,12 @@ def test_salted_self_pairs_complete(spark):
     got = B.salted_self_pairs(df, ["key"], "id", ["id"], size=7)
     assert got.count() == 60 * 60 + 4
     assert got.distinct().count() == 60 * 60 + 4
+
+
+def test_group_medians_paths_agree(profiles):
+    from platewise.operators.aggregate import group_medians
+
+    read = lambda d: {r[0]: [round(v, 9) for v in r[1]] for r in d.collect()}
+    near = read(group_medians(profiles, ["Metadata_Plate"], True))
+    far = read(group_medians(profiles, ["Metadata_Plate"], False))
+    assert near == far and len(near) == 4
