@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from platewise.llm import chunked_bpe, histogram_packing, host_rules, repair_shards
+from platewise.llm import chunked_bpe, histogram_packing, host_rules, language_id, order_minhash, repair_shards
 from platewise.session import shared_folder
 
 QUERIES = {}
@@ -83,3 +83,16 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 def op10_host_rules(spark, sf_dir):
     return host_rules.host_verdicts(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op1_order_minhash")
+def op1_order_minhash(spark, sf_dir):
+    return order_minhash.fingerprints(documents(spark, sf_dir))
+
+
+@register("op3_language_id")
+def op3_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    apart = language_id.held_out(F.col("doc_id"), 4, 2)
+    model = language_id.fit(docs.filter(~apart))
+    return language_id.predict(docs, model).select("doc_id", apart.alias("held_out"), "lang_pred", "score")
