@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from platewise.llm import chunked_bpe, histogram_packing, host_rules, language_id, order_minhash, repair_shards
+from platewise.llm import chunked_bpe, histogram_packing, host_rules, jaccard_join, language_id, order_minhash, repair_shards
 from platewise.session import shared_folder
 
 QUERIES = {}
@@ -96,3 +96,24 @@ def op3_language_id(spark, sf_dir):
     apart = language_id.held_out(F.col("doc_id"), 4, 2)
     model = language_id.fit(docs.filter(~apart))
     return language_id.predict(docs, model).select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP4_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+    '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS r(i)
+       WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+          WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+reach AS (SELECT doc_id AS d, doc_id AS root FROM documents UNION SELECT y AS d, root FROM reach JOIN links ON x = d)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, root AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT d, min(root) AS root FROM reach GROUP BY d) r ON r.d = d.doc_id"""
+
+
+@register("op4_jaccard_join", OP4_SQL)
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.link_components(documents(spark, sf_dir))
