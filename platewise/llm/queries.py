@@ -7,7 +7,9 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from platewise.llm import chunked_bpe, histogram_packing, host_rules, jaccard_join, language_id, order_minhash, repair_shards
+from platewise.llm import (
+    chunked_bpe, gated_lm, histogram_packing, host_rules, jaccard_join, language_id, order_minhash, repair_shards,
+)
 from platewise.session import shared_folder
 
 QUERIES = {}
@@ -117,3 +119,8 @@ JOIN (SELECT d, min(root) AS root FROM reach GROUP BY d) r ON r.d = d.doc_id"""
 @register("op4_jaccard_join", OP4_SQL)
 def op4_jaccard_join(spark, sf_dir):
     return jaccard_join.link_components(documents(spark, sf_dir))
+
+
+@register("op5_gated_lm")
+def op5_gated_lm(spark, sf_dir):
+    return gated_lm.scores(documents(spark, sf_dir))
