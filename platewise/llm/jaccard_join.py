@@ -324,9 +324,12 @@ def voronoi_links(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, link
     return links
 
 
-def link_components(docs: DataFrame, text: str = "text", id_column: str = "doc_id", percent: int = PERCENT,
-                    size: int = WORDS) -> DataFrame:
-    """(id, n_shingles, component_id) of every document."""
+def rooted(docs: DataFrame, text: str = "text", id_column: str = "doc_id", percent: int = PERCENT,
+           size: int = WORDS) -> DataFrame:
+    """(row, id, n, root) of every document: equal roots are connected, an empty set has none.
+
+    ``row`` is the place of the document in the scan of ``docs``.
+    """
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     numbered = source.withColumn("row", F.monotonically_increasing_id())
     classes = cut_lineage(shingle_classes(numbered, size))
@@ -335,18 +338,34 @@ def link_components(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     regions = cut_lineage(plain_regions(source, hot, bits, total, size, percent))
     large = regions.filter(F.size("members") > SMALL).select("region", F.explode("members").alias("class"))
     if len(hot):
-        rows = hot_rows(source, hot, bits, size, percent)
-        large = large.union(rows)
+        large = large.union(hot_rows(source, hot, bits, size, percent))
     large = cut_lineage(merged(large).select("region", "class"))
     pairs = cut_lineage(set_pairs(regions.filter(F.size("members") <= SMALL)))
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(large.select("class")).distinct()
     sets = cut_lineage(class_sets(numbered, classes, needed, size))
     links = cut_lineage(linked(compared(pairs, sets), percent))
-    roots = components(voronoi_links(large, sets, percent, links))
-    owners = classes.filter("n > 0").groupBy("class").agg(F.min("id").alias("least"))
-    labelled = owners.join(roots, owners["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class"))
-    labels = (labelled.groupBy("root").agg(F.min("least").alias("component"))
-              .join(labelled.select("root", "class"), "root").select(F.col("class").alias("__class"), "component"))
-    return (classes.join(labels, (classes["class"] == labels["__class"]) & (classes["n"] > 0), "left")
-            .select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")))
+    roots = components(voronoi_links(large, sets, percent, links)).select(F.col("node").alias("__node"), "root")
+    return classes.join(roots, F.col("class") == F.col("__node"), "left").select(
+        "row", "id", "n", F.when(F.col("n") > 0, F.coalesce("root", "class")).alias("root"))
+
+
+def link_components(docs: DataFrame, text: str = "text", id_column: str = "doc_id", percent: int = PERCENT,
+                    size: int = WORDS) -> DataFrame:
+    """(id, n_shingles, component_id) of every document."""
+    rows = cut_lineage(rooted(docs, text, id_column, percent, size))
+    labels = rows.groupBy(F.col("root").alias("__root")).agg(F.min("id").alias("component"))
+    return rows.join(labels, F.col("root") == F.col("__root"), "left").select(
+        F.col("id").alias(id_column), F.col("n").alias("n_shingles"),
+        F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def drop_linked(docs: DataFrame, text: str = "text", id_column: str = "doc_id", percent: int = PERCENT,
+                size: int = WORDS) -> DataFrame:
+    """``docs`` with all columns, of each component only the document with the smallest id."""
+    names = list(docs.columns)
+    rows = cut_lineage(rooted(docs, text, id_column, percent, size).filter(F.col("root").isNotNull()))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select(
+        F.col("first.row").alias("row"))
+    dropped = cut_lineage(rows.join(first, "row", "left_anti").select(F.col("row").alias("__dropped")))
+    numbered = docs.withColumn("__place", F.monotonically_increasing_id())
+    return numbered.join(dropped, F.col("__place") == F.col("__dropped"), "left_anti").select(*names)

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from platewise.llm import (
-    chunked_bpe, gated_lm, histogram_packing, host_rules, jaccard_join, language_id, order_minhash, repair_shards,
+    chunked_bpe, cotraining, gated_lm, histogram_packing, host_rules, jaccard_join, language_id, order_minhash, repair_shards,
+    trie_counts,
 )
 from platewise.session import shared_folder
 
@@ -124,3 +125,14 @@ def op4_jaccard_join(spark, sf_dir):
 @register("op5_gated_lm")
 def op5_gated_lm(spark, sf_dir):
     return gated_lm.scores(documents(spark, sf_dir))
+
+
+@register("op2_trie_counts")
+def op2_trie_counts(spark, sf_dir):
+    return trie_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op7_cotraining")
+def op7_cotraining(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return cotraining.score(docs, cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
