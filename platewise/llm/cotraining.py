@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from platewise.llm import text as T
 from platewise.llm.host_rules import statistics
 
-SAMPLE = 8192
-WORD_BUCKETS = 2048
+SAMPLE = 4096
+WORD_BUCKETS = 1024
 DENSE = 6
 META_BUCKETS = 512
 ROUNDS = 5
@@ -37,7 +37,7 @@ def text_view(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(positions, values) of each text: word shares by hash, then rates of the rule counts, then one."""
     data, offsets = T.buffer_of(column)
     starts, ends, rows = T.words_of(data, offsets)
-    buckets = (T.word_hashes(data, starts, ends) >> np.uint64(53)).astype(np.int64)
+    buckets = (T.word_hashes(data, starts, ends) >> np.uint64(54)).astype(np.int64)
     stats = statistics(column)
     n = np.maximum(stats["n_words"], 1)
     dense = np.stack((np.log1p(stats["n_words"]) / 5, stats["word_chars"] / n / 5, stats["n_symbols"] / n,
@@ -64,9 +64,10 @@ def _number(value: str) -> int:
     return int.from_bytes(value.encode()[:256].ljust(8, b"\0"), "little") % (2**64 - 59)
 
 
-def regression(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
+def regression(x: np.ndarray, y: np.ndarray, steps: int = 100, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
     """Weights of a logistic regression by scaled gradient steps."""
-    w, squares = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
+    x, y = x.astype(np.float32, copy=False), y.astype(np.float32)
+    w, squares = np.zeros(x.shape[1], np.float32), np.full(x.shape[1], 1e-8, np.float32)
     for _ in range(steps):
         g = x.T @ (sigmoid(x @ w) - y) / len(y) + ridge * w
         squares += g * g
