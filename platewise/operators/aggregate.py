@@ -6,12 +6,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from platewise import columns as C
-from platewise.functions.arrow import list_column, matrix_of
+from platewise.functions.arrow import column_medians
 from platewise.functions.expressions import as_col
 from platewise.functions.keys import well_key_of_file
-from platewise.operators.blocks import exact_median, largest_group
+from platewise.operators.blocks import exact_median, group_sizes
 from platewise.operators.packed import from_long, to_long
 from platewise.operators.similarity import text_key
 
@@ -109,34 +110,36 @@ def group_means(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def group_medians(df: DataFrame, keys: list[str], in_memory: bool | None = None) -> DataFrame:
-    """Element-wise exact median per group.
+    """Element-wise exact median per group: NULL items are left out, NaN is the largest value, NULL keys are a key.
 
     While every group provably fits a task, many groups share one task and numpy takes
     the medians. Beyond that the long form is used, whose hot groups are ranged.
     """
     packed = df.select(*keys, C.FEATURES)
     biggest = None
+    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if in_memory is None:
         first = df.select(F.size(C.FEATURES)).first()
-        biggest = largest_group(df, keys)
-        in_memory = first is None or biggest * max(first[0], 1) * 8 <= TASK_BYTES
+        biggest, rows = group_sizes(df, keys)
+        width = 0 if first is None else max(first[0] or 0, 1)
+        in_memory = biggest * width * 8 <= TASK_BYTES
+        buckets = max(buckets, 2 * rows * width * 8 // TASK_BYTES)
     if not in_memory:
         long = to_long(packed, keys)
         return from_long(exact_median(long, [*keys, "pos"], probe=biggest), keys, "median")
-    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = packed.withColumn("__pool", text_key(keys)).withColumn(
         "__bucket", F.pmod(F.xxhash64("__pool"), F.lit(buckets)))
-    schema = packed.schema
+    # medians may be NULL where the features may not
+    schema = T.StructType([*packed.schema.fields[:-1], T.StructField(C.FEATURES, T.ArrayType(T.DoubleType(), True))])
 
     def run(table: pa.Table) -> pa.Table:
         codes = table.column("__pool").combine_chunks().dictionary_encode()
         codes = codes.indices.to_numpy(zero_copy_only=False)
-        x = matrix_of(table.column(C.FEATURES))
         order = np.argsort(codes, kind="stable")
         starts = np.nonzero(np.diff(codes[order], prepend=-1))[0]
-        medians = np.vstack([np.median(x[part], axis=0) for part in np.split(order, starts[1:])])
+        medians = column_medians(table.column(C.FEATURES), np.split(order, starts[1:]))
         first = table.select(keys).take(pa.array(order[starts]))
-        return pa.table([*first.columns, list_column(medians)], names=[*keys, C.FEATURES])
+        return pa.table([*first.columns, medians], names=[*keys, C.FEATURES])
 
     return keyed.groupBy("__bucket").applyInArrow(run, schema)
 

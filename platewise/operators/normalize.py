@@ -24,10 +24,12 @@ from platewise.operators.packed import from_long, to_long
 EPSILON = 1e-18
 IN_MEMORY_GROUP = 128 << 20
 CLOSURE_MODELS = 64 << 20
+NO_BATCH = "\u0000no batch"
 
 
 def batch_key(batch_col: str | None) -> Column:
-    return F.lit("all") if not batch_col else F.col(batch_col).cast("string")
+    """The batch as text; rows without a batch form one of their own."""
+    return F.lit("all") if not batch_col else F.coalesce(F.col(batch_col).cast("string"), F.lit(NO_BATCH))
 
 
 def fit_rows(df: DataFrame, batch_col: str | None, control: str | None) -> DataFrame:
@@ -81,11 +83,22 @@ def numpy_mad(table: pa.Table, factor: float) -> pa.Table:
                      "scale": list_column(spread[None, :])})
 
 
+def long_medians(rows: DataFrame, biggest: int) -> DataFrame:
+    """Medians per batch and position of the long form; NaN where a value is missing."""
+    long = to_long(rows)
+    gap = F.max((F.col("value").isNull() | F.isnan("value")).cast("int")).alias("gap")
+    found = exact_median(long, ["grp", "pos"], probe=biggest).join(
+        long.groupBy("grp", "pos").agg(gap), ["grp", "pos"])
+    whole = F.when(F.col("gap") == 1, F.lit(float("nan"))).otherwise(F.col("median")).alias("median")
+    return from_long(found.select("grp", "pos", whole), ["grp"], "median")
+
+
 def mad_model(df: DataFrame, batch_col: str | None, control: str | None, factor: float = 1.0) -> DataFrame:
     """``grp, center, scale``: exact median and median absolute deviation.
 
-    Groups that provably fit a task are reduced there; larger ones go through exact
-    medians of the long form.
+    A NULL or NaN among a batch's rows makes that feature's centre and scale NaN. Groups that
+    provably fit a task are reduced there; larger ones go through exact medians of the
+    long form, with the same result.
     """
     rows = fit_rows(df, batch_col, control)
     first = df.select(F.size(C.FEATURES)).first()
@@ -94,11 +107,10 @@ def mad_model(df: DataFrame, batch_col: str | None, control: str | None, factor:
         return rows.groupBy("grp").applyInArrow(
             lambda table: numpy_mad(table, factor),
             "grp string, center array<double>, scale array<double>")
-    middle = from_long(exact_median(to_long(rows), ["grp", "pos"], probe=biggest), ["grp"], "median")
-    middle = middle.withColumnRenamed(C.FEATURES, "center")
+    middle = long_medians(rows, biggest).withColumnRenamed(C.FEATURES, "center")
     apart = rows.join(middle, "grp").select(
         "grp", F.zip_with(C.FEATURES, "center", lambda x, c: F.abs(x - c)).alias(C.FEATURES))
-    spread = from_long(exact_median(to_long(apart), ["grp", "pos"], probe=biggest), ["grp"], "median")
+    spread = long_medians(apart, biggest)
     return middle.join(spread, "grp").select(
         "grp", "center", F.transform(C.FEATURES, lambda s: s * F.lit(factor)).alias("scale"))
 
@@ -124,13 +136,14 @@ def nan_mean(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def well_position_correct(df: DataFrame, well_col: str = C.WELL) -> DataFrame:
-    """Subtract the mean of each well position over all plates."""
-    return df.join(nan_mean(df, [well_col]), well_col).withColumn(
-        C.FEATURES, F.zip_with(C.FEATURES, "mean", lambda x, m: x - m)).drop("mean").select(*df.columns)
+    """Subtract the mean of each well position over all plates; rows without a well are one position."""
+    keyed = df.withColumn("__well", batch_key(well_col))
+    return keyed.join(nan_mean(keyed, ["__well"]), "__well").withColumn(
+        C.FEATURES, F.zip_with(C.FEATURES, "mean", lambda x, m: x - m)).select(*df.columns)
 
 
 def inverse_normal(df: DataFrame, row_id: str = C.ROW_ID) -> DataFrame:
-    """Rank-based normal scores per feature; ties by row id, NaN ranked last and kept."""
+    """Rank-based normal scores per feature; ties by row id, NaN and NULL ranked last and NaN."""
     total = df.count()
     nan = F.lit(float("nan"))
     long = to_long(df, [row_id]).withColumn("value", F.coalesce("value", nan))

@@ -26,10 +26,10 @@ def site_stream(spark: SparkSession, source: str, schema: T.StructType, files_pe
 
 def append_new(sink: str, keys: list[str], partition: list[str] | None = None,
                transform: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """Batch writer that adds only keys the sink does not hold.
+    """Batch writer that adds only keys the sink does not hold, in whatever partition.
 
-    Only the sink partitions a batch touches are read, because the partition columns are
-    part of the join.
+    Of the sink the key columns alone are read. A sink that does not exist yet holds no key; any other
+    failure to read it stops the batch.
     """
     partition = partition or []
 
@@ -37,11 +37,12 @@ def append_new(sink: str, keys: list[str], partition: list[str] | None = None,
         rows = (transform(batch) if transform else batch).dropDuplicates(keys)
         try:
             present = batch.sparkSession.read.parquet(sink)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             present = None
         if present is not None:
-            on = list(dict.fromkeys([*partition, *keys]))
-            rows = rows.join(present.select(*on).distinct(), on, "left_anti")
+            rows = rows.join(present.select(*keys), keys, "left_anti")
         writer = rows.write.mode("append").option("compression", "zstd")
         (writer.partitionBy(*partition) if partition else writer).parquet(sink)
 

@@ -153,3 +153,51 @@ def test_inverse_normal_keeps_rank_and_nan(spark):
     df = spark.createDataFrame([(0, [3.0]), (1, [1.0]), (2, [float("nan")]), (3, [2.0])], "row_id long, features array<double>")
     got = matrix(N.inverse_normal(df)).ravel()
     assert np.isnan(got[2]) and got[1] < got[3] < got[0]
+
+
+def test_scaling_keeps_rows_without_batch_or_well(spark):
+    from pyspark.sql import functions as F
+
+    from platewise.operators import normalize as N
+
+    rows = [(i, None if i % 3 == 0 else f"P{i % 2}", None if i % 4 == 0 else "A1", i % 5 == 0, [float(i), float(i * i % 7)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, Metadata_Plate string, Metadata_Well string, Metadata_negcon boolean, features array<double>")
+    for found in (N.standardize(df), N.robust_mad(df), N.well_position_correct(df), N.tvn(df)):
+        assert found.count() == 40
+        assert found.filter(F.size("features") == 2).count() == 40
+
+
+def test_mad_with_gaps_is_the_same_at_every_size(spark, monkeypatch):
+    from platewise.operators import normalize as N
+
+    rows = [("P", True, [1.0, 10.0]), ("P", True, [3.0, 20.0]), ("P", True, [5.0, None]), ("P", True, [9.0, 25.0]), (None, True, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "Metadata_Plate string, Metadata_negcon boolean, features array<double>")
+    read = lambda: sorted(str((r["grp"], list(r["center"]), list(r["scale"]))) for r in N.mad_model(df, "Metadata_Plate", "Metadata_negcon").collect())
+    near = read()
+    monkeypatch.setattr(N, "IN_MEMORY_GROUP", 0)
+    assert near == read() and any("[4.0, nan]" in r for r in near)
+
+
+def test_inverse_normal_takes_text_ids_at_every_size(spark, monkeypatch):
+    from platewise.operators import blocks as B
+    from platewise.operators import normalize as N
+
+    rows = [(f"c{i}|g", [float(i % 4), float("nan") if i % 6 == 0 else -float(i)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id string, features array<double>")
+    read = lambda: {r["row_id"]: [round(v, 9) if v == v else "nan" for v in r["features"]] for r in N.inverse_normal(df, "row_id").collect()}
+    near = read()
+    monkeypatch.setattr(B, "ranges_for", lambda rows, hot_rows, per_range=0: 16)
+    assert near == read() and len(near) == 60
+
+
+def test_feature_arrays_must_be_whole():
+    import pyarrow as pa
+    import pytest as pt
+
+    from platewise.functions.arrow import matrix_of
+
+    with pt.raises(ValueError):
+        matrix_of(pa.array([[1.0, 2.0], None], pa.list_(pa.float64())))
+    with pt.raises(ValueError):
+        matrix_of(pa.array([[1.0, 2.0], [1.0]], pa.list_(pa.float64())))
+    assert matrix_of(pa.array([[1.0, None]], pa.list_(pa.float64()))).shape == (1, 2)
