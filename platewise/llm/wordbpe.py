@@ -9,13 +9,19 @@ Texts without spaces are one word and are encoded as such.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 from array import array
 
 import pyarrow as pa
 
 CACHE = 500_000
 BATCH = 20_000
+# fixed values: the split of the word tokenizer's file, and what it finds in lower-cased printable ASCII
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PRINTABLE = re.compile(rb"[\x21-\x7e]+")
 
 
 @functools.lru_cache(maxsize=2)
@@ -35,23 +41,48 @@ def _table(path: str) -> dict[bytes, bytes]:
 
 
 def encode_texts(path: str, texts: list[bytes], end: int) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, followed by the id ``end``."""
-    known, tokenizer = _table(path), _tokenizer(path)
+    """Little-endian 32-bit ids of each text of a bounded slice, followed by the id ``end``."""
+    known = _table(path)
     mark = array("I", [end]).tobytes()
-    out = []
-    for text in texts:
-        words = text.lower().split()
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE:
-                known.clear()
-                missing = list(set(words))
-            for start in range(0, len(missing), BATCH):
-                part = missing[start:start + BATCH]
-                encoded = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                known.update(zip(part, [array("I", e.ids).tobytes() for e in encoded]))
-        out.append(b"".join(map(known.__getitem__, words)) + mark)
-    return out
+    words = [text.lower().split() for text in texts]
+    missing = set().union(*words).difference(known)
+    if len(known) + len(missing) > CACHE:
+        known.clear()
+        missing = set().union(*words)
+    if missing:
+        _encode_words(path, list(missing), known)
+    return [b"".join(map(known.__getitem__, own)) + mark for own in words]
+
+
+def _encode_words(path: str, words: list[bytes], known: dict[bytes, bytes]) -> None:
+    """Add the ids of lower-cased words.
+
+    A word of printable ASCII characters needs no normalisation, and its bytes stand for themselves: where the file says
+    that it splits as ``SPLIT`` does, the merges of the tokenizer's model are applied to its parts directly.
+    """
+    tokenizer = _tokenizer(path)
+    rest = words
+    if _plain(path):
+        model, rest = tokenizer.model, []
+        for word in words:
+            if PRINTABLE.fullmatch(word):
+                known[word] = array("I", [t.id for part in PARTS.findall(word.decode()) for t in model.tokenize(part)]).tobytes()
+            else:
+                rest.append(word)
+    for start in range(0, len(rest), BATCH):
+        part = rest[start:start + BATCH]
+        encoded = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+        known.update(zip(part, [array("I", e.ids).tobytes() for e in encoded]))
+
+
+@functools.lru_cache(maxsize=2)
+def _plain(path: str) -> bool:
+    with open(path, encoding="utf-8") as lines:
+        found = json.load(lines)
+    steps = found["pre_tokenizer"].get("pretokenizers", [])
+    kinds = [n["type"] for n in (found["normalizer"] or {}).get("normalizers", [])]
+    return (kinds == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+            and steps[0]["pattern"] == {"Regex": SPLIT} and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"])
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
