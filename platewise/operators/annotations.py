@@ -30,7 +30,13 @@ ACTIONS = {
         "agonist,antagonist", "blocker,activator",
     ],
 }
-CG_ULTRA = [rel for rels in ACTIONS.values() for rel in rels]
+# fixed values: the accepted relation types, kept apart from their classes so that an unmapped one is noticed
+CG_ULTRA = [
+    "inhibitor", "antagonist", "blocker", "negative modulator", "inverse agonist", "DRUG_INHIBITION_GENE",
+    "inhibitory allosteric modulator", "agonist", "activator", "positive modulator", "partial agonist",
+    "DRUG_ACTIVATION_GENE", "agonist,allosteric modulator", "binds", "targets", "modulator", "allosteric modulator",
+    "DRUG_BINDACT_GENE", "agonist,antagonist", "blocker,activator",
+]
 
 EDGE = ["Metadata_JCP2022", "target", "partner_jcp", "target_modality", "source"]
 

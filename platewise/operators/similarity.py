@@ -70,10 +70,11 @@ def into_cells(queries: DataFrame, refs: DataFrame, cell_rows: int,
     with at least the queries' pools, to size them from.
     """
     spark = queries.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     both = (queries if bound is None else bound).select("pool", one.alias("q"), none.alias("r")).unionByName(
         refs.select("pool", none.alias("q"), one.alias("r")))
+    # pools that share a cell: so many cells that one holds about half of ``cell_rows``
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * both.count() // cell_rows)
     counted = both.groupBy("pool").agg(F.sum("q").alias("q"), F.sum("r").alias("r")).filter("q > 0 and r > 0")
     grid = counted.select(
         "pool", F.ceil(F.col("q") / cell_rows).cast("int").alias("gq"),

@@ -143,3 +143,16 @@ def test_correlation_p_value():
     # two-sided p of r = 0.5 with n = 10 from tables of the t distribution
     assert np.isclose(correlation_p(0.5, 10), 0.141111, atol=1e-5)
     assert correlation_p(1.0, 5) == 0.0
+
+
+def test_shared_cells_stay_bounded(spark):
+    """Many small pools: the number of cells follows the rows."""
+    from pyspark.sql import functions as F
+
+    from platewise.operators import similarity as S
+
+    rows = spark.range(20_000).select(
+        F.concat(F.lit("p"), F.col("id") % 5000).alias("pool"), F.col("id").cast("string").alias("id"))
+    left, right = S.into_cells(rows, rows, 16)
+    sizes = left.groupBy("cell").count().agg(F.max("count")).first()[0]
+    assert sizes <= 16 * 8 and left.count() == right.count() == 20_000
