@@ -6,13 +6,14 @@ documents, widespread ones last; two sets whose similarity reaches the limit sha
 ``n - ceil(limit * n) + 1`` of each, so the documents with the same such shingle form a region, and no link is lost
 between regions. Equal sets are one class throughout.
 
-A region of few classes is compared as a whole. A large one gets pivots of its own. Every class is compared with the
-pivots, which yields links and distances; each class goes to the Voronoi cell of its nearest pivot, and also to every
-cell whose pivot is at most twice the link distance farther, since a partner may live there. Cells are cut into
-rings of the link distance around the pivot, and a ring takes in the ring before it. Cells whose classes are
-already connected are done; the others are regions of the next round, with more pivots, until none is left. Pivots
-are found by pre-aggregated minima and rows meet them in joins that Spark splits, so a region that holds a third of
-all documents is never in one task.
+A region of few classes is compared as a whole; sizes, and counts of shingles per bucket, rule out most of its pairs
+before any set is sent. Large regions are joined by recursion: pivots are compared with every class of the region,
+which yields links and distances; each class goes to the Voronoi cell of its nearest pivot, and also to every cell whose
+pivot is at most twice the link distance farther, since a partner may live there. Cells whose classes are already
+connected are done, the others are regions of their own. Regions that share classes form crowds, and a crowd of bounded
+size is joined in one task. For larger ones, as when near copies are a third of all documents, the recursion runs in
+rounds over all tasks: pivots are found by pre-aggregated minima and rows meet them in joins that Spark splits, so
+no region is ever in one task.
 
 Which shingles are widespread is counted over all documents. At most ``HOT`` of them, the most frequent, are told to the
 tasks; the order only steers the work, and any order gives the same links.
@@ -43,6 +44,7 @@ SMALL = 16
 HOT = 1 << 18
 PER_BUCKET = 1 << 20
 FLUSH = 1 << 20
+CROWD_BYTES = 32 << 20
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -257,19 +259,100 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(measure, "a long, b long, common long, united long")
 
 
-def class_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(class, shingles binary) of the needed classes, each made from one of its documents."""
-    chosen = cut_lineage(classes.join(needed, "class").groupBy("class").agg(F.min("row").alias("row")).select("row"))
+FILTER_BITS = 1 << 23
+
+
+def membership(classes: DataFrame) -> np.ndarray:
+    """A filter of fixed size that holds every class of ``classes`` (class), and others by chance."""
+
+    def mark(batches):
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy()):
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+    total = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in classes.select("class").coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
+        total |= np.frombuffer(row["bits"], np.uint8)
+    return total
+
+
+def _places(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    hashed = T.mix(classes.astype(np.int64).view(np.uint64))
+    return (hashed % np.uint64(FILTER_BITS)).astype(np.int64), (hashed >> np.uint64(40)).astype(np.int64) % FILTER_BITS
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall in each of about as many buckets, in a byte each; empty where a byte is too small.
+
+    Merging shingles into buckets only adds to what two sets have in common, so the weighted Jaccard similarity of the
+    counts is never below the similarity of the sets.
+    """
+    if not len(shingles):
+        return b""
+    size = 1 << (len(shingles).bit_length() - 1)
+    counts = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def most_common(x: bytes, y: bytes) -> int | None:
+    """An upper bound of what two sets have in common, from their sketches."""
+    if not len(x) or not len(y):
+        return None
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    size = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, size).sum(axis=0), y.reshape(-1, size).sum(axis=0)).sum())
+
+
+def class_views(docs: DataFrame, needed: DataFrame, size: int, view, name: str) -> DataFrame:
+    """(class, ``name`` binary): ``view`` of the set of each needed class, made where its documents are read.
+
+    Only sets that may be needed leave the tasks; one copy of each is kept.
+    """
+    bits = membership(needed)
 
     def measure(batches):
+        seen = set()
         for batch in batches:
             for piece in T.slices(batch, 0):
                 sets = T.shingle_sets(*T.buffer_of(piece.column(0)), size)
+                own = np.array([class_of(s) for s in sets], np.int64)
+                first, second = _places(own)
+                maybe = ((bits[first >> 3] >> (first & 7)) & (bits[second >> 3] >> (second & 7)) & 1).astype(bool)
+                found = [(c, view(s)) for c, s, m in zip(own.tolist(), sets, maybe) if m and c not in seen]
+                seen.update(c for c, _ in found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["class", "shingles"])
+                    [pa.array([c for c, _ in found], pa.int64()), pa.array([v for _, v in found], pa.binary())], ["class", name])
+
+    found = docs.select("text").mapInArrow(measure, f"class long, {name} binary")
+    return found.join(needed, "class", "left_semi").dropDuplicates(["class"])
+
 
-    return docs.join(chosen, "row", "left_semi").select("text").mapInArrow(measure, "class long, shingles binary")
+def classes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+
+
+def likely(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that neither the sizes of their sets nor their sketches rule out."""
+    sizes = classes.groupBy("class").agg(F.min("n").alias("n"))
+    near = cut_lineage(
+        pairs.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("x")), "a")
+        .join(sizes.select(F.col("class").alias("b"), F.col("n").alias("y")), "b")
+        .filter(F.least("x", "y") * 100 >= F.greatest("x", "y") * percent))
+    sketches = cut_lineage(class_views(docs, classes_of(near), size, sketch, "sketch"))
+    both = (near.join(sketches.select(F.col("class").alias("a"), F.col("sketch").alias("p")), "a")
+            .join(sketches.select(F.col("class").alias("b"), F.col("sketch").alias("q")), "b").select("a", "b", "x", "y", "p", "q"))
+
+    def possible(batches):
+        for batch in batches:
+            keep = []
+            for x, y, p, q in zip(*[batch.column(i).to_pylist() for i in range(2, 6)]):
+                common = most_common(p, q)
+                keep.append(common is None or common * 100 >= (x + y - common) * percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(possible, "a long, b long")
 
 
 def merged(rows: DataFrame) -> DataFrame:
@@ -284,22 +367,123 @@ def linked(distances: DataFrame, percent: int) -> DataFrame:
     return distances.filter(F.col("common") * 100 >= F.col("united") * percent).select("a", "b")
 
 
+def crowds(rows: DataFrame) -> DataFrame:
+    """(crowd, class): regions (region, class) that share classes are one crowd."""
+    least = rows.groupBy("region").agg(F.min("class").alias("b"))
+    edges = rows.join(least, "region").select(F.col("class").alias("a"), "b")
+    found = components(edges)
+    return found.select(F.col("root").alias("crowd"), F.col("node").alias("class"))
+
+
+def metric_links(sets: list[np.ndarray], percent: int = PERCENT, pivots: int = 6, few: int = 24,
+                 seed: int = 1) -> list[tuple[int, int]]:
+    """Links (i, j) that connect all that the links between ``sets`` connect, by recursion on Voronoi cells.
+
+    A pivot is compared with every member of its cell. A member goes on to the cell of its nearest pivot and to those
+    within the window of the triangle inequality. A cell that is one component is done, one that the windows do not
+    divide keeps its members and gets further pivots, and few members are compared pair by pair.
+    """
+    limit = 1 - percent / 100
+    root = list(range(len(sets)))
+    links: list[tuple[int, int]] = []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def distance(i: int, j: int) -> float:
+        x, y = sets[i], sets[j]
+        common = overlap(x, y)
+        united = len(x) + len(y) - common
+        if common * 100 >= united * percent and find(i) != find(j):
+            root[find(i)] = find(j)
+            links.append((i, j))
+        return 1 - common / united
+
+    def comparable(i: int, j: int) -> bool:
+        return find(i) != find(j) and min(len(sets[i]), len(sets[j])) * 100 >= max(len(sets[i]), len(sets[j])) * percent
+
+    rng = np.random.default_rng(seed)
+    open_cells = [(np.arange(len(sets)), np.zeros((len(sets), 0)))]
+    while open_cells:
+        members, known = open_cells.pop()
+        names = np.array([find(i) for i in members])
+        if len(members) < 2 or (names == names[0]).all():
+            continue
+        if len(members) <= few:
+            for x in range(len(members)):
+                for y in range(x):
+                    if comparable(members[x], members[y]) and not (np.abs(known[x] - known[y]) > limit + 1e-9).any():
+                        distance(members[x], members[y])
+            continue
+        values, counts = np.unique(names, return_counts=True)
+        minor = np.flatnonzero(names != values[counts.argmax()])
+        chosen = rng.permutation(minor)[:pivots]
+        if known.shape[1] >= 4 * pivots:  # enough windows: pivots only meet what these leave open
+            for c in chosen:
+                near = np.flatnonzero((np.abs(known - known[c]) <= limit + 1e-9).all(axis=1))
+                for x in near:
+                    if comparable(members[x], members[c]):
+                        distance(members[x], members[c])
+            rest = np.setdiff1d(np.arange(len(members)), chosen)
+            open_cells.append((members[rest], known[rest]))
+            continue
+        table = np.array([[0.0 if x == c else distance(members[x], members[c]) for c in chosen] for x in range(len(members))])
+        rest = np.setdiff1d(np.arange(len(members)), chosen)
+        members, known, table = members[rest], known[rest], table[rest]
+        inside = table <= table.min(axis=1, keepdims=True) + 2 * limit + 1e-9
+        known = np.concatenate((known, table), axis=1)
+        if inside.sum() > 1.5 * len(members):
+            open_cells.append((members, known))
+        else:
+            open_cells += [(members[inside[:, k]], known[inside[:, k]]) for k in range(len(chosen))]
+    return links
+
+
+def crowd_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) within crowds (crowd, class) of bounded size, each in one task."""
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by("class")
+        classes = table.column("class").to_pylist()
+        found = metric_links([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")], percent)
+        return pa.table({"a": pa.array([classes[i] for i, _ in found], pa.int64()),
+                         "b": pa.array([classes[j] for _, j in found], pa.int64())})
+
+    return members.join(sets, "class").select("crowd", "class", "shingles").groupBy("crowd").applyInArrow(join, "a long, b long")
+
+
 def voronoi_links(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, links: DataFrame | None = None,
-                  pivots: int = 4) -> DataFrame:
+                  pivots: int = 4, crowd_bytes: int | None = None) -> DataFrame:
     """Links that connect what is to be connected within regions of any size (region, class).
 
-    Not every link is listed: those between classes that others already connect may be left out.
+    Not every link is listed: those between classes that others already connect may be left out. Regions that share
+    classes form crowds; a crowd whose sets have at most ``crowd_bytes`` is joined in one task. The regions of larger
+    crowds are joined in rounds of pivots over all tasks, by the same rules.
     """
     limit = 1 - percent / 100
+    crowd_bytes = CROWD_BYTES if crowd_bytes is None else crowd_bytes
     links = links if links is not None else rows.sparkSession.createDataFrame([], "a long, b long")
-    rows = cut_lineage(merged(rows))
+    crowd = cut_lineage(crowds(rows))
+    size = crowd.join(sets.select("class", F.length("shingles").alias("size")), "class").groupBy("crowd").agg(F.sum("size").alias("size"))
+    sized = cut_lineage(crowd.join(size, "crowd"))
+    links = cut_lineage(links.union(crowd_links(sized.filter(F.col("size") <= crowd_bytes), sets, percent)))
+    huge = sized.filter(F.col("size") > crowd_bytes).select("class")
+    rows = cut_lineage(merged(rows.join(huge, "class", "left_semi")))
     while rows.limit(1).count():
         few = (rows.filter(F.col("n") <= SMALL).groupBy("region").agg(F.collect_list("class").alias("members")))
-        rows = rows.filter(F.col("n") > SMALL).drop("n")
-        found = rows.groupBy("region").agg(*[
+        roots = components(links)
+        named = (rows.filter(F.col("n") > SMALL).join(roots, F.col("class") == F.col("node"), "left")
+                 .select("region", "class", "n", F.coalesce("root", "class").alias("root")))
+        parts = named.groupBy("region", "root").agg(F.count(F.lit(1)).alias("k"))
+        major = parts.groupBy("region").agg(F.max(F.struct("k", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
+        named = cut_lineage(named.join(major.filter("roots > 1").select("region", F.col("most.root").alias("major")), "region"))
+        found = named.filter("root <> major").groupBy("region").agg(*[
             F.min(F.struct(F.xxhash64("class", F.lit(i)).alias("turn"), "class")).alias(f"p{i}") for i in range(pivots)])
         centres = found.select("region", F.explode(F.array_distinct(F.array(*[f"p{i}.class" for i in range(pivots)]))).alias("pivot"))
-        met = cut_lineage(rows.join(centres, "region"))
+        met = cut_lineage(named.select("region", "class", "n").join(centres, "region"))
         pairs = met.filter("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
         distances = cut_lineage(compared(pairs, sets))
         links = cut_lineage(links.union(linked(distances, percent))
@@ -311,14 +495,17 @@ def voronoi_links(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, link
                  .withColumn("d", F.coalesce("d", F.lit(-1.0))))
         nearest = apart.groupBy("region", "class").agg(F.min("d").alias("near")).filter("near >= 0")
         ring = F.floor(F.col("d") / limit).cast("int")
-        cells = (apart.join(nearest, ["region", "class"]).filter(F.col("d") <= F.col("near") + 2 * limit + 1e-9)
-                 .withColumn("own", F.explode(F.array(F.lit(0), F.lit(1))))
-                 .select(F.xxhash64("region", "pivot", ring + F.col("own")).alias("region"), "class", (F.col("own") == 0).alias("own")))
-        labelled = cells.join(roots, cells["class"] == roots["node"], "left").select(
-            "region", "class", "own", F.coalesce("root", "class").alias("root"))
-        # a ring without a class of its own was all in the ring before; one component needs no more links
-        unsettled = labelled.groupBy("region").agg(
-            F.min("root").alias("x"), F.max("root").alias("y"), F.max("own").alias("z")).filter("x <> y and z")
+        cells = cut_lineage(
+            apart.join(nearest, ["region", "class"]).filter(F.col("d") <= F.col("near") + 2 * limit + 1e-9)
+            .withColumn("own", F.explode(F.array(F.lit(0), F.lit(1))))
+            .select("region", "n", F.xxhash64("region", "pivot", ring + F.col("own")).alias("cell"), "class", (F.col("own") == 0).alias("own")))
+        natives = cells.groupBy("region", "cell", "n").agg(F.count(F.lit(1)).alias("k"), F.max("own").alias("own")).filter("own")
+        divided = natives.groupBy("region").agg((F.sum("k") <= 1.5 * F.max("n")).alias("divided"))
+        kept = cells.join(natives.select("cell"), "cell", "left_semi").join(divided, "region").select(
+            F.when(F.col("divided"), F.col("cell")).otherwise(F.col("region")).alias("region"), "class").distinct()
+        labelled = kept.join(roots, F.col("class") == F.col("node"), "left").select(
+            "region", "class", F.coalesce("root", "class").alias("root"))
+        unsettled = labelled.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
         rows = cut_lineage(merged(labelled.join(unsettled, "region").select("region", "class")))
         pivots = min(4 * pivots, 256)
     return links
@@ -331,8 +518,7 @@ def rooted(docs: DataFrame, text: str = "text", id_column: str = "doc_id", perce
     ``row`` is the place of the document in the scan of ``docs``.
     """
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    numbered = source.withColumn("row", F.monotonically_increasing_id())
-    classes = cut_lineage(shingle_classes(numbered, size))
+    classes = cut_lineage(shingle_classes(source.withColumn("row", F.monotonically_increasing_id()), size))
     total = classes.agg(F.sum("n")).first()[0] or 0
     hot, bits = widespread(source, total, size)
     regions = cut_lineage(plain_regions(source, hot, bits, total, size, percent))
@@ -340,9 +526,9 @@ def rooted(docs: DataFrame, text: str = "text", id_column: str = "doc_id", perce
     if len(hot):
         large = large.union(hot_rows(source, hot, bits, size, percent))
     large = cut_lineage(merged(large).select("region", "class"))
-    pairs = cut_lineage(set_pairs(regions.filter(F.size("members") <= SMALL)))
-    needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(large.select("class")).distinct()
-    sets = cut_lineage(class_sets(numbered, classes, needed, size))
+    pairs = cut_lineage(likely(source, classes, set_pairs(regions.filter(F.size("members") <= SMALL)), size, percent))
+    needed = cut_lineage(classes_of(pairs).union(large.select("class")).distinct())
+    sets = cut_lineage(class_views(source, needed, size, np.ndarray.tobytes, "shingles"))
     links = cut_lineage(linked(compared(pairs, sets), percent))
     roots = components(voronoi_links(large, sets, percent, links)).select(F.col("node").alias("__node"), "root")
     return classes.join(roots, F.col("class") == F.col("__node"), "left").select(

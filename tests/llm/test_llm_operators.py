@@ -1,6 +1,7 @@
 """Every text operator against a brute-force version, and on the odd inputs whose results its docstring defines."""
 
 import collections
+import functools
 import hashlib
 import random
 import zlib
@@ -303,8 +304,9 @@ def test_jaccard_join_of_nothing(empty):
     assert jaccard_join.drop_linked(empty).collect() == []
 
 
-def test_voronoi_regions_find_what_all_pairs_find(spark, monkeypatch):
-    """One region of 120 sets in several loose clusters, so that several rounds of pivots are needed."""
+@pytest.mark.parametrize("crowd_bytes", [0, 1 << 20])
+def test_voronoi_regions_find_what_all_pairs_find(spark, monkeypatch, crowd_bytes):
+    """One region of 120 sets in several loose clusters: joined in one task, and in rounds of pivots over all tasks."""
     monkeypatch.setattr(jaccard_join, "SMALL", 4)
     rng = np.random.default_rng(8)
     sets = []
@@ -315,7 +317,7 @@ def test_voronoi_regions_find_what_all_pairs_find(spark, monkeypatch):
             sets.append(np.unique(np.concatenate((core[keep], rng.integers(1, 2**62, 3, dtype=np.uint64)))))
     table = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "class long, shingles binary")
     regions = spark.createDataFrame([(r, i) for r in (1, 2) for i in range(len(sets))], "region long, class long")
-    found = dict(components.components(jaccard_join.voronoi_links(regions, table)).collect())
+    found = dict(components.components(jaccard_join.voronoi_links(regions, table, crowd_bytes=crowd_bytes)).collect())
     root = list(range(len(sets)))
 
     def find(i):
@@ -436,19 +438,24 @@ def test_gated_lm_gradient():
 # ------------------------------------------------------------------------------------------- 6 shards
 
 
-def library_ids(text, end):
+@functools.cache
+def library_tokenizer():
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(WORD_BPE)
     found.encode_special_tokens = True
-    return found.encode(text or "", add_special_tokens=False).ids + [end]
+    return found
+
+
+def library_ids(text, end):
+    return library_tokenizer().encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def test_word_encoding_equals_the_library():
     rng = random.Random(6)
     marks = ["a", "É", "é", " ", "\n", "\t", "'s", "'", "1", "漢", " ", "\x85", "\x1c", "\x0b", "<|endoftext|>",
-             "ſ", "Σ", "İ", "%", "&&", "the", " of", ".", "don't", "THE"]
-    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(30))) for _ in range(800)]
+             "ſ", "Σ", "İ", "%", "&&", "the", " of", ".", "don't", "THE", "ÀÿñÑ", "ß", "×", "÷", "µª", "¼²", "\u0301"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(30))) for _ in range(2000)]
     for text, ids in zip(texts, encode_texts(WORD_BPE, [t.encode() for t in texts], 2)):
         assert np.frombuffer(ids, "<u4").tolist() == library_ids(text, 2), text
 
