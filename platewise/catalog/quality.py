@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from platewise.catalog.agreement import PLANES, planes
 from platewise.catalog.registry import derive, register, with_clause
 from platewise.operators import images as I
-from platewise.operators.retrieval import corrected
+from platewise.operators.retrieval import activity_summary, corrected
 
 SIZE = 16
 GRID = with_clause(pl=PLANES) + f""", sites AS (SELECT DISTINCT site, channel FROM pl),
@@ -60,3 +60,16 @@ SELECT id, line, round(corrected, 9) AS corrected FROM t JOIN q USING (family, e
 def corrected_p_values(spark, sf_dir):
     out = corrected(derive(spark, sf_dir, LEVELS), "exceed", "p_value", ["family"])
     return out.select("id", "line", F.round("corrected_p_value", 9).alias("corrected"))
+
+
+FLAGS = """SELECT o_orderstatus AS grp, o_custkey AS pert, o_totalprice / 500000.0e0 - 0.2e0 AS nap, o_orderkey % 7 < 3 AS active FROM {orders}"""
+
+
+@register("active_share", with_clause(t=FLAGS) + """ SELECT grp, round(100.0 * count(*) FILTER (active) / count(*), 9) AS pct_active,
+  count(*) FILTER (active) AS num_active, round(avg(greatest(nap, 0)), 9) AS mean_nap_clipped, count(DISTINCT pert) AS n_units FROM t GROUP BY grp""")
+def active_share(spark, sf_dir):
+    maps = derive(spark, sf_dir, FLAGS).withColumnsRenamed(
+        {"nap": "mean_normalized_average_precision", "active": "below_corrected_p"})
+    out = activity_summary(maps, ["grp"], "pert")
+    return out.select("grp", F.round("pct_active", 9).alias("pct_active"), "num_active",
+                      F.round("mean_nap_clipped", 9).alias("mean_nap_clipped"), "n_units")

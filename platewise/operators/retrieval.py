@@ -240,7 +240,9 @@ def well_position_effect(df: DataFrame, row_id: str = C.ROW_ID, compound: str =
         rows = rows.join(wells, [group, well], "left_semi")
         pos = PairRule(same=[group, well], differ=[compound])
         neg = PairRule(same=[group, plate], differ=[well, compound])
-    return attach(average_precision(rows, row_id, pos, neg, "pos", metric), rows, row_id, [group, well])
+    # the rarer side is listed: sampled negatives are about 15 a query, positives one a plate and compound
+    side = "neg" if mode == "sampled" else "pos"
+    return attach(average_precision(rows, row_id, pos, neg, side, metric), rows, row_id, [group, well])
 
 
 def plate_effect(df: DataFrame, row_id: str = C.ROW_ID, compound: str = C.PERT, group: str = C.GROUP,
