@@ -18,10 +18,10 @@ import pyarrow as pa
 
 CACHE = 500_000
 BATCH = 20_000
-# fixed values: the split of the word tokenizer's file, and what it finds in lower-cased printable ASCII
+# fixed values: the split of the word tokenizer's file, and what it finds in lower-cased plain words
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-PRINTABLE = re.compile(rb"[\x21-\x7e]+")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 
 
 @functools.lru_cache(maxsize=2)
@@ -57,16 +57,21 @@ def encode_texts(path: str, texts: list[bytes], end: int) -> list[bytes]:
 def _encode_words(path: str, words: list[bytes], known: dict[bytes, bytes]) -> None:
     """Add the ids of lower-cased words.
 
-    A word of printable ASCII characters needs no normalisation, and its bytes stand for themselves: where the file says
-    that it splits as ``SPLIT`` does, the merges of the tokenizer's model are applied to its parts directly.
+    Letters of the first two Unicode blocks and printable ASCII characters need no normalisation but lower-casing: where
+    the file says that it splits as ``SPLIT`` does, the merges of the tokenizer's model are applied to the parts of such
+    words directly.
     """
     tokenizer = _tokenizer(path)
     rest = words
     if _plain(path):
-        model, rest = tokenizer.model, []
+        model, rest, letters = tokenizer.model, [], _byte_letters()
         for word in words:
-            if PRINTABLE.fullmatch(word):
-                known[word] = array("I", [t.id for part in PARTS.findall(word.decode()) for t in model.tokenize(part)]).tobytes()
+            text = word.decode()
+            if PLAIN.fullmatch(text):
+                parts = PARTS.findall(text.lower())
+                if not text.isascii():
+                    parts = [part.translate(letters) for part in parts]
+                known[word] = array("I", [t.id for part in parts for t in model.tokenize(part)]).tobytes()
             else:
                 rest.append(word)
     for start in range(0, len(rest), BATCH):
@@ -75,6 +80,15 @@ def _encode_words(path: str, words: list[bytes], known: dict[bytes, bytes]) -> N
         known.update(zip(part, [array("I", e.ids).tobytes() for e in encoded]))
 
 
+@functools.lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for the bytes of each plain letter, as the library writes them."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    level = ByteLevel(add_prefix_space=False, use_regex=False)
+    return {code: level.pre_tokenize_str(chr(code))[0][0] for code in range(0xC0, 0x100)}
+
+
 @functools.lru_cache(maxsize=2)
 def _plain(path: str) -> bool:
     with open(path, encoding="utf-8") as lines:
