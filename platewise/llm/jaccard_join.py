@@ -45,6 +45,7 @@ HOT = 1 << 18
 PER_BUCKET = 1 << 20
 FLUSH = 1 << 20
 CROWD_BYTES = 32 << 20
+CLASS_BYTES = 8 << 10
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -467,7 +468,8 @@ def voronoi_links(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, link
     crowd_bytes = CROWD_BYTES if crowd_bytes is None else crowd_bytes
     links = links if links is not None else rows.sparkSession.createDataFrame([], "a long, b long")
     crowd = cut_lineage(crowds(rows))
-    size = crowd.join(sets.select("class", F.length("shingles").alias("size")), "class").groupBy("crowd").agg(F.sum("size").alias("size"))
+    own = F.greatest(F.length("shingles"), F.lit(CLASS_BYTES)).alias("size")  # so many small sets are not one task's either
+    size = crowd.join(sets.select("class", own), "class").groupBy("crowd").agg(F.sum("size").alias("size"))
     sized = cut_lineage(crowd.join(size, "crowd"))
     links = cut_lineage(links.union(crowd_links(sized.filter(F.col("size") <= crowd_bytes), sets, percent)))
     huge = sized.filter(F.col("size") > crowd_bytes).select("class")
