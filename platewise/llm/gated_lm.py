@@ -9,9 +9,9 @@ Documents are scored from first to last word; the state is carried over from win
 
 Counts do not fit in a task, so they never go to one: documents are dealt into blocks of neighbouring ids, a block
 asks for the counts of its distinct words, and words are counted and asked for in buckets of their hashes. A
-document then becomes its list of codes (head word or tail class) and two sums. Training takes a fixed share of
-the training documents, so it grows with the input: every task learns on its own share, and the parameters of all
-tasks are averaged after each round.
+document then becomes its list of codes (head word or tail class) and two sums. Training takes every training
+document once: each is in one of ``ROUNDS`` rounds, in which every task learns from its own documents and after which
+the parameters of all tasks are averaged.
 
 Defined cases: NULL counts as the empty text, whose one token is the end; equal rows are scored separately; a NULL id is
 a training document and comes first; without training documents every token is unseen; an empty table gives an
@@ -40,8 +40,10 @@ SMOOTH = 0.1
 BLOCK_DOCS = 2048
 FLUSH = 1 << 21
 END = np.uint64(0x5EED0FE4D0FD0C55)
-TRAIN_SHARE = 32  # one in so many training documents in each round
-ROUNDS = 3
+ROUNDS = 3  # each training document is in one of them
+LOT = 1 << 20  # tokens that a task learns from at a time
+STREAMS = (32, 256, 256)  # fewest and most streams, updates in a lot before there are more streams
+SQUARES = 1e-4
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -381,64 +383,86 @@ def log_likelihoods(flat: np.ndarray, docs: list[np.ndarray], window: int = 1 <<
     return found
 
 
-def learn(flat: np.ndarray, docs: list[np.ndarray], rate: float = 0.1, streams: int = 32, window: int = 24) -> tuple[np.ndarray, int]:
-    """(parameters, tokens seen) after one pass of truncated backpropagation over code sequences.
+def learn(flat: np.ndarray, docs: list[np.ndarray], rate: float = 0.1, streams: int | None = None, window: int = 24,
+          squares: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """(parameters, tokens seen) after one pass of truncated backpropagation over every token of code sequences.
 
-    Documents follow one another in ``streams`` parallel streams; the state is carried from window to window
-    and starts anew with each document. Steps are scaled by the root of the summed squares of past gradients.
+    Documents follow one another in parallel streams, by default more of them for more tokens (``STREAMS``); the state is
+    carried from window to window and starts anew with each document. Steps are scaled by the root of the summed squares
+    of past gradients, which are added to ``squares``.
     """
     flat = flat.copy()
     whole = np.concatenate([*docs, np.zeros(0, "<u2")]).astype(np.int64)
-    fresh = np.zeros(len(whole), bool)
+    seen = len(whole)
+    if not seen:
+        return flat, 0
+    fresh = np.zeros(seen, bool)
     lengths = np.array([len(d) for d in docs], np.int64)
     fresh[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    streams = max(1, min(streams, len(whole) // window))
-    steps = len(whole) // streams
-    whole, fresh = (x[:steps * streams].reshape(streams, steps) for x in (whole, fresh))
-    p, squares = views(flat), np.full(SIZE, 1e-4, np.float32)
+    least, most, updates = STREAMS
+    streams = min(most, max(least, seen // (window * updates))) if streams is None else streams
+    streams = max(1, min(streams, seen // window))
+    steps = -(-seen // streams)
+    spare = steps * streams - seen  # places after the last token, which teach nothing
+    whole, fresh = (np.concatenate((x, np.zeros(spare, x.dtype))).reshape(streams, steps) for x in (whole, fresh))
+    real = (np.arange(steps * streams) < seen).reshape(streams, steps)
+    p, squares = views(flat), np.full(SIZE, SQUARES, np.float32) if squares is None else squares
     h = np.zeros((streams, HIDDEN), np.float32)
     for start in range(0, steps, window):
-        codes, new = whole[:, start:start + window], fresh[:, start:start + window]
-        before, states, gates = [], [], []
-        for t in range(codes.shape[1]):
-            h = h * ~new[:, t, None]
-            before.append(h)
-            h, g = step(p, h, codes[:, t])
-            states.append(h)
+        codes, new = whole[:, start:start + window].T, fresh[:, start:start + window].T[:, :, None]
+        length = len(codes)
+        before, gates = np.empty((length, streams, HIDDEN), np.float32), []
+        for t in range(length):
+            h = h * ~new[t]
+            before[t] = h
+            h, g = step(p, h, codes[t])
             gates.append(g)
         gradient = np.zeros(SIZE, np.float32)
         grad = views(gradient)
-        _, back = output(p, np.concatenate(before), codes.T.reshape(-1), grad)
-        back = back.reshape(codes.shape[1], streams, HIDDEN)
+        used = np.flatnonzero(real[:, start:start + window].T.reshape(-1))
+        flat_codes = codes.reshape(-1)
+        back = np.zeros((length * streams, HIDDEN), np.float32)
+        back[used] = output(p, before.reshape(-1, HIDDEN)[used], flat_codes[used], grad)[1]
+        back = back.reshape(length, streams, HIDDEN)
         later = np.zeros_like(h)
-        for t in range(codes.shape[1] - 1, -1, -1):
+        inputs, inner_grad = (np.empty((length, streams, 3 * HIDDEN), np.float32) for _ in range(2))
+        for t in range(length - 1, -1, -1):
             z, r, n, inner = gates[t]
             # ``later`` is the gradient of the state after step t
             dn = later * (1 - z) * (1 - n * n)
-            dz = later * (before[t] - n) * z * (1 - z)
-            dr = dn * inner * r * (1 - r)
-            dg = np.concatenate((dz, dr, dn * r), axis=1)
-            np.add.at(grad["embed"], codes[:, t], np.concatenate((dz, dr, dn), axis=1))
-            grad["recur"] += before[t].T @ dg
-            grad["shift"] += (dn * r).sum(axis=0)
-            later = (later * z + dg @ p["recur"].T + back[t]) * ~new[:, t, None]
-        gradient /= codes.size
+            own, dg = inputs[t], inner_grad[t]
+            own[:, :HIDDEN] = later * (before[t] - n) * z * (1 - z)
+            own[:, HIDDEN:2 * HIDDEN] = dn * inner * r * (1 - r)
+            own[:, 2 * HIDDEN:] = dn
+            dg[:] = own
+            dg[:, 2 * HIDDEN:] *= r
+            later = (later * z + dg @ p["recur"].T + back[t]) * ~new[t]
+        order = np.argsort(flat_codes, kind="stable")
+        ranked = flat_codes[order]
+        firsts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        grad["embed"][ranked[firsts]] = np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], firsts)
+        inner_grad = inner_grad.reshape(-1, 3 * HIDDEN)
+        grad["recur"][:] = before.reshape(-1, HIDDEN).T @ inner_grad
+        grad["shift"][:] = inner_grad[:, 2 * HIDDEN:].sum(axis=0)
+        gradient /= len(used)
         np.clip(gradient, -1, 1, out=gradient)
         squares += gradient * gradient
         flat -= rate * gradient / np.sqrt(squares)
-    return flat, steps * streams
+    return flat, seen
 
 
-def trained(codes: DataFrame, flat: np.ndarray, rounds: int = ROUNDS, share: int = TRAIN_SHARE, chunks: int = 16) -> np.ndarray:
-    """Parameters after ``rounds`` of learning in all tasks and averaging, each on another part of ``codes`` (id, codes)."""
+def trained(codes: DataFrame, flat: np.ndarray, rounds: int = ROUNDS, chunks: int = 16) -> np.ndarray:
+    """Parameters after ``rounds`` of learning in all tasks and averaging; every row of ``codes`` (id, codes) is in one round."""
     cuts = [SIZE * i // chunks for i in range(chunks + 1)]
     schema = "chunk int, weight double, part binary"
     for turn in range(rounds):
-        part = codes.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(share)) == turn).select("codes")
+        part = codes.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(rounds)) == turn).select("codes")
 
         def run(batches, flat=flat):
-            docs = [np.frombuffer(x, "<u2") for batch in batches for x in batch.column(0).to_pylist()]
-            found, seen = learn(flat, docs)
+            found, seen, squares = flat, 0, np.full(SIZE, SQUARES, np.float32)
+            for docs in _lots(batches):
+                found, more = learn(found, docs, squares=squares)
+                seen += more
             if seen:
                 yield pa.RecordBatch.from_pydict({
                     "chunk": pa.array(range(chunks), pa.int32()), "weight": [float(seen)] * chunks,
@@ -456,6 +480,20 @@ def trained(codes: DataFrame, flat: np.ndarray, rounds: int = ROUNDS, share: int
     return flat
 
 
+def _lots(batches):
+    """The code sequences of ``batches`` in lists of about ``LOT`` tokens; a longer document stands alone."""
+    held, size = [], 0
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            held.append(np.frombuffer(x, "<u2"))
+            size += len(held[-1])
+            if size > LOT:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def scores(docs: DataFrame, text: str = "text", id_column: str = "doc_id", parts: int = 10, part: int = 0) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document, in log10."""
     source = docs.select(F.col(id_column).cast("long").alias("id"), held_out(F.col(id_column), parts, part).alias("held_out"),

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from platewise.llm import (
     chunked_bpe, components, cotraining, gated_lm, histogram_packing, host_rules, jaccard_join, language_id,
@@ -421,6 +422,21 @@ def test_gated_lm_carries_its_state_through_a_document():
         assert np.allclose(gated_lm.log_likelihoods(flat, docs, window), expected, rtol=1e-4)
 
 
+def test_gated_lm_learns_from_every_document(spark):
+    """Documents that a sample of 3 in 32 by the hash of the id would leave out teach the network, to the last token."""
+    doc = np.array([1, 5, 9, 700, 3] * 20, "<u2")
+    left_out = spark.range(400).filter("pmod(xxhash64(id, 3), 32) >= 3").withColumn("codes", F.lit(doc.tobytes()))
+    start = gated_lm.initial(small_vocabulary())
+    found = gated_lm.trained(left_out, start)
+    assert gated_lm.log_likelihoods(found, [doc])[0] > gated_lm.log_likelihoods(start, [doc])[0] * 0.7
+    rounds = [left_out.filter(f"pmod(xxhash64(id, 3), {gated_lm.ROUNDS}) = {i}").count() for i in range(gated_lm.ROUNDS)]
+    assert sum(rounds) == left_out.count() and min(rounds) > 0
+    for n in (1, 23, 25, 5003):
+        changed, seen = gated_lm.learn(start, [np.zeros(n - 1, "<u2"), np.array([900], "<u2")])
+        word, before = (gated_lm.views(f)["word_b"][900 // gated_lm.WIDTH, 900 % gated_lm.WIDTH] for f in (changed, start))
+        assert seen == n and word > before
+
+
 def test_gated_lm_gradient():
     rng = np.random.default_rng(4)
     flat = gated_lm.initial(small_vocabulary()).astype(np.float64)
