@@ -554,6 +554,21 @@ def test_cotraining_passes_labels_between_views():
     assert right(w) > right(alone) + 0.05
 
 
+def test_cotraining_takes_pseudo_labels_from_all_documents(spark, monkeypatch):
+    """However small the sample of labelled rows, every other document is a candidate in every round."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    seen, exchange = [], cotraining.exchange
+
+    def watched(views, marks, held, pool, *rest):
+        seen.append((len(marks), pool))
+        return exchange(views, marks, held, pool, *rest)
+
+    monkeypatch.setattr(cotraining, "exchange", watched)
+    assert cotraining.fit(docs, labels, sample=60) is not None
+    assert seen[0][0] < 120 and sum(seen[0]) == docs.count()
+
+
 def test_cotraining_defined_cases(spark, docs, rows, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in cotraining.score(docs, cotraining.fit(docs, none)).collect()} == {0.5}
