@@ -32,20 +32,18 @@ SCHEMA = ("part int, shard int, start long, n_tokens long, doc_ids array<long>,
           "base int, rules binary, lengths binary, width int, symbols binary")
 
 
-def compress(ids: np.ndarray, last: np.ndarray, rounds: int = 4, share: int = 4096,
-             least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def compress(ids: np.ndarray, last: np.ndarray, share: int = 4096, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, last, rules [n, 2], base): symbols from ``base`` on stand for a pair of earlier symbols.
 
-    A round replaces every pair found at least ``max(least, symbols / share)`` times, except where it would
-    overlap the replacement before it. ``last`` marks the last symbol of each document.
+    A round replaces every pair found often enough, except where it would overlap the replacement before it. Enough is
+    ``symbols / share`` times at first and half as often whenever no pair is left, down to ``least``, where rounds go on
+    until no pair is found so often. ``last`` marks the last symbol of each document.
     """
     symbols, last = ids.astype(np.uint32), last.copy()
     base = int(symbols.max()) + 1 if len(symbols) else 0
     rules = np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        enough = max(least, len(symbols) // share)
+    enough = max(least, len(symbols) // share)
+    while len(symbols) > 1:
         slot = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA77)) >> np.uint32(14)
         at = np.flatnonzero((np.bincount(slot, minlength=1 << 18) >= enough)[slot] & ~last[:-1])
         keys = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
@@ -54,7 +52,10 @@ def compress(ids: np.ndarray, last: np.ndarray, rounds: int = 4, share: int = 40
         chosen = rule_of[back] >= 0
         at, number = at[chosen], rule_of[back][chosen]
         if not len(at):
-            break
+            if enough == least:
+                break
+            enough = max(least, enough // 2)
+            continue
         fresh = np.concatenate(([True], at[1:] != at[:-1] + 1))
         begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - begin) % 2 == 0

@@ -514,6 +514,21 @@ def test_grammar_round_trip_and_random_access(n):
     assert n < 5000 or len(symbols) < 0.8 * n
 
 
+def test_grammar_leaves_no_frequent_pair():
+    """A passage of 64 ids copied 100 times among 200,000 ids becomes one symbol, and no pair is left 4 times."""
+    rng = np.random.default_rng(8)
+    ids = rng.integers(0, 40_000, 200_000).astype(np.uint32)
+    for at in range(100):
+        ids[at * 2000:at * 2000 + 64] = np.arange(41_000, 41_064)
+    last = np.zeros(len(ids), bool)
+    last[-1] = True
+    symbols, _, rules, base = repair_shards.compress(ids, last)
+    lengths = repair_shards.rule_lengths(rules, base)
+    assert (repair_shards.Grammar(rules, lengths, base).expand(symbols) == ids).all() and lengths.max() >= 64
+    counts = np.unique((symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:], return_counts=True)[1]
+    assert counts.max() < 4
+
+
 def test_grammar_of_runs():
     ids = np.full(101, 7, np.uint32)
     last = np.zeros(101, bool)
