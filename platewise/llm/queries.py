@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from platewise.llm import (
-    chunked_bpe, cotraining, gated_lm, histogram_packing, host_rules, jaccard_join, language_id, order_minhash, repair_shards,
-    trie_counts,
+    chunked_bpe, content_sort, cotraining, filter_audit, gated_lm, histogram_packing, host_rules, jaccard_join, language_id,
+    order_minhash, repair_shards, trie_counts, vector_codes,
 )
 from platewise.session import shared_folder
 
@@ -136,3 +136,78 @@ def op2_trie_counts(spark, sf_dir):
 def op7_cotraining(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return cotraining.score(docs, cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+OP11_SQL = """
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN length(t) > length(translate(t, '#$%&*|', '')) THEN 'D' ELSE '' END
+    || CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+v AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM v a, v b, v c, v d, v e
+  WHERE b.x <> a.x AND c.x NOT IN (a.x, b.x) AND d.x NOT IN (a.x, b.x, c.x) AND e.x NOT IN (a.x, b.x, c.x, d.x)),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before
+  FROM orders, unnest([1, 2, 3, 4, 5]) AS s(step)),
+met AS (SELECT *, contains(fails, own) AS failing, translate(fails, before, '') = fails AS there FROM cells, steps),
+sums AS (SELECT part, filter_order, step, own,
+    sum(CASE WHEN there AND NOT failing THEN n ELSE 0 END) AS kept, sum(CASE WHEN there AND failing THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failing AND NOT there THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN there AND failing THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN there AND failing THEN toxic ELSE 0 END) AS toxic_lost FROM met GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM sums"""
+
+
+@register("op11_filter_audit", OP11_SQL)
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def _op12_sql() -> str:
+    """Six rounds written one after the other: no recursion is needed for a fixed number of rounds."""
+    nearest = """
+a{i} AS MATERIALIZED (SELECT vec_id, p, e, d FROM (
+  SELECT vec_id, x.p, b.e, sum((x.v - b.v) * (x.v - b.v)) AS d,
+    row_number() OVER (PARTITION BY vec_id, x.p ORDER BY sum((x.v - b.v) * (x.v - b.v)), b.e) AS r
+  FROM x JOIN b{i} b ON b.p = x.p AND b.q = x.q GROUP BY vec_id, x.p, b.e) WHERE r = 1)"""
+    moved = """
+b{j} AS MATERIALIZED (SELECT b.p, b.e, b.q, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN (
+  SELECT x.p, a.e, x.q, (sum(x.v) - ((sum(x.v) % count(*)) + count(*)) % count(*)) // count(*) AS v
+  FROM x JOIN a{i} a ON a.vec_id = x.vec_id AND a.p = x.p GROUP BY x.p, a.e, x.q) m ON m.p = b.p AND m.e = b.e AND m.q = b.q)"""
+    rounds = ",".join((nearest + "," + moved).format(i=i, j=i + 1) for i in range(6))
+    return f"""
+WITH kept AS (SELECT vec_id, label, embedding AS z FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT vec_id, (i - 1) // (len(z) // 8) AS p, (i - 1) % (len(z) // 8) AS q,
+    CAST(floor(4096 * CAST(z[i] AS DOUBLE)) AS BIGINT) AS v FROM kept, unnest(range(1, len(z) + 1)) AS r(i)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 16),
+b0 AS MATERIALIZED (SELECT x.p, f.e, x.q, x.v FROM x JOIN first f ON f.vec_id = x.vec_id),{rounds},{nearest.format(i=6)},
+codes AS (SELECT vec_id, string_agg(format('{{:02x}}', CAST(e AS INT)), '' ORDER BY p) AS code, sum(d) AS error FROM a6 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, q)) AS digest FROM b6)
+SELECT c.vec_id, c.code, CAST(c.error AS BIGINT) AS error,
+  CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+FROM codes c JOIN kept k ON k.vec_id = c.vec_id, books"""
+
+
+@register("op12_vector_codes", _op12_sql())
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP13_SQL = """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+  count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256 FROM documents"""
+
+
+@register("op13_content_sort", OP13_SQL)
+def op13_content_sort(spark, sf_dir):
+    return content_sort.copies(documents(spark, sf_dir))
