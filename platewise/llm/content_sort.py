@@ -8,7 +8,7 @@ a third of all rows share is spread over as many ranges as its share of rows ask
 
 Within a range, every text is compared in full with its neighbour; a run of equal ones has a size and an extreme id.
 A run that touches neither end of its range is a whole group. The runs at the ends, at most two a range, are summed by
-digest over all ranges and joined back.
+digest over all ranges and joined back by range and digest, so the rows of a group over many ranges stay apart.
 
 Defined cases: NULL counts as the empty text; of equal texts exactly one row stays, the one with the largest (or
 smallest) id, and of several such rows with that id one; a NULL id yields to any other; an empty table gives no row;
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,12 +68,12 @@ class _Runs:
 
 
 def runs(sorted_docs: DataFrame) -> DataFrame:
-    """(id, digest, run_keep, run_size, last, edge): every row with the size of its run and the id that stays in it.
+    """(id, digest, run_keep, run_size, last, edge, range): every row with the size of its run and the id that stays in it.
 
     ``last`` marks the run's last row, the one with that id; ``edge`` tells that the run may go on in another range.
     """
     def cut(batches):
-        run = _Runs()
+        run, own = _Runs(), TaskContext.get().partitionId()
         for batch in batches:
             for piece in T.slices(batch, 1):
                 rows = []
@@ -81,10 +82,10 @@ def runs(sorted_docs: DataFrame) -> DataFrame:
                         rows.append(run.close())
                         run.start(content, digest)
                     run.ids.append(one)
-                yield from written(rows)
-        yield from written([run.close(last=True)])
+                yield from written(rows, own)
+        yield from written([run.close(last=True)], own)
 
-    def written(found):
+    def written(found, own):
         found = [r for r in found if r is not None]
         if not found:
             return
@@ -96,22 +97,25 @@ def runs(sorted_docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [pa.array([i for ids, _, _ in found for i in ids], pa.int64()),
              pa.array([d for _, d, _ in found], pa.binary()).take(pa.array(of)), keep.take(pa.array(of)),
-             pa.array(sizes[of]), pa.array(last), pa.array(np.array([e for _, _, e in found])[of])],
-            ["id", "digest", "run_keep", "run_size", "last", "edge"])
+             pa.array(sizes[of]), pa.array(last), pa.array(np.array([e for _, _, e in found])[of]),
+             pa.array([own] * len(of), pa.int32())],
+            ["id", "digest", "run_keep", "run_size", "last", "edge", "range"])
 
     return sorted_docs.select("id", "content", "digest").mapInArrow(
-        cut, "id long, digest binary, run_keep long, run_size long, last boolean, edge boolean")
+        cut, "id long, digest binary, run_keep long, run_size long, last boolean, edge boolean, range int")
 
 
 def copies(docs: DataFrame, text: str | Column = "text", id_column: str = "doc_id", keep: str = "largest") -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) of every document, dropped ones included."""
     found = cut_lineage(runs(sorted_contents(docs, text, id_column, keep)))
     extreme = F.max("run_keep") if keep == "largest" else F.min("run_keep")
-    whole = found.filter("edge AND last").groupBy("digest").agg(
-        extreme.alias("all_keep"), F.sum("run_size").alias("all_size")).withColumnRenamed("digest", "of_digest")
+    heads = found.filter("edge AND last")
+    whole = heads.groupBy("digest").agg(extreme.alias("all_keep"), F.sum("run_size").alias("all_size"))
+    whole = heads.select("digest", "range").join(whole, "digest").withColumnsRenamed({"digest": "of_digest", "range": "of_range"})
     inner = found.filter("NOT edge").select(
         "id", F.col("run_keep").alias("keep_id"), F.col("run_size").alias("group_size"), F.col("last").alias("kept"), "digest")
-    ends = found.filter("edge").join(whole, F.col("digest") == F.col("of_digest")).select(
+    ends = found.filter("edge").join(
+        whole, (F.col("range") == F.col("of_range")) & (F.col("digest") == F.col("of_digest"))).select(
         "id", F.col("all_keep").alias("keep_id"), F.col("all_size").alias("group_size"),
         (F.col("last") & F.col("run_keep").eqNullSafe(F.col("all_keep"))).alias("kept"), "digest")
     return inner.unionByName(ends).select(
