@@ -14,7 +14,7 @@ the shuffle, so a text that a third of all rows share costs one row a task. The
 counts meet, at most 32 rows each.
 
 Defined cases: a NULL text is the empty text, a NULL part the empty string; a NULL id counts as larger than any other,
-and rows with equal ids are never duplicates of each other; several labels of one id count if any of them is 1,
+and rows with equal ids are never duplicates of each other; several labels of one id count if any of them is 1, labels without id belong to none,
 missing ones are 0; an empty table gives no row; other columns are not read.
 """
 
