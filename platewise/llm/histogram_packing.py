@@ -34,6 +34,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int =
     kind = part.schema["__id"].dataType.simpleString()
     step = 4 * capacity
 
+    @T.tidy
     def cut(batches):
         for batch in batches:
             for rows in T.slices(batch, 1):

@@ -73,6 +73,7 @@ def rule_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     """Columns ``keep``, the five counts and ``base_failed`` of every document."""
     part = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
 
+    @T.tidy
     def measure(batches):
         for batch in batches:
             for piece in T.slices(batch, len(keep)):
@@ -128,13 +129,15 @@ def drop_rejected(docs: DataFrame, text: str = "text", host: str = "source", lim
     """The documents that pass, with all their columns; rejected hosts are a table of their own that is joined."""
     names = list(docs.columns)
     rates = host_rates(cut_lineage(rule_statistics(docs, text, (host,))), host)
-    bad = cut_lineage(rates.filter(F.col("host_rate") > limit).select(F.col(host).alias("__bad_host")))
+    own = T.free_name(names, "bad_host")
+    bad = cut_lineage(rates.filter(F.col("host_rate") > limit).select(F.col(host).alias(own)))
     at = names.index(text)
 
+    @T.tidy
     def passing(batches):
         for batch in batches:
             for piece in T.slices(batch, at):
                 yield piece.filter(pa.array(~fails(statistics(piece.column(at)))))
 
     good = docs.mapInArrow(passing, docs.schema)
-    return good.join(bad, F.col(host) == F.col("__bad_host"), "left_anti").select(*names)
+    return good.join(bad, F.col(host) == F.col(own), "left_anti").select(*names)

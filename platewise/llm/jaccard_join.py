@@ -89,6 +89,7 @@ def _low(keys: np.ndarray, bits: int) -> np.ndarray:
 def shingle_classes(numbered: DataFrame, size: int) -> DataFrame:
     """(id, n, class, row) of every row of (id, text, row)."""
 
+    @T.tidy
     def measure(batches):
         for batch in batches:
             for piece in T.slices(batch, 1):
@@ -114,6 +115,7 @@ def widespread(docs: DataFrame, total: int, size: int = WORDS, least: int = SMAL
             low, n = _low(keys[a:b], bits), counts[a:b]
             yield bucket, low.tobytes(), n.astype("<u4").tobytes() if n.max() > 1 else b""
 
+    @T.tidy
     def count(batches):
         held, rows = [], 0
         for batch in batches:
@@ -151,6 +153,7 @@ def widespread(docs: DataFrame, total: int, size: int = WORDS, least: int = SMAL
 def _prefixes(docs: DataFrame, hot: np.ndarray, bits: int, size: int, percent: int, visit, schema: str) -> DataFrame:
     """``visit(held)`` of (class, plain prefix, widespread prefix) triples; a class is taken once per task."""
 
+    @T.tidy
     def walk(batches):
         seen, held, rows = set(), [], 0
         for batch in batches:
@@ -313,6 +316,7 @@ def class_views(docs: DataFrame, needed: DataFrame, size: int, view, name: str)
     """
     bits = membership(needed)
 
+    @T.tidy
     def measure(batches):
         seen = set()
         for batch in batches:
@@ -554,6 +558,7 @@ def drop_linked(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     rows = cut_lineage(rooted(docs, text, id_column, percent, size).filter(F.col("root").isNotNull()))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select(
         F.col("first.row").alias("row"))
-    dropped = cut_lineage(rows.join(first, "row", "left_anti").select(F.col("row").alias("__dropped")))
-    numbered = docs.withColumn("__place", F.monotonically_increasing_id())
-    return numbered.join(dropped, F.col("__place") == F.col("__dropped"), "left_anti").select(*names)
+    place, gone = T.free_name(names, "place"), T.free_name(names, "dropped")
+    dropped = cut_lineage(rows.join(first, "row", "left_anti").select(F.col("row").alias(gone)))
+    numbered = docs.withColumn(place, F.monotonically_increasing_id())
+    return numbered.join(dropped, F.col(place) == F.col(gone), "left_anti").select(*names)

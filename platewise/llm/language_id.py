@@ -213,6 +213,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", id_column: str =
     """(id, lang_pred, score) of every document."""
     part = docs.select(F.col(id_column), F.col(text).alias("__text"))
 
+    @T.tidy
     def label(batches):
         for batch in batches:
             for piece in T.slices(batch, 1):
@@ -228,6 +229,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text: str = "t
     """The documents whose language is recognised with a probability of at least ``least``, with all their columns."""
     at = docs.columns.index(text)
 
+    @T.tidy
     def passing(batches):
         for batch in batches:
             for piece in T.slices(batch, at):

@@ -136,6 +136,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, tex
     part = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     bounds = id_bounds(part, "id", parts or default_parts(docs))
 
+    @T.tidy
     def encode(batches):
         for batch in batches:
             for piece in T.slices(batch, 1):

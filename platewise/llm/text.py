@@ -6,6 +6,8 @@ kind of white space, and a NULL text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tidy(work):
+    """``work`` on the batches of a task, after which the memory it used goes back to the machine.
+
+    Python workers outlive their tasks: what the allocators keep for later would stay with a worker through all later
+    stages, in which other workers of the same executor need it.
+    """
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    global _powers
+    _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def free_name(names: list[str], base: str) -> str:
+    """``base``, lengthened until no column has that name, whatever its case."""
+    taken = {name.lower() for name in names}
+    while base in taken:
+        base += "_"
+    return base
+
+
 def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``limit`` bytes of text each; a longer text stands alone."""
     if batch.num_rows == 0:
@@ -89,7 +124,7 @@ def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
             table = np.full(size + 1, base, np.uint64)
             table[0] = 1
             tables.append(np.cumprod(table, dtype=np.uint64))
-        if size > 4 * SLICE_BYTES:  # one huge text: not worth keeping
+        if size > 2 * SLICE_BYTES:  # one huge text: not worth keeping
             return tables[0], tables[1]
         _powers = tables[0], tables[1]
     return _powers

@@ -16,7 +16,8 @@ from array import array
 
 import pyarrow as pa
 
-CACHE = 500_000
+CACHE_BYTES = 48 << 20  # of the words known to a worker and their ids
+ENTRY_BYTES = 180  # of a word and its ids besides their letters
 BATCH = 20_000
 # fixed values: the split of the word tokenizer's file, and what it finds in lower-cased plain words
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -35,9 +36,23 @@ def _tokenizer(path: str):
     return found
 
 
+class _Table(dict):
+    """Words and their ids, emptied when they hold more than ``CACHE_BYTES``."""
+
+    held = 0
+
+    def room_for(self, words: set[bytes]) -> bool:
+        self.held += sum(5 * len(w) + ENTRY_BYTES for w in words)  # an id has four bytes and at least one of the word
+        return self.held <= CACHE_BYTES
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+
 @functools.lru_cache(maxsize=2)
-def _table(path: str) -> dict[bytes, bytes]:
-    return {}
+def _table(path: str) -> _Table:
+    return _Table()
 
 
 def encode_texts(path: str, texts: list[bytes], end: int) -> list[bytes]:
@@ -46,9 +61,10 @@ def encode_texts(path: str, texts: list[bytes], end: int) -> list[bytes]:
     mark = array("I", [end]).tobytes()
     words = [text.lower().split() for text in texts]
     missing = set().union(*words).difference(known)
-    if len(known) + len(missing) > CACHE:
+    if missing and not known.room_for(missing):
         known.clear()
         missing = set().union(*words)
+        known.room_for(missing)
     if missing:
         _encode_words(path, list(missing), known)
     return [b"".join(map(known.__getitem__, own)) + mark for own in words]
