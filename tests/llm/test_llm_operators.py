@@ -754,3 +754,31 @@ def test_pipeline_equals_its_stages_by_hand(spark, docs, rows, tmp_path):
         totals[r["doc_id"]] += r["length"]
     assert collections.Counter((k, v) for k, v in totals.items()) == expected
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "jaccard_join", "packing"]
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "h", 1, 2, 3, 4, 5, 6) for i in range(3)] + [(9, "short", "h", 1, 2, 3, 4, 5, 6)]
+    rows.append((10, rows[0][1], "h", 1, 2, 3, 4, 5, 6))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, bad_host int, BAD_HOST_ int, place int, Dropped int, "
+                                     "__bad_host int, __place int")
+    assert [r["doc_id"] for r in host_rules.drop_rejected(df).orderBy("doc_id").collect()] == [0, 1, 2, 10]
+    left = jaccard_join.drop_linked(df)
+    assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == [0, 1, 2, 9]
+
+
+def test_tidy_releases_after_the_last_batch():
+    done = list(T.tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2])))
+    assert done == [2, 3] and len(T._powers[0]) == 1
+
+
+def test_word_table_is_emptied_when_it_holds_too_many_bytes(monkeypatch):
+    from platewise.llm import wordbpe
+
+    wordbpe._table.cache_clear()
+    texts = [f"word{i} other{i} w{i % 7}".encode() for i in range(300)]
+    want = encode_texts(WORD_BPE, texts, 1)
+    wordbpe._table.cache_clear()
+    monkeypatch.setattr(wordbpe, "CACHE_BYTES", 3000)
+    assert [encode_texts(WORD_BPE, [t], 1)[0] for t in texts] == want
+    assert wordbpe._table(WORD_BPE).held <= 3000
+    wordbpe._table.cache_clear()
