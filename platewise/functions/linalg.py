@@ -17,12 +17,17 @@ def condition(matrix: np.ndarray) -> float:
 
 
 def eigen_desc(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues in falling order; each vector's largest entry is made positive."""
+    """Eigenvalues in falling order; the signs of the vectors are fixed."""
     values, vectors = np.linalg.eigh(matrix)
-    values, vectors = values[::-1], vectors[:, ::-1]
-    lead = np.abs(vectors).argmax(axis=0)
+    return values[::-1], fixed_signs(vectors[:, ::-1])
+
+
+def fixed_signs(vectors: np.ndarray) -> np.ndarray:
+    """Columns whose largest entry is positive, the first one of those that are equal but for rounding."""
+    size = np.abs(vectors)
+    lead = (size >= size.max(axis=0) * (1 - 1e-9)).argmax(axis=0)
     signs = np.sign(vectors[lead, np.arange(vectors.shape[1])])
-    return values, vectors * np.where(signs == 0, 1.0, signs)
+    return vectors * np.where(signs == 0, 1.0, signs)
 
 
 def whitening(cov: np.ndarray, k: int, floor: float) -> np.ndarray:

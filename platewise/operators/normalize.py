@@ -18,7 +18,8 @@ from platewise.functions import linalg
 from platewise.functions.arrow import list_column, matrix_of
 from platewise.functions.expressions import normal_quantile, row_norm
 from platewise.operators.blocks import exact_median, largest_group, ordinal_rank, with_block
-from platewise.operators.moments import Moments, global_moments, moment_table, pilot_of, read_moments
+from platewise.operators.factors import Factor, factor_table, factors_of, global_factor
+from platewise.operators.moments import Moments, global_moments, moment_table, moments_of, pilot_of
 from platewise.operators.packed import from_long, to_long
 
 EPSILON = 1e-18
@@ -232,22 +233,27 @@ def map_by_batch(df: DataFrame, batch_col: str | None, models: DataFrame, width:
         pair, out.schema).drop("grp")
 
 
-def batch_models(moments: DataFrame, pilot: np.ndarray,
-                 fit: Callable[[Moments], tuple[str, list[np.ndarray] | None]]) -> DataFrame:
-    """Turn each ``moment_table`` row into a model inside a task."""
+def batch_models(fitted: DataFrame, read: Callable, fit: Callable) -> DataFrame:
+    """Turn each row of a table of moments or factors into a model inside a task.
 
+    ``read`` yields (group, statistics) from an Arrow batch, ``fit`` makes (status, payload) of the statistics.
+    """
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            fitted = [(r["grp"], *fit(read_moments(r["n"], r["rows"], pilot))) for r in rows]
+            models = [(group, *fit(found)) for group, found in read(batch)]
             yield pa.RecordBatch.from_pydict({
-                "grp": pa.array([f[0] for f in fitted], pa.string()),
-                "status": pa.array([f[1] for f in fitted], pa.string()),
-                "payload": pa.array([None if f[2] is None else [np.ravel(p).tolist() for p in f[2]]
-                                     for f in fitted], pa.list_(pa.list_(pa.float64()))),
+                "grp": pa.array([m[0] for m in models], pa.string()),
+                "status": pa.array([m[1] for m in models], pa.string()),
+                "payload": pa.array([None if m[2] is None else [np.ravel(p) for p in m[2]] for m in models],
+                                    pa.list_(pa.list_(pa.float64()))),
             })
 
-    return moments.mapInArrow(run, "grp string, status string, payload array<array<double>>")
+    return fitted.mapInArrow(run, "grp string, status string, payload array<array<double>>")
+
+
+def moment_models(moments: DataFrame, pilot: np.ndarray,
+                  fit: Callable[[Moments], tuple[str, list[np.ndarray] | None]]) -> DataFrame:
+    return batch_models(moments, lambda batch: moments_of(batch, pilot), fit)
 
 
 def controls_of(df: DataFrame, control: str | None) -> DataFrame:
@@ -277,7 +283,7 @@ def tvn(df: DataFrame, batch_col: str | None = C.PLATE, control: str | None = C.
         power = linalg.sym_power(cov + eps * np.eye(d), -alpha)
         return ("ill conditioned" if bad else "ok"), [m.mean, power]
 
-    models = batch_models(moment_table(source, batch_key(batch_col), pilot), pilot, fit)
+    models = moment_models(moment_table(source, batch_key(batch_col), pilot), pilot, fit)
     return map_by_batch(df, batch_col, models, d * d + d, lambda p, x: x if p is None else
                         (x - p[0]) @ p[1].reshape(d, d))
 
@@ -330,7 +336,7 @@ def tvn_efaar(df: DataFrame, batch_col: str | None = C.PLATE, control: str = C.N
         second = m.scatter / np.outer(spread, spread) + m.n * np.outer(mean, mean)
         return "part", [np.array([m.n]), m.n * mean, second]
 
-    parts = batch_models(table, zero, pooled)
+    parts = moment_models(table, zero, pooled)
     flat = parts.select(array_to_vector(F.flatten("payload")).alias("v"))
     total = np.asarray(flat.agg(Summarizer.sum(F.col("v"))).first()[0].toArray())
     n, first, second = total[0], total[1:k + 1], total[k + 1:].reshape(k, k)
@@ -349,7 +355,7 @@ def tvn_efaar(df: DataFrame, batch_col: str | None = C.PLATE, control: str = C.N
         move = (linalg.sym_power(source, -0.5) @ recolor) / spread[:, None]
         return ("ill conditioned" if bad else "ok"), [shift, move]
 
-    models = batch_models(table, zero, fit)
+    models = moment_models(table, zero, fit)
     out = map_by_batch(reduced, batch_col, models, k * k + k, lambda p, x: x if p is None else
                        (x - p[0]) @ p[1].reshape(k, k))
     return out, [f"PC_{i}" for i in range(k)]
@@ -371,7 +377,7 @@ def shrinkage_models(reduced: DataFrame, controls: DataFrame, batch_col: str, k:
         bad = linalg.condition(cov) > linalg.ILL_CONDITIONED
         return ("ill conditioned" if bad else "ok"), [linalg.sym_power(cov, -0.5)]
 
-    return batch_models(moment_table(controls, batch_key(batch_col), zero, True), zero, fit)
+    return moment_models(moment_table(controls, batch_key(batch_col), zero, True), zero, fit)
 
 
 def apply_shrinkage(reduced: DataFrame, models: DataFrame, batch_col: str, k: int) -> DataFrame:
@@ -426,24 +432,28 @@ def removed_components(values: np.ndarray, n: int, d: int, method: str, threshol
     return min(int(np.searchsorted(share, threshold)) + 1, rank - 1)
 
 
-def spherize_parts(m: Moments, method: str, center: bool):
-    """(shift, scale, spectrum, vectors) of the working matrix."""
-    d = m.mean.size
-    scale = np.ones(d)
+def spherize_parts(m: Factor, method: str, center: bool):
+    """(shift, scale, singular values, vectors) of the working matrix, from its triangular factor.
+
+    The factor has the singular values of the rows themselves, so a condition of 1e12 is still told from one of 1e10;
+    the square root of Gram eigenvalues ends at about 1e8.
+    """
+    scale = np.ones(m.mean.size)
     if "cor" in method:
         scale = m.std()
         scale = np.where(scale < 1e-10, 1.0, scale)
-    shift = m.mean if ("cor" in method or center) else np.zeros(d)
-    gram = m.scatter + m.n * np.outer(m.mean - shift, m.mean - shift)
-    values, vectors = linalg.eigen_desc(gram / np.outer(scale, scale))
-    rank = min(m.n, d)
-    return shift, scale, np.maximum(values[:rank], 0.0), vectors[:, :rank]
+    centred = "cor" in method or center
+    shift = m.mean if centred else np.zeros(m.mean.size)
+    _, sigma, vectors = np.linalg.svd((m.root if centred else m.raw_root()) / scale)
+    vectors = linalg.fixed_signs(vectors.T)
+    rank = min(m.n, m.mean.size)
+    sigma = np.append(sigma, np.zeros(max(0, rank - len(sigma))))
+    return shift, scale, sigma[:rank], vectors[:, :rank]
 
 
-def spherize_map(m: Moments, method: str, epsilon: float, center: bool) -> tuple[str, list[np.ndarray]]:
+def spherize_map(m: Factor, method: str, epsilon: float, center: bool) -> tuple[str, list[np.ndarray]]:
     """Whitening model of one batch: shift, scale and a d-by-d matrix."""
-    shift, scale, values, vectors = spherize_parts(m, method, center)
-    sigma = np.sqrt(values)
+    shift, scale, sigma, vectors = spherize_parts(m, method, center)
     cond = float("inf") if sigma[-1] <= 0 else sigma[0] / sigma[-1]
     d, rank = vectors.shape
     w = vectors / (sigma + epsilon) * np.sqrt(max(m.n - 1, 0))
@@ -489,7 +499,7 @@ def spherize(df: DataFrame, batch_col: str | None = C.PLATE, control: str | None
         pilot = pilot_of(df)
         d = pilot.size
         rows = fit_rows(df, batch_col, control)
-        models = batch_models(moment_table(rows, "grp", pilot), pilot,
+        models = batch_models(factor_table(rows, "grp", pilot), lambda batch: factors_of(batch, pilot),
                               lambda m: spherize_map(m, method, epsilon, center))
         return map_by_batch(df, batch_col, models, d * d + 2 * d,
                             lambda p, x: ((x - p[0]) / p[1]) @ p[2].reshape(d, d))
@@ -498,14 +508,14 @@ def spherize(df: DataFrame, batch_col: str | None = C.PLATE, control: str | None
     source = controls_of(df, control)
     if source.limit(1).count() == 0:
         source = df
-    m = global_moments(source)
+    m = global_factor(source)
     d = m.mean.size
-    shift, scale, values, vectors = spherize_parts(m, method, center)
+    shift, scale, sigma, vectors = spherize_parts(m, method, center)
     random_max = None
     if remove_variance_method == "pa":
         work = map_features(source.select(row_id, C.FEATURES), lambda x: (x - shift) / scale)
         random_max = permuted_spectrum(work, row_id, n_permutations, seed)
-    k = removed_components(values, m.n, d, remove_variance_method, remove_variance_threshold, random_max)
+    k = removed_components(sigma ** 2, m.n, d, remove_variance_method, remove_variance_threshold, random_max)
     w = vectors[:, k:] if k else spherize_map(m, method, epsilon, center)[1][2]
     return map_features(df, lambda x: ((x - shift) / scale) @ w).withColumn(
         "model_status", F.lit(f"removed {k}" if k else "ok"))

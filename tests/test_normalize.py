@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from platewise.functions import linalg
 from platewise.operators import normalize as N
-from platewise.operators.moments import global_moments, moment_table, pilot_of, read_moments
+from platewise.operators import moments as MO
+from platewise.operators.factors import factor_table, factors_of, global_factor
+from platewise.operators.moments import global_moments, moment_table, moments_of, pilot_of
 
 
 def matrix(df):
@@ -26,15 +28,92 @@ def test_moments_match_numpy(profiles):
     assert np.isclose(m.fourth, (((x - x.mean(axis=0)) ** 2).sum(axis=1) ** 2).sum())
 
 
-def test_grouped_moments_survive_a_tiny_memory_budget(profiles, monkeypatch):
-    from platewise.operators import moments
+def grouped_moments(df, pilot):
+    table = moment_table(df, "Metadata_Plate", pilot).toArrow()
+    return {g: m for batch in table.to_batches() for g, m in moments_of(batch, pilot)}
 
-    monkeypatch.setattr(moments, "BUDGET_BYTES", 1)
+
+def test_grouped_moments_in_bands_and_salts(profiles, monkeypatch):
+    x, plate, _ = frame(profiles)
+    pilot = pilot_of(profiles)
+    for band, rows in ((1 << 20, 8192), (1, 8192), (100, 10)):
+        monkeypatch.setattr(MO, "BAND_BYTES", band)
+        monkeypatch.setattr(MO, "LEAST_ROWS", rows)
+        found = grouped_moments(profiles, pilot)
+        assert set(found) == set(plate)
+        for group, got in found.items():
+            assert got.n == (plate == group).sum() and np.allclose(got.cov(), np.cov(x[plate == group].T))
+
+
+def test_partial_moments_of_mixed_plates_stay_below_models_and_input(spark, monkeypatch):
+    """100 plates, their rows mixed over 40 tasks: matrix rows are counted, not only summed."""
+    monkeypatch.setattr(MO, "LEAST_ROWS", 1)
+    d, plates, each = 20, 100, 200
+    rows = [(f"P{i % plates}", np.random.default_rng(i).normal(size=d).tolist()) for i in range(plates * each)]
+    df = spark.createDataFrame(rows, "Metadata_Plate string, features array<double>").repartition(40)
+    pilot = pilot_of(df)
+    partial = MO.partial_moments(MO.dealt_rows(df, "Metadata_Plate", d), pilot).count()
+    assert partial <= (d + 1) * plates + (plates * each) * 1.05 / MO.ROWS_PER_FEATURE * (d + 1) / d
+    found = grouped_moments(df, pilot)
+    x = np.array([r[1] for r in rows])
+    assert np.allclose(found["P7"].cov(), np.cov(x[7::plates].T))
+
+
+# ---- triangular factors ------------------------------------------------------------
+
+
+def conditioned(rng, n, d, cond):
+    """Centred rows whose singular values run from 1 down to 1 / cond."""
+    u = np.linalg.qr(rng.normal(size=(n, d)) - 0)[0]
+    u = np.linalg.qr(u - u.mean(axis=0))[0]
+    v = np.linalg.qr(rng.normal(size=(d, d)))[0]
+    return u * np.logspace(0, -np.log10(cond), d) @ v.T
+
+
+@pytest.mark.parametrize("salts", [8192, 10])
+def test_factors_agree_with_numpy(profiles, monkeypatch, salts):
+    monkeypatch.setattr(MO, "LEAST_ROWS", salts)
+    monkeypatch.setattr("platewise.operators.factors.FAN", 2)
     x, plate, _ = frame(profiles)
     pilot = pilot_of(profiles)
-    for row in moment_table(profiles, "Metadata_Plate", pilot).collect():
-        got = read_moments(row["n"], row["rows"], pilot)
-        assert np.allclose(got.cov(), np.cov(x[plate == row["grp"]].T))
+    table = factor_table(profiles, "Metadata_Plate", pilot).toArrow()
+    found = {g: f for batch in table.to_batches() for g, f in factors_of(batch, pilot)}
+    assert set(found) == set(plate) and table.num_rows == 4
+    for group, f in found.items():
+        part = x[plate == group]
+        assert f.n == len(part) and np.allclose(f.mean, part.mean(0)) and np.allclose(f.std(), part.std(0))
+        centred = np.linalg.svd(part - part.mean(0), compute_uv=False)
+        assert np.allclose(np.linalg.svd(f.root, compute_uv=False), centred)
+        assert np.allclose(np.linalg.svd(f.raw_root(), compute_uv=False), np.linalg.svd(part, compute_uv=False))
+
+
+def test_condition_is_told_beyond_the_reach_of_gram_matrices(spark):
+    rng = np.random.default_rng(8)
+    conds = {"P0": 1e6, "P1": 1e9, "P2": 1e11, "P3": 1e12}
+    parts = {p: conditioned(rng, 400, 12, c) for p, c in conds.items()}
+    rows = [(p, x.tolist()) for p, part in parts.items() for x in part]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(p, x) for p, x in rows], "Metadata_Plate string, features array<double>")
+    pilot = np.zeros(12)
+    for batch in factor_table(df, "Metadata_Plate", pilot).toArrow().to_batches():
+        for group, f in factors_of(batch, pilot):
+            sigma = np.linalg.svd(f.root, compute_uv=False)
+            assert np.isclose(sigma[0] / sigma[-1], conds[group], rtol=1e-2)
+    out = N.spherize(df.withColumn("row_id", F.monotonically_increasing_id()), "Metadata_Plate", None, "ZCA", epsilon=1e-15)
+    states = {r[0]: r[1] for r in out.select("Metadata_Plate", "model_status").distinct().collect()}
+    assert states == {"P0": "ok", "P1": "ok", "P2": "ill conditioned", "P3": "ill conditioned"}
+
+
+def test_spherize_per_plate_against_numpy(profiles):
+    x, plate, _ = frame(profiles)
+    for method in ("ZCA", "PCA", "ZCA-cor", "PCA-cor"):
+        got = matrix(N.spherize(profiles, "Metadata_Plate", None, method, epsilon=1e-6))
+        for p in np.unique(plate):
+            part = x[plate == p]
+            work = (part - part.mean(0)) / (part.std(0) if "cor" in method else 1.0)
+            _, sigma, vt = np.linalg.svd(work, full_matrices=False)
+            w = linalg.fixed_signs(vt.T) / (sigma + 1e-6) * np.sqrt(len(part) - 1)
+            assert np.allclose(got[plate == p], work @ (w @ linalg.fixed_signs(vt.T).T if "ZCA" in method else w), atol=1e-7)
 
 
 def test_standardize_falls_back_to_all_rows_without_controls(profiles):
