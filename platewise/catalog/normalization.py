@@ -131,14 +131,6 @@ def pca_total_variance(spark, sf_dir):
     return spark.createDataFrame([(round(total, 6),)], "total_variance double")
 
 
-def shape(df: DataFrame) -> DataFrame:
-    """Rows, width and finiteness per plate of a corrected table."""
-    return df.groupBy(C.PLATE).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size(C.FEATURES)).alias("width"),
-        F.min(F.forall(C.FEATURES, lambda x: ~F.isnan(x)).cast("int")).alias("finite"),
-        F.max("model_status").alias("status"))
-
-
 @register("tvn_control_means", f"""WITH {PROFILES} SELECT plate, pos, 0.0e0 AS value FROM cells WHERE negcon GROUP BY plate, pos""")
 def tvn_control_means(spark, sf_dir):
     """The controls of every corrected plate are centred."""
@@ -155,29 +147,29 @@ def leading_variance(spark, sf_dir):
 
 @register("tvn")
 def tvn(spark, sf_dir):
-    return shape(normalize.tvn(profiles(spark, sf_dir)))
+    return cells(normalize.tvn(profiles(spark, sf_dir)))
 
 
 @register("tvn_efaar")
 def tvn_efaar(spark, sf_dir):
-    return shape(normalize.tvn_efaar(profiles(spark, sf_dir), n_components=16)[0])
+    return cells(normalize.tvn_efaar(profiles(spark, sf_dir), n_components=16)[0])
 
 
 @register("tvn_original")
 def tvn_original(spark, sf_dir):
-    return shape(normalize.tvn_original(profiles(spark, sf_dir), k=16)[0])
+    return cells(normalize.tvn_original(profiles(spark, sf_dir), k=16)[0])
 
 
 @register("tvn_cascade")
 def tvn_cascade(spark, sf_dir):
-    return shape(normalize.tvn_cascade(profiles(spark, sf_dir), k1=32, k2=8)[0])
+    return cells(normalize.tvn_cascade(profiles(spark, sf_dir), k1=32, k2=8)[0])
 
 
 @register("spherize_per_plate")
 def spherize_per_plate(spark, sf_dir):
-    return shape(normalize.spherize(profiles(spark, sf_dir), C.PLATE, None, "ZCA-cor"))
+    return cells(normalize.spherize(profiles(spark, sf_dir), C.PLATE, None, "ZCA-cor"))
 
 
 @register("spherize_truncated")
 def spherize_truncated(spark, sf_dir):
-    return shape(normalize.spherize(profiles(spark, sf_dir), None, None, remove_variance_method="mp"))
+    return cells(normalize.spherize(profiles(spark, sf_dir), None, None, remove_variance_method="mp"))
