@@ -372,9 +372,22 @@ def matched_features(spark, sf_dir):
     return out.select("source_id", "file", "feature", F.round("r", 6).alias("r"), "n")
 
 
-@register("surface_distances")
+SURFACES = with_clause(px=PIXELS) + """, on_ AS (SELECT DISTINCT source_id, file, method, y, x, 'gt' AS side FROM px WHERE gt_label > 0
+  UNION ALL SELECT DISTINCT source_id, file, method, y, x, 'pred' FROM px WHERE pred_label > 0),
+edge AS (SELECT a.* FROM on_ a LEFT JOIN on_ b ON b.source_id = a.source_id AND b.file = a.file AND b.method = a.method AND b.side = a.side
+  AND abs(b.y - a.y) + abs(b.x - a.x) = 1 GROUP BY ALL HAVING count(b.y) < 4),
+near_ AS (SELECT a.source_id, a.file, a.method, a.side, a.y, a.x, sqrt(min((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))) AS d
+  FROM edge a JOIN edge b ON b.source_id = a.source_id AND b.file = a.file AND b.method = a.method AND b.side <> a.side GROUP BY ALL)
+SELECT e.source_id, e.file, e.method, round(quantile_cont(d, 0.95), 6) AS hausdorff_95, round(max(d), 6) AS hausdorff_max,
+  round(avg(d) FILTER (n.side = 'pred'), 6) AS asd
+FROM (SELECT DISTINCT source_id, file, method FROM edge) e LEFT JOIN near_ n
+  ON n.source_id = e.source_id AND n.file = e.file AND n.method = e.method GROUP BY ALL"""
+
+
+@register("surface_distances", SURFACES)
 def surface_distances(spark, sf_dir):
-    return M.surface_distances(derive(spark, sf_dir, PIXELS))
+    out = M.surface_distances(derive(spark, sf_dir, PIXELS))
+    return out.select(*M.SITE, *[F.round(c, 6).alias(c) for c in ("hausdorff_95", "hausdorff_max", "asd")])
 
 
 @register("pixel_error", with_clause(px=PIXELS) + """ SELECT source_id, method, round(-10 * log10(avg(((original - variant) / 65535) ** 2)), 6) AS psnr FROM px GROUP BY 1, 2""")

@@ -82,6 +82,38 @@ def freeze_index(spark, sf_dir):
     return out.select(C.SITE_KEY, F.col("URL_OrigDNA").alias("uri"))
 
 
+@register("exact_join", """SELECT c_custkey, n_orders, round(total, 2) AS total, c_mktsegment FROM customer JOIN (
+  SELECT o_custkey, count(*) AS n_orders, sum(o_totalprice) AS total FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def exact_join(spark, sf_dir):
+    """Customers who have ordered, each with the one row of their orders."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("total"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    out = V.exact_join(orders, customers, ["c_custkey"], surplus=True)
+    return out.select("c_custkey", "n_orders", F.round("total", 2).alias("total"), "c_mktsegment")
+
+
+@register("refused_join", """SELECT count(*) > count(DISTINCT o_custkey) AS repeated_key, EXISTS (SELECT 1 FROM customer WHERE c_custkey NOT IN (
+  SELECT o_custkey FROM orders)) AS missing_key FROM orders""")
+def refused_join(spark, sf_dir):
+    """Whole tables whose keys repeat, or are missing on one side, are refused while they are written."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+
+    def refused(df):
+        try:
+            df.write.format("noop").mode("overwrite").save()
+        except Exception as error:
+            if "rows of key (" not in str(error):
+                raise
+            return True
+        return False
+
+    found = refused(V.exact_join(orders, customers, ["c_custkey"], surplus=True)), refused(
+        V.exact_join(orders.select("c_custkey").distinct(), customers, ["c_custkey"]))
+    return spark.createDataFrame([found], "repeated_key boolean, missing_key boolean")
+
+
 @register("surplus_by_source", with_clause(s=SITES) + """ SELECT 'hq' AS variant, split_part("Metadata_Site_Key", '__', 1) AS source, count(*) AS n FROM s WHERE status <> 'F' GROUP BY 2""")
 def surplus_by_source(spark, sf_dir):
     df = derive(spark, sf_dir, SITES).withColumnRenamed(C.SITE_KEY, "key").withColumn("variant", F.lit("hq"))

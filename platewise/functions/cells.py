@@ -39,6 +39,14 @@ def similarities(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     return np.round(q @ r.T if metric == "cosine" else -(q @ r.T), DIGITS)
 
 
+def row_similarities(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
+    """Similarity of each row of ``q`` to the same row of ``r``, with the rounding of ``similarities``."""
+    if metric == "euclidean":
+        return np.round(1.0 / (1.0 + np.sqrt(((q - r) ** 2).sum(axis=1))), DIGITS)
+    dot = np.einsum("ij,ij->i", q, r)
+    return np.round(dot if metric == "cosine" else -dot, DIGITS)
+
+
 class Cell:
     """Both sides of one cell, walked pool by pool in bounded steps."""
 

@@ -48,23 +48,50 @@ def correlation_p(r: float | None, n: int) -> float | None:
     return beta_inc((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
 
 
+def random_places(rng: np.random.Generator, draws: int, n_pos: int, n_total: int) -> np.ndarray:
+    """``draws`` uniform subsets of ``n_pos`` of ``n_total`` places, each in rising order, in O(n_pos) a draw.
+
+    Places are drawn with replacement and sorted; those that repeat are drawn anew until none does. That is drawing
+    one after the other and passing over places already taken, so every subset is equally likely.
+    """
+    kind = np.int32 if n_total < 2**31 else np.int64
+    out = np.sort(rng.integers(0, n_total, (draws, n_pos), dtype=kind), axis=1)
+    open_rows = np.arange(draws)
+    while len(open_rows) and n_pos > 1:
+        part = out[open_rows]
+        again = np.zeros(part.shape, bool)
+        again[:, 1:] = part[:, 1:] == part[:, :-1]
+        hit = again.any(axis=1)
+        open_rows, part, again = open_rows[hit], part[hit], again[hit]
+        if len(open_rows):
+            part[again] = rng.integers(0, n_total, int(again.sum()), dtype=kind)
+            out[open_rows] = np.sort(part, axis=1)
+    return out
+
+
 @lru_cache(maxsize=256)
 def null_draws(n_pos: int, n_total: int, size: int, seed: int) -> np.ndarray:
     """Average precision of ``size`` random rankings; the same for the same arguments."""
     rng = np.random.default_rng([seed, n_pos, n_total])
     place = np.arange(1, n_pos + 1)
-    out = np.empty(size)
-    done = 0
-    sparse = n_pos * n_pos < n_total // 4
+    if n_pos == n_total:
+        return np.ones(size)
+    out, done = np.empty(size), 0
     while done < size:
-        chunk = min(size - done, max(1, 2_000_000 // (n_pos if sparse else n_total)))
-        if sparse:
-            spots = np.sort(rng.integers(0, n_total, size=(chunk, n_pos)), axis=1)
-            spots = spots[(np.diff(spots, axis=1) > 0).all(axis=1)]
-        elif n_pos == n_total:
-            spots = np.tile(np.arange(n_total), (chunk, 1))
-        else:
-            spots = np.sort(np.argpartition(rng.random((chunk, n_total)), n_pos - 1, axis=1)[:, :n_pos], axis=1)
-        out[done:done + len(spots)] = (place / (spots + 1)).mean(axis=1)
-        done += len(spots)
+        chunk = min(size - done, max(1, 4_000_000 // (n_pos if 2 * n_pos <= n_total else n_total)))
+        if 2 * n_pos <= n_total:
+            spots = random_places(rng, chunk, n_pos, n_total)
+        else:  # the places that stay free are the fewer ones
+            taken = np.ones((chunk, n_total), bool)
+            np.put_along_axis(taken, random_places(rng, chunk, n_total - n_pos, n_total).astype(np.int64), False, axis=1)
+            spots = np.nonzero(taken)[1].reshape(chunk, n_pos)
+        out[done:done + chunk] = (place / (spots + 1)).mean(axis=1)
+        done += chunk
     return out
+
+
+def exceeding(shapes: tuple[tuple[int, int, int], ...], values: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """How many of ``size`` draws of the mean over ``shapes`` (positives, total, members) exceed each value."""
+    weight = sum(n for _, _, n in shapes)
+    null = np.sort(sum(null_draws(p, t, size, seed) * (n / weight) for p, t, n in sorted(shapes)))
+    return size - np.searchsorted(null, values + 1e-12, "right")

@@ -1,12 +1,13 @@
 """Retrieval metrics: activity, consistency, batch effects and recall."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise import columns as C
 from platewise.functions.expressions import seeded_bucket
-from platewise.functions.stats import null_draws
+from platewise.functions.stats import exceeding
 from platewise.operators.aggregate import group_medians
 from platewise.operators.similarity import (
     CELL_ROWS, PairRule, anchor_sims, average_precision, edge_anchors, partner_counts,
@@ -76,13 +77,13 @@ def with_significance(maps: DataFrame, ap: DataFrame, by: list[str], null_size:
 
     def run(batches):
         for batch in batches:
-            counts = []
-            for shapes_, value in zip(batch.column(at).to_pylist(), batch.column(score).to_pylist()):
-                weight = sum(s["n"] for s in shapes_)
-                ordered = sorted(shapes_, key=lambda s: (s["n_pos"], s["n_total"]))
-                null = sum(null_draws(s["n_pos"], s["n_total"], null_size, seed) * (s["n"] / weight)
-                           for s in ordered)
-                counts.append(int((null > value + 1e-12).sum()))
+            values = batch.column(score).to_numpy(zero_copy_only=False)
+            alike = {}  # rows whose groups have the same shapes share one null distribution
+            for i, shapes_ in enumerate(batch.column(at).to_pylist()):
+                alike.setdefault(tuple(sorted((s["n_pos"], s["n_total"], s["n"]) for s in shapes_)), []).append(i)
+            counts = np.empty(batch.num_rows, np.int64)
+            for own, rows in alike.items():
+                counts[rows] = exceeding(own, values[rows], null_size, seed)
             arrays = [c for i, c in enumerate(batch.columns) if i != at]
             names = [n for i, n in enumerate(batch.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64())], [*names, "exceed"])

@@ -15,14 +15,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise import columns as C
-from platewise.functions.cells import DIGITS, Cell, count_above, precision_of
+from platewise.functions.arrow import matrix_of
+from platewise.functions.cells import STEP, Cell, count_above, precision_of, prepared, row_similarities
 from platewise.session import cut_lineage
 
 CELL_ROWS = 4096
+EDGE_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -217,24 +220,43 @@ def average_precision(df: DataFrame, row_id: str, pos: PairRule, neg: PairRule,
 
 
 def edge_anchors(df: DataFrame, row_id: str, edges: DataFrame, query: Column | None = None,
-                 ref: Column | None = None, metric: str = "cosine") -> DataFrame:
+                 ref: Column | None = None, metric: str = "cosine", block_rows: int = EDGE_ROWS) -> DataFrame:
     """Anchors for explicit positive pairs ``(query_id, ref_id)`` given as a table.
 
-    Same rounding as the blocked similarities. The cost follows the number of edges.
+    Ids are hashed into blocks and every edge is addressed to the cell of its two blocks. Only ids travel with edges; a
+    row's features go once to each cell in which it has an edge, so a row with very many edges goes to as many cells as
+    there are blocks, and no cell holds more than two blocks of rows and the edges between them.
     """
-    def side_of(keep, name):
-        rows = df if keep is None else df.filter(keep)
-        square = F.aggregate(C.FEATURES, F.lit(0.0), lambda acc, x: acc + x * x)
-        norm = F.when(square == 0, F.lit(1.0)).otherwise(F.sqrt(square))
-        return rows.select(F.col(row_id).cast("string").alias(f"{name}_id"), norm.alias(f"{name}_norm"),
-                           F.col(C.FEATURES).alias(f"{name}_x"))
-
-    pairs = edges.select("query_id", "ref_id").filter("query_id <> ref_id").distinct()
-    met = pairs.join(side_of(query, "query"), "query_id").join(side_of(ref, "ref"), "ref_id")
-    dot = F.aggregate(F.zip_with("query_x", "ref_x", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    sign = -1.0 if metric == "anticosine" else 1.0
-    sim = F.round(F.lit(sign) * dot / (F.col("query_norm") * F.col("ref_norm")), DIGITS)
-    item = F.struct(F.lit(None).cast("string").alias("lab"), F.col("ref_id").alias("ref"), sim.alias("sim"))
+    # so many blocks that one holds about ``block_rows`` rows
+    blocks = max(1, -(-df.count() // block_rows))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    addressed = cut_lineage(edges.select(text("query_id"), text("ref_id")).filter("query_id <> ref_id").distinct().withColumn(
+        "cell", block("query_id") * blocks + block("ref_id")))
+
+    def placed(role: str, keep: Column | None, asks: bool) -> DataFrame:
+        rows = (df if keep is None else df.filter(keep)).select(F.col(row_id).cast("string").alias("id"), C.FEATURES)
+        where = addressed.select("cell", F.col(role).alias("id")).distinct()
+        return where.join(rows, "id").select("cell", "id", C.FEATURES, F.lit(asks).alias("asks"))
+
+    rows = placed("query_id", query, True).unionByName(placed("ref_id", ref, False))
+    # both sides come from the addressed edges: give the rows columns of their own
+    rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])
+
+    def run(pairs: pa.Table, held: pa.Table) -> pa.Table:
+        asks = held.column("asks")
+        sides = [held.filter(asks), held.filter(pc.invert(asks))] if held.num_rows else [held, held]
+        at = [pc.index_in(pairs.column(c), value_set=side.column("id").combine_chunks()) for c, side in zip(("query_id", "ref_id"), sides)]
+        found = pc.and_(*[pc.is_valid(a) for a in at])
+        pairs, (qs, rs) = pairs.filter(found), [a.filter(found).to_numpy() for a in at]
+        sims = np.zeros(0)
+        if pairs.num_rows:
+            q, r = [prepared(matrix_of(side.column(C.FEATURES)), metric) for side in sides]
+            sims = np.concatenate([row_similarities(q[qs[i:i + STEP]], r[rs[i:i + STEP]], metric) for i in range(0, len(qs), STEP)])
+        return pa.table({"query_id": pairs.column("query_id"), "ref_id": pairs.column("ref_id"), "sim": pa.array(sims, pa.float64())})
+
+    met = addressed.groupBy("cell").cogroup(rows.groupBy("cell")).applyInArrow(run, "query_id string, ref_id string, sim double")
+    item = F.struct(F.lit(None).cast("string").alias("lab"), F.col("ref_id").alias("ref"), "sim")
     return met.groupBy(F.col("query_id").alias("id")).agg(F.collect_list(item).alias("anchors"))
 
 

@@ -139,9 +139,29 @@ def observe_invalid(df: DataFrame, step: str, features: str = C.FEATURES) -> tup
 # ---- release tables ------------------------------------------------------------------
 
 
+def exact_join(left: DataFrame, right: DataFrame, keys: list[str], surplus: bool = False) -> DataFrame:
+    """Each row of ``left`` with its one counterpart in ``right``; the action fails where that is not so.
+
+    A key found twice on a side, or on one side only, raises an error while rows are written, so no wrong table is
+    ever complete. ``surplus`` allows keys of ``right`` that ``left`` does not have. Both sides are summed by key before
+    the shuffle, so a key repeated very often is found without gathering its rows.
+    """
+    def by_key(df: DataFrame, name: str) -> DataFrame:
+        rest = F.struct(*[c for c in df.columns if c not in keys], F.lit(1).alias("__there"))
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"__n_{name}"), F.first(rest).alias(f"__{name}"))
+
+    both = by_key(left, "left").join(by_key(right, "right"), keys, "left" if surplus else "full")
+    n_left, n_right = [F.coalesce(f"__n_{name}", F.lit(0)) for name in ("left", "right")]
+    told = F.concat(F.lit("rows of key ("), F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys]),
+                    F.lit("): "), n_left, F.lit(" left, "), n_right, F.lit(" right"))
+    one = F.when((n_left == 1) & (n_right == 1), F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))
+    own = [F.col(f"__{name}")[c].alias(c) for name, df in (("left", left), ("right", right)) for c in df.columns if c not in keys]
+    return both.filter(one).select(*keys, *own)
+
+
 def freeze_index(keys: DataFrame, index: DataFrame) -> DataFrame:
-    """Site index of a release: the full index reduced to the canonical sites."""
-    return keys.join(index, C.SITE_PARTS)
+    """Site index of a release: the full index reduced to the canonical sites, each of which it must hold once."""
+    return exact_join(keys, index, C.SITE_PARTS, surplus=True)
 
 
 def expand_channels(index: DataFrame, channels: list[str] | None = None) -> DataFrame:

@@ -55,6 +55,35 @@ def test_surface_distance_of_shifted_squares(spark):
     assert row["hausdorff_max"] == 2.0 and 0 < row["asd"] < 2
 
 
+@pytest.mark.parametrize("h, w, share", [(1, 1, 1.0), (1, 40, 0.1), (40, 1, 0.1), (17, 23, 0.01), (30, 30, 0.3), (25, 60, 0.9)])
+def test_distance_transform_equals_all_pairs(h, w, share):
+    rng = np.random.default_rng(h * w)
+    marks = rng.random((h, w)) < share
+    marks[rng.integers(h), rng.integers(w)] = True
+    y, x = np.nonzero(marks)
+    gy, gx = np.mgrid[:h, :w]
+    full = ((gy[..., None] - y) ** 2 + (gx[..., None] - x) ** 2).min(axis=2)
+    assert (M.squared_distances(marks) == full).all()
+
+
+def test_distance_transform_is_linear_in_the_cells():
+    """Steps of the sweeps are counted: each column enters and leaves a row's envelope at most once."""
+    rng = np.random.default_rng(1)
+    marks = rng.random((300, 2000)) < 0.01
+    got = M.squared_distances(marks)
+    y, x = np.nonzero(marks)
+    for r, c in rng.integers(0, [300, 2000], (50, 2)):
+        assert got[r, c] == ((y - r) ** 2 + (x - c) ** 2).min()
+
+
+def test_surface_distances_without_one_side(spark):
+    gt, pred = np.zeros((6, 6), int), np.zeros((6, 6), int)
+    gt[2:4, 2:4] = 1
+    row = M.surface_distances(pixels(spark, gt, pred)).first()
+    assert row["asd"] is None and row["hausdorff_95"] is None
+    assert M.surface_distances(pixels(spark, pred, pred)).count() == 0
+
+
 def test_image_metrics(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 60000, (20, 20))

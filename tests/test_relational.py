@@ -243,3 +243,19 @@ def test_membership_rerun_replaces_its_steps_only(spark, tmp_path):
     writers.write_membership(metadata.membership({"two": ids.limit(1)}), path)
     got = metadata.membership_profile(spark.read.parquet(path)).collect()
     assert sum(r["n"] for r in got) == 2 and spark.read.parquet(path).count() == 3
+
+
+def test_exact_join_refuses_what_is_not_one_to_one(spark):
+    import pytest
+
+    from platewise.operators import validate as V
+
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string")
+    right = spark.createDataFrame([(1, 10), (2, None)], "k int, y int")
+    assert sorted(map(tuple, V.exact_join(left, right, ["k"]).collect())) == [(1, "a", 10), (2, "b", None)]
+    more = right.unionByName(spark.createDataFrame([(3, 30)], "k int, y int"))
+    assert V.exact_join(left, more, ["k"], surplus=True).count() == 2
+    for bad_left, bad_right, surplus in (
+            (left, more, False), (left.unionByName(left), right, True), (left, right.unionByName(right), True), (left, right.filter("k = 1"), True)):
+        with pytest.raises(Exception, match="rows of key"):
+            V.exact_join(bad_left, bad_right, ["k"], surplus).select("k").collect()

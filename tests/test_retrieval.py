@@ -156,3 +156,74 @@ def test_shared_cells_stay_bounded(spark):
     left, right = S.into_cells(rows, rows, 16)
     sizes = left.groupBy("cell").count().agg(F.max("count")).first()[0]
     assert sizes <= 16 * 8 and left.count() == right.count() == 20_000
+
+
+def test_edges_meet_in_cells_with_features_sent_once_a_cell(spark, monkeypatch):
+    """A hub with an edge to every row, blocks of a few rows: the similarities are those of single pairs."""
+    import numpy as np
+
+    from platewise.operators import similarity as S
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 5))
+    x[3] = 0
+    df = spark.createDataFrame([(i, i % 2 == 0, v.tolist()) for i, v in enumerate(x)], "row_id long, even boolean, features array<double>")
+    edges = [(0, i) for i in range(60)] + [(i, (i * 7) % 60) for i in range(60)] + [(5, 6), (5, 6), (1, 999)]
+    table = spark.createDataFrame([(str(a), str(b)) for a, b in edges], "query_id string, ref_id string")
+    unit = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) == 0, 1, np.linalg.norm(x, axis=1, keepdims=True))
+    for block_rows in (4, 1000):
+        for query in (None, F.col("even")):
+            found = {(r["id"], a["ref"]): a["sim"] for r in S.edge_anchors(df, "row_id", table, query, block_rows=block_rows).collect()
+                     for a in r["anchors"]}
+            want = {(str(a), str(b)): unit[a] @ unit[b] for a, b in set(edges) if a != b and b < 60 and (query is None or a % 2 == 0)}
+            assert set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    assert S.edge_anchors(df, "row_id", table.limit(0)).count() == 0
+
+
+# ---- null distributions ------------------------------------------------------------
+
+
+def test_random_places_are_uniform_subsets():
+    import collections
+    import itertools
+
+    import numpy as np
+
+    from platewise.functions.stats import random_places
+
+    found = random_places(np.random.default_rng(3), 30_000, 3, 6)
+    assert (np.diff(found, axis=1) > 0).all()
+    counts = collections.Counter(map(tuple, found.tolist()))
+    assert set(counts) == set(itertools.combinations(range(6), 3))
+    assert max(abs(n - 1500) for n in counts.values()) < 5 * np.sqrt(1500)
+
+
+def test_null_draws_follow_closed_forms():
+    import itertools
+
+    import numpy as np
+
+    from platewise.functions.stats import exceeding, null_draws
+
+    one = null_draws(1, 50, 20_000, 0)  # the reciprocal of a uniform place
+    for k in (1, 2, 5, 25):
+        assert abs((one >= 1 / k - 1e-12).mean() - k / 50) < 5 * np.sqrt(0.25 / 20_000)
+    for n_pos, n_total in ((2, 7), (5, 7)):
+        exact = np.array([np.mean([(i + 1) / (p + 1) for i, p in enumerate(c)]) for c in itertools.combinations(range(n_total), n_pos)])
+        drawn = null_draws(n_pos, n_total, 20_000, 1)
+        assert abs(drawn.mean() - exact.mean()) < 0.01 and abs(np.median(drawn) - np.median(exact)) < 0.03
+    assert (null_draws(4, 4, 10, 0) == 1).all()
+    draws = 0.25 * null_draws(1, 50, 1000, 0) + 0.75 * null_draws(2, 7, 1000, 0)
+    values = np.array([0.0, 0.2, 0.5, 2.0])
+    assert exceeding(((2, 7, 3), (1, 50, 1)), values, 1000, 0).tolist() == [(draws > v + 1e-12).sum() for v in values]
+
+
+def test_null_draws_cost_the_positives_only():
+    import time
+
+    from platewise.functions.stats import null_draws
+
+    null_draws.cache_clear()
+    begun = time.process_time()
+    assert len(null_draws(1000, 100_000, 10_000, 0)) == 10_000
+    assert time.process_time() - begun < 4  # below one second on an idle machine; drawing all places takes minutes
