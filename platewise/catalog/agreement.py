@@ -442,3 +442,24 @@ def image_sharpness(spark, sf_dir):
 @register("image_quality")
 def image_quality(spark, sf_dir):
     return I.image_quality(planes(spark, sf_dir), "raw")
+
+
+FILES = """SELECT 's' || (l_suppkey % 20) AS source_id, 'f' || (l_partkey % 200) AS file,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'ref' ELSE 'var' END AS side, 'p' || l_orderkey AS path FROM {lineitem}"""
+
+
+@register("matched_sites", with_clause(t=FILES) + """ SELECT a.source_id, a.file, a.path AS reference_path, b.path AS variant_path FROM t a JOIN (
+  SELECT source_id, file, max(path) AS path FROM t WHERE side = 'var' GROUP BY ALL) b ON b.source_id = a.source_id AND b.file = a.file WHERE a.side = 'ref'""")
+def matched_sites(spark, sf_dir):
+    files = derive(spark, sf_dir, FILES)
+    return A.matched_sites(files.filter("side = 'ref'"), files.filter("side = 'var'"))
+
+
+@register("joined_statistics", with_clause(p=PAIRED) + """, n AS (SELECT feature, codec, stddev_samp(value_codec) AS noise FROM p WHERE codec <> 'c1' OR feature <> 'F3' GROUP BY ALL),
+s AS (SELECT feature, codec, avg(value_codec) AS level, count(value_codec) AS n FROM p GROUP BY ALL)
+SELECT n.feature, n.codec, round(noise, 6) AS noise_noise, round(level, 6) AS similarity_level, n AS similarity_n FROM n JOIN s ON s.feature = n.feature AND s.codec = n.codec""")
+def joined_statistics(spark, sf_dir):
+    rows = derive(spark, sf_dir, PAIRED)
+    noise = rows.filter("codec <> 'c1' or feature <> 'F3'").groupBy("feature", "codec").agg(F.round(F.stddev_samp("value_codec"), 6).alias("noise"))
+    level = rows.groupBy("feature", "codec").agg(F.round(F.avg("value_codec"), 6).alias("level"), F.count("value_codec").alias("n"))
+    return A.joined_statistics({"noise": noise, "similarity": level}, keys=["codec"])

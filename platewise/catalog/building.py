@@ -1,5 +1,7 @@
 """Profile building, aggregation and feature selection."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from platewise import columns as C
@@ -11,6 +13,7 @@ from platewise.operators import aggregate as A
 from platewise.operators import select as S
 from platewise.operators.moments import gram_edges
 from platewise.operators.packed import Profiles, numeric_columns, pack, to_long, unpack, wide_to_tidy
+from platewise.session import shared_folder
 
 NAMES = ["0/max/Area", "0/max/Intensity", "0/max/Perimeter", "0/max/Texture",
          "1/max/Area", "1/max/Intensity", "1/max/Perimeter", "1/max/Texture"]
@@ -259,15 +262,16 @@ def variance_threshold(spark, sf_dir):
     return kept_rows(spark, S.variance_threshold(wide(spark, sf_dir), unique_cut=0.0001))
 
 
-@register("outlier_scores", f"""{LONG_WIDE}, ok AS (SELECT feature, value FROM long
-  WHERE feature NOT IN ('f_inf') AND value IS NOT NULL AND NOT isnan(value)),
+@register("outlier_scores", f"""{LONG_WIDE}, ok AS (SELECT feature, value FROM long WHERE {VALID}),
+endless AS (SELECT DISTINCT feature FROM long WHERE isinf(value)),
 s AS (SELECT feature, avg(value) AS m, stddev_pop(value) + 1e-8 AS s, min(value) AS lo, max(value) AS hi FROM ok GROUP BY feature)
-SELECT feature, round(greatest(abs((lo - m) / s), abs((hi - m) / s)), 4) AS max_z FROM s""")
+SELECT feature, CASE WHEN feature IN (SELECT feature FROM endless) THEN NULL
+  ELSE round(greatest(abs((lo - m) / s), abs((hi - m) / s)), 4) END AS max_z FROM s""")
 def outlier_scores(spark, sf_dir):
+    """All features; one with infinite values has no finite score."""
     p = wide(spark, sf_dir)
-    rest = p.keep([n for n in p.names if n != "f_inf"])
-    scores = S.extreme_scores(to_long(rest.df, [])).select("pos", F.round("max_z", 4).alias("max_z"))
-    return named(rest, scores)
+    score = F.when(is_valid("max_z"), F.round("max_z", 4)).alias("max_z")
+    return named(p, S.extreme_scores(to_long(p.df, [])).select("pos", score))
 
 
 @register("drop_outliers", f"""{LONG_WIDE}, bad AS (SELECT DISTINCT feature FROM long WHERE isinf(value)),
@@ -299,23 +303,45 @@ def include_exclude(spark, sf_dir):
     return valid_counts(some.keep(S.exclude_parts(some, ["quant"])))
 
 
-PLAIN = ["f_quantity", "f_price", "f_discount", "f_constant", "f_rare", "f_copy"]
+# features with NULL, NaN or infinite values have no correlation, as the constant one has none
+SOUND = ["f_quantity", "f_price", "f_discount", "f_rare", "f_copy", "Location_Center_X"]
 
 
 @register("correlation_edges", with_clause(wide=WIDE) + " SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r FROM wide"
-    for i, a in enumerate(PLAIN) for b in PLAIN[i + 1:] if "f_constant" not in (a, b)) + ") WHERE abs(r) > 0.02")
+    for i, a in enumerate(SOUND) for b in SOUND[i + 1:]) + ") WHERE abs(r) > 0.02")
 def correlation_edges(spark, sf_dir):
-    p = wide(spark, sf_dir).keep(PLAIN)
+    p = wide(spark, sf_dir)
     rows = [(p.names[i], p.names[j], round(r, 4)) for i, j, r in gram_edges(p.df, 0.02) if abs(round(r, 4)) > 0.02]
     return spark.createDataFrame(rows, "a string, b string, r double")
 
 
-@register("prune_correlated", with_clause(wide=WIDE) + """, e AS (SELECT abs(corr(f_quantity, f_copy)) > 0.95 AS twins FROM wide)
-SELECT feature FROM (VALUES ('f_quantity'), ('f_price'), ('f_discount'), ('f_constant'), ('f_rare'), ('f_copy')) AS t(feature), e
-WHERE NOT (twins AND feature = 'f_copy')""")
+GREEDY = """, r AS (""" + " UNION ALL ".join(
+    f"SELECT {COLUMNS.index(a)} AS i, {COLUMNS.index(b)} AS j, corr({a}, {b}) AS r FROM wide"
+    for a in SOUND for b in SOUND if a != b) + """), e AS (SELECT i, j FROM r WHERE abs(r) > 0.95),
+start AS (SELECT list(i ORDER BY i) AS pool FROM range(""" + str(len(COLUMNS)) + """) AS t(i)),
+walk AS (SELECT 0 AS step, pool AS free, CAST([] AS BIGINT[]) AS chosen FROM start UNION ALL
+  SELECT step + 1, list_filter(free, lambda x: x <> pick AND NOT list_contains(around, x)), list_append(chosen, pick) FROM (
+    SELECT *, (SELECT coalesce(list(e.j), CAST([] AS BIGINT[])) FROM e WHERE e.i = pick) AS around FROM (
+      SELECT *, (SELECT arg_min(f.i, (SELECT count(*) FROM e WHERE e.i = f.i AND list_contains(free, e.j)) * 100 + f.i)
+                 FROM (SELECT unnest(free) AS i) f) AS pick FROM walk WHERE len(free) > 0)))"""
+
+
+@register("prune_correlated", with_clause(wide=WIDE).replace("WITH ", "WITH RECURSIVE ", 1) + GREEDY + f""" SELECT feature FROM (
+  SELECT unnest({COLUMNS}) AS feature, unnest(range({len(COLUMNS)})) AS i) n, (SELECT chosen FROM walk ORDER BY step DESC LIMIT 1) c
+WHERE list_contains(chosen, n.i)""")
 def prune_correlated(spark, sf_dir):
-    return kept_rows(spark, S.prune_correlated(wide(spark, sf_dir).keep(PLAIN), 0.95))
+    return kept_rows(spark, S.prune_correlated(wide(spark, sf_dir), 0.95))
+
+
+@register("listed_features", f"""{COUNTS.format("feature NOT IN ('f_nan', 'f_copy') AND feature IN ('f_quantity', 'f_price', 'f_nan', 'f_copy', 'f_inf')")}""")
+def listed_features(spark, sf_dir):
+    """Features named in one csv file, without those named in another; names the table does not have are passed over."""
+    base, p = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}", wide(spark, sf_dir)
+    for name, listed in (("in", ["f_quantity", "f_price", "f_nan", "f_copy", "f_inf", "f_unknown"]), ("out", ["f_copy", "f_nan", "other"])):
+        spark.createDataFrame([(n, 1) for n in listed], "feature string, rank int").write.option("header", True).csv(f"{base}/{name}")
+    some = p.keep(S.include_listed(p, f"{base}/in"))
+    return valid_counts(some.keep(S.exclude_listed(some, f"{base}/out")))
 
 
 @register("filter_chain", f"""{VARIANCE}, bad AS (SELECT DISTINCT feature FROM long WHERE isinf(value)),

@@ -9,7 +9,8 @@ from platewise.catalog.registry import register
 from platewise.functions.expressions import PPF_A, PPF_B, PPF_C, PPF_D, PPF_LOW
 from platewise.operators import normalize
 from platewise.operators.moments import global_moments
-from platewise.operators.packed import to_long
+from platewise.operators.packed import Profiles, to_long
+from platewise.plans.steps import run_steps
 from platewise.session import cut_lineage
 
 
@@ -173,3 +174,16 @@ def spherize_per_plate(spark, sf_dir):
 @register("spherize_truncated")
 def spherize_truncated(spark, sf_dir):
     return cells(normalize.spherize(profiles(spark, sf_dir), None, None, remove_variance_method="mp"))
+
+
+@register("step_pipeline", f"""WITH {STANDARD.replace("WITH ", "")}, away AS (SELECT row_id, well, i AS pos, features[i + 1] AS value FROM z, UNNEST(range(len(features))) AS t(i)),
+c AS (SELECT row_id, pos, value - avg(value) OVER (PARTITION BY well, pos) AS value FROM away),
+n AS (SELECT row_id, sqrt(sum(value * value)) AS s FROM c GROUP BY row_id)
+SELECT c.row_id, pos, round(value / (s + 1e-10), 6) AS value FROM c JOIN n ON n.row_id = c.row_id""")
+def step_pipeline(spark, sf_dir):
+    """Standardised by controls, centred by well position, rows of unit length, with the gates of every step."""
+    df = profiles(spark, sf_dir)
+    width = df.select(F.size(C.FEATURES)).first()[0]
+    steps = [{"name": "normalize_standardize"}, {"name": "well_position_correct"}, {"name": "sample_norm"}]
+    out, _ = run_steps(Profiles(df, [f"f{i}" for i in range(width)]), steps)
+    return cells(out.df)

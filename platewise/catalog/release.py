@@ -82,6 +82,14 @@ def freeze_index(spark, sf_dir):
     return out.select(C.SITE_KEY, F.col("URL_OrigDNA").alias("uri"))
 
 
+@register("listed_plates", """SELECT o_orderkey, 'P' || (o_custkey % 40) AS "Metadata_Plate" FROM orders WHERE o_custkey % 40 IN (
+  SELECT c_custkey % 40 FROM customer WHERE c_acctbal < -900)""")
+def listed_plates(spark, sf_dir):
+    plate = lambda c: F.concat(F.lit("P"), F.col(c) % 40)
+    plates = table(spark, sf_dir, "customer").filter("c_acctbal < -900").select(F.lit("x").alias("_c0"), plate("c_custkey").alias("_c1"))
+    return V.of_listed_plates(table(spark, sf_dir, "orders").select("o_orderkey", plate("o_custkey").alias(C.PLATE)), plates)
+
+
 @register("exact_join", """SELECT c_custkey, n_orders, round(total, 2) AS total, c_mktsegment FROM customer JOIN (
   SELECT o_custkey, count(*) AS n_orders, sum(o_totalprice) AS total FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def exact_join(spark, sf_dir):

@@ -307,11 +307,10 @@ def recall_compound_gene_filtered(spark, sf_dir):
 
 
 @register("recall_shared_target", recall_sql(
-    CONSENSUS, "list_has_any(q.targets, r.targets)", "grp = 'group_high' AND NOT list_contains(targets, 'unknown')",
-    "grp = 'group_high' AND NOT list_contains(targets, 'unknown')", "grp", "q.grp = r.grp"))
+    CONSENSUS, "list_has_any(q.targets, r.targets)", "NOT list_contains(targets, 'unknown')",
+    "NOT list_contains(targets, 'unknown')", "grp", "q.grp = r.grp"))
 def recall_shared_target(spark, sf_dir):
-    rows = target_profiles(spark, sf_dir).filter(
-        (F.col(C.GROUP) == "group_high") & ~F.array_contains("targets", C.UNKNOWN)).withColumn(
+    rows = target_profiles(spark, sf_dir).filter(~F.array_contains("targets", C.UNKNOWN)).withColumn(
         C.ROW_ID, F.concat_ws("|", C.PERT, C.GROUP))
     return summary(R.shared_target_recall(rows, "targets", [C.GROUP], cell_rows=20))
 

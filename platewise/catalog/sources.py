@@ -35,13 +35,13 @@ def csv_round_trip(spark, sf_dir):
     return readers.read_table(spark, path, schema=types)
 
 
-@register("refused_overwrite", "SELECT count(*) AS n, true AS refused FROM region")
+@register("refused_overwrite", "SELECT count(*) AS n, true AS refused FROM orders")
 def refused_overwrite(spark, sf_dir):
     """A second write is refused, and the first table is still whole."""
     path, refused = folder(spark), False
-    writers.write_profiles(table(spark, sf_dir, "region"), path)
+    writers.write_profiles(table(spark, sf_dir, "orders"), path)
     try:
-        writers.write_profiles(table(spark, sf_dir, "region"), path)
+        writers.write_profiles(table(spark, sf_dir, "orders"), path)
     except Exception as error:
         refused = "PATH_ALREADY_EXISTS" in str(error)
     return readers.read_table(spark, path).agg(F.count(F.lit(1)).alias("n")).withColumn("refused", F.lit(refused))
@@ -58,7 +58,7 @@ def feature_tree(spark, sf_dir, codec=None):
     for model in ("mA", "mN", "mR"):  # one folder per model and codec, as extraction leaves them
         for kind in ("qF", "qO"):
             part = long.filter((F.col("model") == model) & (F.col("codec") == kind)).drop("model", "codec")
-            part.coalesce(2).write.parquet(f"{base}/{model}/set/{kind}/profiles")
+            part.write.parquet(f"{base}/{model}/set/{kind}/profiles")
     return readers.read_feature_tree(spark, base, codec=codec)
 
 
@@ -267,3 +267,57 @@ def exploded_values(spark, sf_dir):
 def well_keys(spark, sf_dir):
     files = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("x/a__b__"), "s_nationkey", F.lit("__w__7.parquet")).alias("filename"))
     return aggregate.with_well_key(files).select("s_suppkey", "Metadata_id")
+
+
+@register("first_profiles", with_clause(t=TREE) + """ SELECT model AS top, count(*) AS n, round(sum(value), 2) AS total FROM t WHERE codec = 'qF' GROUP BY model""")
+def first_profiles(spark, sf_dir):
+    """Of the folders below each model only the first codec's profiles count."""
+    base = folder(spark)
+    long = derive(spark, sf_dir, TREE)
+    for model in ("mA", "mN", "mR"):
+        for kind in ("qF", "qO"):
+            long.filter((F.col("model") == model) & (F.col("codec") == kind)).drop("model", "codec").write.parquet(
+                f"{base}/{model}/set/{kind}/profiles")
+    return readers.first_profiles(spark, base).groupBy("top").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+MAPPINGS = """SELECT 's' || (l_suppkey % 20) AS source_id, 'method' || (l_linenumber % 3) AS method, l_partkey AS gt_id, l_tax AS iou_score FROM {lineitem}"""
+
+
+def move_parts(spark, path: str, name: str, end: str) -> None:
+    """Gives the single file of a written folder the name by which readers know it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(path)
+    files = source.getFileSystem(conf)
+    part = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/part-*"))[0].getPath()
+    files.rename(part, jvm.org.apache.hadoop.fs.Path(source.getParent(), name + end))
+
+
+@register("instance_mapping_files", with_clause(m=MAPPINGS) + """ SELECT method, source_id, count(*) AS n, round(sum(iou_score), 2) AS total FROM m GROUP BY ALL""")
+def instance_mapping_files(spark, sf_dir):
+    """Mappings of several methods, one file each, read as one table."""
+    base = folder(spark)
+    rows = derive(spark, sf_dir, MAPPINGS)
+    for method in ("method0", "method1", "method2"):
+        rows.filter(F.col("method") == method).drop("method").repartition(1).write.parquet(f"{base}/{method}")
+        move_parts(spark, f"{base}/{method}", method, ".parquet")
+    return readers.read_instance_mappings(spark, f"{base}/*.parquet").groupBy("method", "source_id").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("iou_score"), 2).alias("total"))
+
+
+DETAILED = """SELECT 'file' || (l_suppkey % 50) AS file, CASE WHEN l_returnflag = 'A' THEN 'cell' ELSE 'nuclei' END AS object_type,
+  'q' || l_linestatus AS codec, l_quantity AS dice FROM {lineitem}"""
+
+
+@register("detailed_files", with_clause(d=DETAILED) + """ SELECT object_type, codec, file, count(*) AS n, round(avg(dice), 6) AS dice FROM d GROUP BY ALL""")
+def detailed_files(spark, sf_dir):
+    """Per-site csv results whose file names hold the object type and the codec."""
+    base = folder(spark)
+    rows = derive(spark, sf_dir, DETAILED)
+    for kind in ("cell", "nuclei"):
+        for codec in ("qF", "qO"):
+            rows.filter((F.col("object_type") == kind) & (F.col("codec") == codec)).select("file", "dice").repartition(1).write.option(
+                "header", True).csv(f"{base}/{kind}_{codec}")
+            move_parts(spark, f"{base}/{kind}_{codec}", f"{kind}_{codec}", ".csv")
+    return readers.read_detailed(spark, f"{base}/*.csv").groupBy("object_type", "codec", "file").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("dice"), 6).alias("dice"))

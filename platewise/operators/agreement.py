@@ -268,3 +268,19 @@ def reference_ranking(metrics: DataFrame, reference: str, value: str, codec: str
     out = metrics.filter(F.col(codec) == reference).groupBy(feature).agg(F.avg(value).alias("mean_value")).orderBy(
         F.asc_nulls_last("mean_value"), feature)
     return out if keep is None else out.limit(keep)
+
+
+def matched_sites(reference: DataFrame, variant: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Files of a variant that match a file of the reference by source and name; of repeated ones the last path counts."""
+    keys = keys or ["source_id", "file"]
+    paths = variant.groupBy(*keys).agg(F.max("path").alias("variant_path"))
+    return reference.select(*keys, F.col("path").alias("reference_path")).join(paths, keys)
+
+
+def joined_statistics(statistics: dict[str, DataFrame], feature: str = "feature", keys: list[str] | None = None) -> DataFrame:
+    """One row per feature that all statistics tables have; their columns get the table's name as prefix."""
+    keys, out = [feature, *(keys or [])], None
+    for name, df in statistics.items():
+        own = df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in keys])
+        out = own if out is None else out.join(own, keys)
+    return out

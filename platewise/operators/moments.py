@@ -93,7 +93,8 @@ def partial_rows(batches, pilot, with_cubic, band: range) -> Iterator[pa.RecordB
             key, held = own, fresh()
         held[0] += len(part)
         held[1] += part.sum(axis=0)
-        held[2] += part[:, band.start:band.stop].T @ part
+        with np.errstate(invalid="ignore"):  # a feature with missing values spoils its own row and column only
+            held[2] += part[:, band.start:band.stop].T @ part
         if with_cubic:
             square = (part ** 2).sum(axis=1)
             held[3] += square @ part
@@ -159,7 +160,8 @@ def read_moments(n: int, ids: np.ndarray, vec: np.ndarray, pilot: np.ndarray) ->
     at = {int(i): vec[k] for k, i in enumerate(ids[:2])}
     first, gram = at[SUMS][:d], vec[ids >= 0, :d]
     shift = first / n
-    scatter = gram - n * np.outer(shift, shift)
+    with np.errstate(invalid="ignore"):
+        scatter = gram - n * np.outer(shift, shift)
     fourth = float("nan")
     if CUBIC in at:
         cubic, quartic = at[CUBIC][:d], at[CUBIC][d]

@@ -9,6 +9,7 @@ from platewise import columns as C
 from platewise.functions.expressions import seeded_bucket
 from platewise.functions.stats import exceeding
 from platewise.operators.aggregate import group_medians
+from platewise.operators.cuts import top_shares
 from platewise.operators.similarity import (
     CELL_ROWS, PairRule, anchor_sims, average_precision, edge_anchors, partner_counts,
 )
@@ -356,12 +357,12 @@ def compound_recall(rows: DataFrame, edges: DataFrame, groups: list[str], compou
     return recall_table(scope, C.ROW_ID, edge_anchors(scope, C.ROW_ID, pairs), [group], **options)
 
 
-def shared_target_recall(rows: DataFrame, targets: str, pool: list[str], **options) -> DataFrame:
-    """Recall whose positives share a target, without materialising the pair graph."""
-    anchors = anchor_sims(rows, C.ROW_ID, PairRule(same=pool, shared=targets))
-    once = F.array_distinct(F.transform("anchors", lambda a: F.struct(
-        F.lit(None).cast("string").alias("lab"), a["ref"].alias("ref"), a["sim"].alias("sim"))))
-    return recall_table(rows, C.ROW_ID, anchors.withColumn("anchors", once), pool, **options)
+def shared_target_recall(rows: DataFrame, targets: str, pool: list[str], k_percent: tuple[float, ...] = (1.0, 5.0, 10.0),
+                         **options) -> DataFrame:
+    """Recall whose positives share a target. Neither pairs nor partners are listed, whatever the size of a target."""
+    found = top_shares(rows, C.ROW_ID, pool, targets, k_percent, **options)
+    return found.select("id", *pool, "n_pos", "n_refs", *[
+        (F.col("hits")[i] / F.col("n_pos")).alias(f"recall_{pct:g}") for i, pct in enumerate(k_percent)])
 
 
 def gene_recall(rows: DataFrame, edges: DataFrame, pool: str = "full", compound: str = C.PERT,

@@ -132,8 +132,10 @@ def invalid_values(df: DataFrame, features: str = C.FEATURES) -> DataFrame:
 def observe_invalid(df: DataFrame, step: str, features: str = C.FEATURES) -> tuple[DataFrame, Observation]:
     """Count invalid cells while the next action runs, without a pass of its own."""
     seen = Observation(f"invalid_{step}")
-    bad = F.filter(features, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.observe(seen, F.coalesce(F.sum(F.size(bad)), F.lit(0)).alias("n_invalid")), seen
+    count = lambda test: F.coalesce(F.sum(F.size(F.filter(features, test))), F.lit(0))
+    return df.observe(
+        seen, count(lambda x: x.isNull()).alias("n_null"), count(lambda x: F.isnan(x)).alias("n_nan"),
+        count(lambda x: F.abs(x) == float("inf")).alias("n_inf")), seen
 
 
 # ---- release tables ------------------------------------------------------------------
@@ -164,6 +166,12 @@ def freeze_index(keys: DataFrame, index: DataFrame) -> DataFrame:
     return exact_join(keys, index, C.SITE_PARTS, surplus=True)
 
 
+def of_listed_plates(index: DataFrame, plates: DataFrame, position: int = 1, plate: str = C.PLATE) -> DataFrame:
+    """The rows of an index whose plate is named in the given column, by position, of a list without header."""
+    listed = plates.select(F.col(plates.columns[position]).alias(plate)).distinct()
+    return index.join(listed, plate, "left_semi")
+
+
 def expand_channels(index: DataFrame, channels: list[str] | None = None) -> DataFrame:
     """One row per (site, channel)."""
     ids = [C.SITE_KEY, *C.SITE_PARTS]

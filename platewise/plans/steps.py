@@ -68,27 +68,43 @@ STEPS: dict[str, Step] = {
 }
 
 
+# Steps that read their input more than once to fit or to choose features: what comes before is written first.
+FITTED = {"clean_nans", "filter_features", "prune_correlated", *(n for n in STEPS if n.startswith("normalize_")), "inverse_normal_transform"}
+
+
 def run_steps(profiles: Profiles, steps: list[dict], max_pc1: float | None = None, check_values: bool = True,
               materialize: bool = True) -> tuple[Profiles, list[dict]]:
     """Run enabled steps in order and report the gates.
 
-    Fitting steps read their input several times, so each result is written once to the
-    shared folder. A step that leaves invalid values, or a leading component above
+    Row-wise steps are one plan. Their result is written to the shared folder only before a step that fits, as it reads
+    its input several times, and at the end. The counts of invalid values ride along with that write as observations
+    of each step, so a gate costs no scan. A step that leaves invalid values, or a leading component above
     ``max_pc1``, stops the run.
     """
-    report = []
-    for step in steps:
-        if not step.get("enabled", True):
-            continue
+    report, waiting = [], []
+
+    def written(held: Profiles) -> Profiles:
+        out = held.with_df(cut_lineage(held.df)) if materialize else held
+        if not materialize and waiting:
+            held.df.write.format("noop").mode("overwrite").save()
+        for entry, seen, abort in waiting:
+            entry.update(seen.get)
+            if abort and entry["n_null"] + entry["n_nan"] + entry["n_inf"] > 0:
+                raise ValueError(f"step {entry['step']} left invalid values: {entry}")
+        waiting.clear()
+        return out
+
+    for step in [s for s in steps if s.get("enabled", True)]:
+        if step["name"] in FITTED and waiting:
+            profiles = written(profiles)
         profiles = STEPS[step["name"]](profiles, **step.get("params", {}))
-        if materialize:
-            profiles = profiles.with_df(cut_lineage(profiles.df))
         entry = {"step": step["name"], "n_features": len(profiles.names)}
         if check_values and step["name"] != "merge_metadata":
-            entry.update(validate.invalid_values(profiles.df).first().asDict())
-            if entry["n_null"] + entry["n_nan"] + entry["n_inf"] > 0 and step.get("abort_on_invalid", True):
-                raise ValueError(f"step {step['name']} left invalid values: {entry}")
+            seen_df, seen = validate.observe_invalid(profiles.df, f"{len(report)}_{step['name']}")
+            profiles = profiles.with_df(seen_df)
+            waiting.append((entry, seen, step.get("abort_on_invalid", True)))
         report.append(entry)
+    profiles = written(profiles)
     if max_pc1 is not None and len(profiles.names) >= 2:
         ok, share = normalize.leading_variance_gate(profiles.df, max_pc1)
         report.append({"step": "leading_variance", "pc1": share, "ok": ok})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +72,29 @@ def read_feature_tree(spark: SparkSession, base: str, layout: str = "MODEL/DATAS
     return out.filter(~F.array_contains(path_parts(F.col("__path")), "cache")).drop("__path")
 
 
+def first_profiles(spark: SparkSession, base: str) -> DataFrame:
+    """The files of the first ``profiles`` folder, in path order, below each folder of ``base``, named in ``top``.
+
+    Folders are found from file names alone; one path per folder of ``base`` reaches the driver.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(base)
+    # the root is part of every path, so it is told from the paths themselves and not from how ``base`` is written
+    inside = F.regexp_extract("path", "/" + re.escape(base.rstrip("/").rsplit("/", 1)[-1]) + "/(.*)$", 1)
+    folder = F.regexp_extract("path", "^(.*?/profiles)/", 1)
+    found = files.select(F.regexp_extract(inside, "^([^/]+)/", 1).alias("top"), folder.alias("folder")).filter(
+        "top <> '' and folder <> ''").groupBy("top").agg(F.min("folder").alias("folder")).orderBy("top").collect()
+    if not found:
+        raise FileNotFoundError(f"no profiles folder below {base}")
+    df = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(*[r["folder"] for r in found])
+    own = F.regexp_extract(F.col("_metadata.file_path"), "^(.*?/profiles)/", 1)
+    tops = F.create_map(*[F.lit(x) for r in found for x in (path_tail(r["folder"]), r["top"])])
+    return df.select("*", tops[F.element_at(F.split(own, ":/*"), -1)].alias("top"))
+
+
+def path_tail(path: str) -> str:
+    return re.split(":/*", path)[-1]
+
+
 def sniff_layout(df: DataFrame, branch: str = "branch", metric: str = "metric", obj: str = "object") -> dict:
     """``wide``, ``dl_long`` or ``cp_long``, from the schema and at most three object names."""
     types = {f.name: f.dataType for f in df.schema.fields}

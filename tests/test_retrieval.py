@@ -227,3 +227,47 @@ def test_null_draws_cost_the_positives_only():
     begun = time.process_time()
     assert len(null_draws(1000, 100_000, 10_000, 0)) == 10_000
     assert time.process_time() - begun < 4  # below one second on an idle machine; drawing all places takes minutes
+
+
+# ---- top of a ranking from histograms ----------------------------------------------
+
+
+@pytest.mark.parametrize("cell_rows", [25])
+def test_shared_target_recall_equals_ranking_all_pairs(spark, cell_rows):
+    """A target of half the rows, equal vectors and ties, several pools, rows without labels."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(90, 3)), 1)
+    x[10:30] = x[10]  # a crowd of equal vectors
+    labels = [["hub"] * (i % 2 == 0) + [f"t{i % 9}", f"t{i % 9}"] * (i % 3 == 0) for i in range(90)]
+    labels[5], labels[7] = None, []
+    pools = [f"g{i % 2}" if i % 17 else None for i in range(90)]
+    rows = [(f"id{(i * 37) % 90}", pools[i], labels[i], x[i].tolist()) for i in range(90)]
+    df = spark.createDataFrame([r for r in rows if r[1]], "row_id string, pool string, targets array<string>, features array<double>")
+    found = {r["id"]: (r["n_pos"], r["n_refs"], round(r["recall_1"], 9), round(r["recall_10"], 9), round(r["recall_50"], 9))
+             for r in R.shared_target_recall(df, "targets", ["pool"], (1.0, 10.0, 50.0), cell_rows=cell_rows).collect()}
+    unit = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) == 0, 1, np.linalg.norm(x, axis=1, keepdims=True))
+    want = {}
+    for i, (name, pool, own, _) in enumerate(rows):
+        refs = [j for j in range(90) if rows[j][1] == pool and pool]
+        order = sorted((j for j in refs if j != i), key=lambda j: (-round(float(unit[i] @ unit[j]), 10), rows[j][0]))
+        hit = [bool(set(own or []) & set(rows[j][2] or [])) for j in order]
+        if sum(hit):
+            share = lambda pct: round(sum(hit[:max(1, int(len(refs) * pct / 100))]) / sum(hit), 9)
+            want[name] = (sum(hit), len(refs), share(1), share(10), share(50))
+    assert found == want
+
+
+def test_hub_partners_cost_bins_not_pairs(spark, monkeypatch):
+    """With one target on all rows, what leaves the cells is bins per query and cell, however many the partners."""
+    from platewise.operators import cuts
+
+    sent = []
+    real = cuts.summed_lists
+    monkeypatch.setattr(cuts, "summed_lists", lambda name: sent.append(name) or real(name))
+    rows = [(f"r{i}", ["hub"], [float(i % 5), float(i % 7), 1.0]) for i in range(150)]
+    df = spark.createDataFrame(rows, "row_id string, targets array<string>, features array<double>")
+    out = R.shared_target_recall(df, "targets", [], (1.0,))
+    assert [r["n_pos"] for r in out.collect()] == [149] * 150
+    assert len(sent) <= -(-cuts.KEY_BITS // cuts.BITS) + 1  # rounds of histograms and one of hits: no list of partners
