@@ -3,7 +3,8 @@
 The distinct words of a bounded slice of texts are encoded together and kept in a bounded table, since the ids of a
 text are those of its words in order: normalisation, splitting and merges of such a tokenizer stay within a word.
 The tokenizer must lower-case, as A-Z are lowered before the words are looked up.
-Texts without spaces are one word and are encoded as such.
+Texts without spaces are one word and are encoded as such. A text that holds the string of one of the file's added tokens is encoded
+whole by the library, which takes those out before it looks at white space.
 """
 
 from __future__ import annotations
@@ -31,9 +32,15 @@ def _tokenizer(path: str):
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # a special token's string in a text is ordinary text
-    return found
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=2)
+def _added(path: str) -> re.Pattern:
+    """The strings of the added tokens."""
+    with open(path, encoding="utf-8") as lines:
+        strings = [t["content"].encode() for t in json.load(lines)["added_tokens"]]
+    return re.compile(b"|".join(map(re.escape, strings)) or b"(?!)")
 
 
 class _Table(dict):
@@ -59,7 +66,9 @@ def encode_texts(path: str, texts: list[bytes], end: int) -> list[bytes]:
     """Little-endian 32-bit ids of each text of a bounded slice, followed by the id ``end``."""
     known = _table(path)
     mark = array("I", [end]).tobytes()
-    words = [text.lower().split() for text in texts]
+    whole = {i: _tokenizer(path).encode(text.decode(), add_special_tokens=False).ids
+             for i, text in enumerate(texts) if _added(path).search(text)}
+    words = [[] if i in whole else text.lower().split() for i, text in enumerate(texts)]
     missing = set().union(*words).difference(known)
     if missing and not known.room_for(missing):
         known.clear()
@@ -67,7 +76,7 @@ def encode_texts(path: str, texts: list[bytes], end: int) -> list[bytes]:
         known.room_for(missing)
     if missing:
         _encode_words(path, list(missing), known)
-    return [b"".join(map(known.__getitem__, own)) + mark for own in words]
+    return [(array("I", whole[i]).tobytes() if i in whole else b"".join(map(known.__getitem__, own))) + mark for i, own in enumerate(words)]
 
 
 def _encode_words(path: str, words: list[bytes], known: dict[bytes, bytes]) -> None:

@@ -458,9 +458,7 @@ def test_gated_lm_gradient():
 def library_tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(WORD_BPE)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(WORD_BPE)
 
 
 def library_ids(text, end):
@@ -469,7 +467,7 @@ def library_ids(text, end):
 
 def test_word_encoding_equals_the_library():
     rng = random.Random(6)
-    marks = ["a", "É", "é", " ", "\n", "\t", "'s", "'", "1", "漢", " ", "\x85", "\x1c", "\x0b", "<|endoftext|>",
+    marks = ["a", "É", "é", " ", "\n", "\t", "'s", "'", "1", "漢", " ", "\x85", "\x1c", "\x0b", "<|endoftext|>", "<|startoftext|>", "<|", "|>",
              "ſ", "Σ", "İ", "%", "&&", "the", " of", ".", "don't", "THE", "ÀÿñÑ", "ß", "×", "÷", "µª", "¼²", "\u0301"]
     texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(30))) for _ in range(2000)]
     for text, ids in zip(texts, encode_texts(WORD_BPE, [t.encode() for t in texts], 2)):
@@ -782,3 +780,10 @@ def test_word_table_is_emptied_when_it_holds_too_many_bytes(monkeypatch):
     assert [encode_texts(WORD_BPE, [t], 1)[0] for t in texts] == want
     assert wordbpe._table(WORD_BPE).held <= 3000
     wordbpe._table.cache_clear()
+
+
+def test_strings_of_added_tokens_are_those_tokens_as_in_the_library():
+    for text in ("<|endoftext|>", "x<|startoftext|>y", "A <|endoftext|><|endoftext|> B", "<|ENDOFTEXT|>", "<|endoftext", "no marks"):
+        ids = np.frombuffer(encode_texts(WORD_BPE, [text.encode()], 7)[0], "<u4").tolist()
+        assert ids == library_ids(text, 7)
+    assert np.frombuffer(encode_texts(WORD_BPE, [b"<|endoftext|>"], 7)[0], "<u4").tolist() == [49407, 7]
