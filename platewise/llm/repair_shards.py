@@ -29,32 +29,48 @@ from platewise.llm.wordbpe import encode_texts, texts_of
 
 SHARD = 1 << 20
 SCHEMA = ("part int, shard int, start long, n_tokens long, doc_ids array<long>, doc_tokens binary, doc_symbols binary, "
-          "base int, rules binary, lengths binary, width int, symbols binary")
+          "base int, n_rules int, n_symbols long, bits int, length_bits int, rules binary, lengths binary, symbols binary")
+SLOT_BITS = 20
+USES, STEP = 3, 4
+
+
+def bits_for(values: int) -> int:
+    """Bits of a whole number below ``values``."""
+    return max(1, int(values - 1).bit_length())
+
+
+def frequent(symbols: np.ndarray, last: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, number, pairs): where pairs found ``enough`` times begin, and which of ``pairs`` each is.
+
+    Pairs in slots of a hash that are not found so often are passed over, the others are sorted and counted.
+    """
+    slot = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
+    at = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= enough)[slot] & ~last[:-1])
+    keys = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
+    pairs, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    good = counts >= enough
+    chosen = good[back]
+    return at[chosen], (np.cumsum(good) - 1)[back[chosen]], pairs[good]
 
 
 def compress(ids: np.ndarray, last: np.ndarray, share: int = 4096, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, last, rules [n, 2], base): symbols from ``base`` on stand for a pair of earlier symbols.
 
     A round replaces every pair found often enough, except where it would overlap the replacement before it. Enough is
-    ``symbols / share`` times at first and half as often whenever no pair is left, down to ``least``, where rounds go on
-    until no pair is found so often. ``last`` marks the last symbol of each document.
+    ``symbols / share`` times at first and a ``STEP``-th of that whenever no pair is left, down to ``least``, where rounds go on
+    until no pair is found so often. Rules that save nothing are taken back. ``last`` marks the last symbol of each
+    document.
     """
     symbols, last = ids.astype(np.uint32), last.copy()
     base = int(symbols.max()) + 1 if len(symbols) else 0
     rules = np.zeros((0, 2), np.uint32)
     enough = max(least, len(symbols) // share)
     while len(symbols) > 1:
-        slot = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA77)) >> np.uint32(14)
-        at = np.flatnonzero((np.bincount(slot, minlength=1 << 18) >= enough)[slot] & ~last[:-1])
-        keys = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
-        pairs, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        rule_of = np.where(counts >= enough, np.cumsum(counts >= enough) - 1, -1)
-        chosen = rule_of[back] >= 0
-        at, number = at[chosen], rule_of[back][chosen]
+        at, number, pairs = frequent(symbols, last, enough)
         if not len(at):
             if enough == least:
                 break
-            enough = max(least, enough // 2)
+            enough = max(least, enough // STEP)
             continue
         fresh = np.concatenate(([True], at[1:] != at[:-1] + 1))
         begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
@@ -65,10 +81,54 @@ def compress(ids: np.ndarray, last: np.ndarray, share: int = 4096, least: int =
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, last = symbols[keep], last[keep]
-        found = pairs[counts >= enough]
         rules = np.concatenate((rules, np.stack(
-            ((found >> np.uint64(32)).astype(np.uint32), (found & np.uint64(0xFFFFFFFF)).astype(np.uint32)), axis=1)))
-    return symbols, last, rules, base
+            ((pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)), axis=1)))
+    return (*worthwhile(symbols, last, rules, base), base)
+
+
+def worthwhile(symbols: np.ndarray, last: np.ndarray, rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Without the rules that stand in the symbols alone and fewer than ``USES`` times: those cost what they save."""
+    uses = np.bincount(symbols[symbols >= base] - base, minlength=len(rules)).tolist()
+    needed, pairs = [False] * len(rules), rules.astype(np.int64) - base
+    for r, (left, right) in zip(range(len(rules) - 1, -1, -1), pairs[::-1].tolist()):
+        if needed[r] or uses[r] >= USES:
+            needed[r] = True
+            for child in (left, right):
+                if child >= 0:
+                    needed[child] = True
+        else:
+            for child in (left, right):
+                if child >= 0:
+                    uses[child] += uses[r]
+    kept = np.array(needed, bool)
+    while True:
+        gone = np.zeros(len(symbols), bool)
+        ruled = symbols >= base
+        gone[ruled] = ~kept[symbols[ruled] - base]
+        if not gone.any():
+            break
+        wide = np.repeat(np.arange(len(symbols)), 1 + gone)
+        second = np.concatenate(([False], wide[1:] == wide[:-1]))
+        inner = gone[wide]
+        fresh = symbols[wide]
+        fresh[inner] = rules[fresh[inner] - base, second[inner].astype(np.int64)]
+        ends = last[wide]
+        ends[inner & ~second] = False
+        symbols, last = fresh, ends
+    place = np.concatenate((np.arange(base), base + np.cumsum(kept) - 1)).astype(np.uint32)
+    return place[symbols] if len(symbols) else symbols, last, place[rules[kept]].reshape(-1, 2)
+
+
+def pack_bits(values: np.ndarray, bits: int) -> bytes:
+    """Whole numbers below 2**bits, ``bits`` bits each."""
+    wide = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
+    return np.packbits(wide[:, 32 - bits:]).tobytes()
+
+
+def unpack_bits(data: bytes, bits: int, count: int) -> np.ndarray:
+    wide = np.zeros((count, 32), np.uint8)
+    wide[:, 32 - bits:] = np.unpackbits(np.frombuffer(data, np.uint8), count=count * bits).reshape(count, bits)
+    return np.packbits(wide, axis=1).view(">u4").ravel().astype(np.uint32)
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -84,12 +144,17 @@ class Grammar:
 
     def __init__(self, rules: np.ndarray, lengths: np.ndarray, base: int) -> None:
         self.base = base
-        flat: list[np.ndarray] = []
-        for left, right in rules.tolist():
-            flat.append(np.concatenate([
-                flat[x - base] if x >= base else np.array([x], np.uint32) for x in (left, right)]))
-        self.flat = np.concatenate([*flat, np.zeros(0, np.uint32)])
         self.starts = np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))
+        # all expansions at once: symbols that are not ids yet are replaced by their pairs, level by level
+        flat, pairs = rules.ravel(), rules.astype(np.uint32)
+        while len(flat) and (open_ := flat >= base).any():
+            wide = np.repeat(np.arange(len(flat)), 1 + open_)
+            second = np.concatenate(([False], wide[1:] == wide[:-1]))
+            inner = open_[wide]
+            fresh = flat[wide]
+            fresh[inner] = pairs[fresh[inner] - base, second[inner].astype(np.int64)]
+            flat = fresh
+        self.flat = flat.astype(np.uint32)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """Token ids of any run of symbols."""
@@ -114,20 +179,22 @@ def _shard(part: int, number: int, start: int, doc_ids: list, docs: list[np.ndar
     last = np.zeros(len(ids), bool)
     last[np.cumsum(sizes) - 1] = True
     symbols, ends, rules, base = compress(ids, last)
-    width = 2 if base + len(rules) <= 1 << 16 else 4
+    lengths = rule_lengths(rules, base)
+    bits, length_bits = bits_for(base + len(rules)), bits_for(int(lengths.max()) + 1 if len(lengths) else 1)
     doc_symbols = np.concatenate(([0], np.flatnonzero(ends) + 1))
     row = {"part": part, "shard": number, "start": start, "n_tokens": len(ids), "doc_ids": doc_ids,
            "doc_tokens": np.concatenate(([0], np.cumsum(sizes))).astype("<i8").tobytes(),
-           "doc_symbols": doc_symbols.astype("<i8").tobytes(), "base": base, "rules": rules.astype("<u4").tobytes(),
-           "lengths": rule_lengths(rules, base).astype("<u4").tobytes(), "width": width,
-           "symbols": symbols.astype(f"<u{width}").tobytes()}
+           "doc_symbols": doc_symbols.astype("<i8").tobytes(), "base": base, "n_rules": len(rules), "n_symbols": len(symbols), "bits": bits,
+           "length_bits": length_bits, "rules": pack_bits(rules.ravel(), bits), "lengths": pack_bits(lengths, length_bits),
+           "symbols": pack_bits(symbols, bits)}
     return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
 
 _ARROW = pa.schema([
     ("part", pa.int32()), ("shard", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()),
     ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.binary()), ("doc_symbols", pa.binary()), ("base", pa.int32()),
-    ("rules", pa.binary()), ("lengths", pa.binary()), ("width", pa.int32()), ("symbols", pa.binary())])
+    ("n_rules", pa.int32()), ("n_symbols", pa.int64()), ("bits", pa.int32()), ("length_bits", pa.int32()), ("rules", pa.binary()),
+    ("lengths", pa.binary()), ("symbols", pa.binary())])
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, text: str = "text",
@@ -193,11 +260,12 @@ def _read(spark: SparkSession, folder: str, id_column: str, digest: bool) -> Dat
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                grammar = Grammar(np.frombuffer(row["rules"], "<u4").reshape(-1, 2),
-                                  np.frombuffer(row["lengths"], "<u4"), row["base"])
-                symbols = np.frombuffer(row["symbols"], f"<u{row['width']}")
-                tokens, places = (np.frombuffer(row[k], "<i8") for k in ("doc_tokens", "doc_symbols"))
-                ids = [grammar.expand(symbols[a:b]).astype("<u4").tobytes() for a, b in zip(places[:-1], places[1:])]
+                grammar = Grammar(unpack_bits(row["rules"], row["bits"], 2 * row["n_rules"]).reshape(-1, 2),
+                                  unpack_bits(row["lengths"], row["length_bits"], row["n_rules"]), row["base"])
+                # the whole shard at once; one document alone is the symbols between its two places
+                every = grammar.expand(unpack_bits(row["symbols"], row["bits"], row["n_symbols"])).astype("<u4").tobytes()
+                tokens = np.frombuffer(row["doc_tokens"], "<i8")
+                ids = [every[4 * a:4 * b] for a, b in zip(tokens[:-1], tokens[1:])]
                 found = pa.array([zlib.crc32(x) for x in ids], pa.int64()) if digest else pa.array(ids, pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(tokens[:-1] + row["start"] + before[row["part"]]),

@@ -17,7 +17,7 @@ from array import array
 
 import pyarrow as pa
 
-CACHE_BYTES = 48 << 20  # of the words known to a worker and their ids
+CACHE_BYTES = 96 << 20  # of the words known to a worker and their ids
 ENTRY_BYTES = 180  # of a word and its ids besides their letters
 BATCH = 20_000
 # fixed values: the split of the word tokenizer's file, and what it finds in lower-cased plain words
@@ -43,18 +43,25 @@ def _added(path: str) -> re.Pattern:
     return re.compile(b"|".join(map(re.escape, strings)) or b"(?!)")
 
 
-class _Table(dict):
-    """Words and their ids, emptied when they hold more than ``CACHE_BYTES``."""
+class _Table:
+    """Words and their ids, emptied when they would hold more than ``CACHE_BYTES``."""
 
-    held = 0
+    def __init__(self):
+        # a plain dict: sets only look up words in that, and walk through anything else
+        self.held, self.ids = 0, {}
 
-    def room_for(self, words: set[bytes]) -> bool:
-        self.held += sum(5 * len(w) + ENTRY_BYTES for w in words)  # an id has four bytes and at least one of the word
-        return self.held <= CACHE_BYTES
+    def missing(self, words: set[bytes]) -> set[bytes]:
+        new = words.difference(self.ids)
+        size = _bytes(new)
+        if new and self.held + size > CACHE_BYTES:
+            self.ids, self.held = {}, 0
+            new, size = words, _bytes(words)
+        self.held += size
+        return new
 
-    def clear(self) -> None:
-        super().clear()
-        self.held = 0
+
+def _bytes(words: set[bytes]) -> int:
+    return len(words) * ENTRY_BYTES + 5 * sum(map(len, words))  # an id has four bytes and at least one of the word
 
 
 @functools.lru_cache(maxsize=2)
@@ -64,16 +71,13 @@ def _table(path: str) -> _Table:
 
 def encode_texts(path: str, texts: list[bytes], end: int) -> list[bytes]:
     """Little-endian 32-bit ids of each text of a bounded slice, followed by the id ``end``."""
-    known = _table(path)
+    table = _table(path)
     mark = array("I", [end]).tobytes()
     whole = {i: _tokenizer(path).encode(text.decode(), add_special_tokens=False).ids
              for i, text in enumerate(texts) if _added(path).search(text)}
     words = [[] if i in whole else text.lower().split() for i, text in enumerate(texts)]
-    missing = set().union(*words).difference(known)
-    if missing and not known.room_for(missing):
-        known.clear()
-        missing = set().union(*words)
-        known.room_for(missing)
+    missing = table.missing(set().union(*words))
+    known = table.ids
     if missing:
         _encode_words(path, list(missing), known)
     return [(array("I", whole[i]).tobytes() if i in whole else b"".join(map(known.__getitem__, own))) + mark for i, own in enumerate(words)]

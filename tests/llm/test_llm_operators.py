@@ -778,7 +778,8 @@ def test_word_table_is_emptied_when_it_holds_too_many_bytes(monkeypatch):
     wordbpe._table.cache_clear()
     monkeypatch.setattr(wordbpe, "CACHE_BYTES", 3000)
     assert [encode_texts(WORD_BPE, [t], 1)[0] for t in texts] == want
-    assert wordbpe._table(WORD_BPE).held <= 3000
+    table = wordbpe._table(WORD_BPE)
+    assert table.held <= 3000 and 0 < len(table.ids) < 20
     wordbpe._table.cache_clear()
 
 
@@ -787,3 +788,30 @@ def test_strings_of_added_tokens_are_those_tokens_as_in_the_library():
         ids = np.frombuffer(encode_texts(WORD_BPE, [text.encode()], 7)[0], "<u4").tolist()
         assert ids == library_ids(text, 7)
     assert np.frombuffer(encode_texts(WORD_BPE, [b"<|endoftext|>"], 7)[0], "<u4").tolist() == [49407, 7]
+
+
+@pytest.mark.parametrize("bits, count", [(1, 9), (5, 0), (17, 1001), (32, 7)])
+def test_packed_bits_round_trip(bits, count):
+    values = np.random.default_rng(bits).integers(0, 1 << bits, count, dtype=np.uint64).astype(np.uint32)
+    packed = repair_shards.pack_bits(values, bits)
+    assert len(packed) == -(-bits * count // 8)
+    assert repair_shards.unpack_bits(packed, bits, count).tolist() == values.tolist()
+
+
+def test_a_shard_of_given_documents_is_smaller_than_its_plain_ids():
+    """Symbols, rules and lengths, against ids of two bytes; every rule is used, and none but inner ones fewer than 3 times."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()][:4000]
+    docs = [np.frombuffer(x, "<u4") for x in encode_texts(WORD_BPE, [t.encode() for t in texts], 2)]
+    ids, last = np.concatenate(docs), np.zeros(sum(map(len, docs)), bool)
+    last[np.cumsum([len(d) for d in docs]) - 1] = True
+    symbols, ends, rules, base = repair_shards.compress(ids, last)
+    lengths = repair_shards.rule_lengths(rules, base)
+    bits, length_bits = repair_shards.bits_for(base + len(rules)), repair_shards.bits_for(int(lengths.max()) + 1)
+    size = sum(len(repair_shards.pack_bits(x, b)) for x, b in ((symbols, bits), (rules.ravel(), bits), (lengths, length_bits)))
+    assert size < 0.65 * 2 * len(ids)
+    assert (repair_shards.Grammar(rules, lengths, base).expand(symbols) == ids).all() and ends.sum() == len(docs)
+    in_symbols = np.bincount(symbols[symbols >= base] - base, minlength=len(rules))
+    in_rules = np.bincount(rules[rules >= base] - base, minlength=len(rules))
+    assert ((in_symbols >= repair_shards.USES) | (in_rules > 0)).all()
