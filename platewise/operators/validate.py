@@ -134,7 +134,8 @@ def observe_invalid(df: DataFrame, step: str, features: str = C.FEATURES) -> tup
     seen = Observation(f"invalid_{step}")
     count = lambda test: F.coalesce(F.sum(F.size(F.filter(features, test))), F.lit(0))
     return df.observe(
-        seen, count(lambda x: x.isNull()).alias("n_null"), count(lambda x: F.isnan(x)).alias("n_nan"),
+        seen, count(lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).alias("n_invalid"),
+        count(lambda x: x.isNull()).alias("n_null"), count(lambda x: F.isnan(x)).alias("n_nan"),
         count(lambda x: F.abs(x) == float("inf")).alias("n_inf")), seen
 
 

@@ -259,3 +259,23 @@ def test_exact_join_refuses_what_is_not_one_to_one(spark):
             (left, more, False), (left.unionByName(left), right, True), (left, right.unionByName(right), True), (left, right.filter("k = 1"), True)):
         with pytest.raises(Exception, match="rows of key"):
             V.exact_join(bad_left, bad_right, ["k"], surplus).select("k").collect()
+
+
+def test_row_wise_steps_are_written_once(spark, profiles, monkeypatch):
+    """Writes are counted: one before the fit, one at the end; the gates are read from them."""
+    import pytest
+
+    from platewise.operators.packed import Profiles
+    from platewise.plans import steps
+
+    written = []
+    real = steps.cut_lineage
+    monkeypatch.setattr(steps, "cut_lineage", lambda df: written.append(1) or real(df))
+    chain = [{"name": "sample_norm"}, {"name": "well_position_correct"}, {"name": "normalize_standardize"}, {"name": "sample_norm"}]
+    names = [f"f{i}" for i in range(6)]
+    out, report = steps.run_steps(Profiles(profiles, names), chain)
+    assert len(written) == 2 and out.df.count() == 240
+    assert [(r["step"], r["n_nan"], r["n_null"], r["n_inf"]) for r in report] == [(s["name"], 0, 0, 0) for s in chain]
+    spoiled = profiles.withColumn("features", F.transform("features", lambda x: F.when(F.col("row_id") == 5, float("nan")).otherwise(x)))
+    with pytest.raises(ValueError, match="sample_norm left invalid values"):
+        steps.run_steps(Profiles(spoiled, names), chain)
