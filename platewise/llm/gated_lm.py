@@ -1,17 +1,19 @@
 """Likelihood of whole documents under a gated recurrent network with a class-factored output.
 
-Words are counted over all training documents. The ``HEAD`` most frequent words are in ``CLASSES`` classes of neighbours in
-frequency; every other word is in one of ``TAIL`` classes by its frequency, and so are unseen words. The network
+Words are counted over all training documents. The most frequent words, ``HEAD`` of them in a small corpus and more with the
+fourth root of its size, are in classes of neighbours in frequency; every other word is in one of the tail classes, one for each
+halving of the counts, and so are unseen words. The network
 (gated recurrent units, truncated backpropagation through time, all in numpy) predicts the class of the next word
 and, for head classes, the word within it. Within a tail class a word has its smoothed share of the class's counts,
 so the probabilities of all words and one unseen word add up to one. The network starts as the unigram model.
 Documents are scored from first to last word; the state is carried over from window to window and batch to batch.
 
-Counts do not fit in a task, so they never go to one: documents are dealt into blocks of neighbouring ids, a block
+Counts do not fit in a task, so they never go to one: documents are dealt by hash into blocks of bounded bytes, a block
 asks for the counts of its distinct words, and words are counted and asked for in buckets of their hashes. A
 document then becomes its list of codes (head word or tail class) and two sums. Training takes every training
-document once: each is in one of ``ROUNDS`` rounds, in which every task learns from its own documents and after which
-the parameters of all tasks are averaged.
+document once: each is in one of ``ROUNDS`` rounds, and within it in one of as many groups as there are ``LOT`` tokens. A
+group learns from its documents in the order of their ids, and after a round the parameters of all groups are averaged. Rounds,
+groups and their order come from ids and texts alone, so the model does not depend on how Spark cuts the data.
 
 Defined cases: NULL counts as the empty text, whose one token is the end; equal rows are scored separately; a NULL id is
 a training document and comes first; without training documents every token is unseen; an empty table gives an
@@ -21,7 +23,7 @@ empty table; only the id and text columns are read. Words are told apart by 64-b
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +33,58 @@ from pyspark.sql import functions as F
 from platewise.llm import text as T
 from platewise.llm.jaccard_join import _bits, _split
 from platewise.llm.language_id import held_out
-from platewise.llm.ordering import id_bounds, part_of
 from platewise.session import cut_lineage
 
-HEAD, CLASSES, TAIL, HIDDEN = 1024, 32, 8, 24
+HEAD, CLASSES, TAIL, HIDDEN = 1024, 32, 8, 24  # of a small corpus, see ``Shape``
 WIDTH = HEAD // CLASSES
+SMALL = 6 << 20  # bytes of text beyond which the head grows
 SMOOTH = 0.1
-BLOCK_DOCS = 2048
+BLOCK_DOCS, BLOCK_BYTES = 2048, 8 << 20
 FLUSH = 1 << 21
 END = np.uint64(0x5EED0FE4D0FD0C55)
 ROUNDS = 3  # each training document is in one of them
-LOT = 1 << 20  # tokens that a task learns from at a time
-STREAMS = (32, 256, 256)  # fewest and most streams, updates in a lot before there are more streams
+LOT = 1 << 20  # tokens of a group, which learns from them at a time
+STREAMS = (32, 512, 128)  # fewest and most streams, updates in a lot before there are more streams
 SQUARES = 1e-4
+SCORED = 1 << 22  # bytes of codes scored side by side
+PARTS = 8192  # most tasks of a training round; each sums the parameters of its groups
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Sizes of a network: classes of head words, words in each, and tail classes."""
+
+    classes: int = CLASSES
+    width: int = WIDTH
+    tail: int = TAIL
+
+    @property
+    def head(self) -> int:
+        return self.classes * self.width
+
+    @property
+    def arrays(self) -> dict[str, tuple[int, ...]]:
+        return {"embed": (self.head + self.tail, 3 * HIDDEN), "recur": (HIDDEN, 3 * HIDDEN), "shift": (HIDDEN,),
+                "class_w": (HIDDEN, self.classes + self.tail), "class_b": (self.classes + self.tail,),
+                "word_w": (self.classes, HIDDEN, self.width), "word_b": (self.classes, self.width)}
+
+    @property
+    def size(self) -> int:
+        return sum(math.prod(s) for s in self.arrays.values())
+
+    @property
+    def dtype(self) -> str:
+        return "<u2" if self.head + self.tail <= 1 << 16 else "<u4"
+
+
+SHAPE = Shape()
+SIZE = SHAPE.size
+
+
+def shape_for(size: int) -> Shape:
+    """The head for a corpus of ``size`` bytes: a power of two in the fourth root of the size, classes and words balanced."""
+    doublings = round(math.log2(max(size / SMALL, 1)) / 4)
+    return Shape(CLASSES << (doublings // 2), WIDTH << (doublings - doublings // 2))
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +102,7 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------------------------------------- counts
 
 
-def word_counts(docs: DataFrame, bits: int) -> DataFrame:
+def word_counts(docs: DataFrame, bits: int, head: int = HEAD) -> DataFrame:
     """(bucket, words, counts, total, top, top_counts): the words of ``docs`` (text) counted per hash bucket."""
 
     def send(held):
@@ -84,7 +125,7 @@ def word_counts(docs: DataFrame, bits: int) -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         words, counts = _merge(table.column("words").to_pylist(), table.column("counts").to_pylist())
-        top = np.lexsort((words, -counts))[:HEAD]
+        top = np.lexsort((words, -counts))[:head]
         return pa.table({
             "bucket": table.column("bucket").slice(0, 1), "words": pa.array([words.tobytes()], pa.binary()),
             "counts": pa.array([counts.tobytes()], pa.binary()), "total": [int(counts.sum())], "distinct": [len(words)],
@@ -116,10 +157,11 @@ class Vocabulary:
     counts: np.ndarray  # counts by code
     least: int  # count of the rarest head word
     mass: np.ndarray = field(default_factory=lambda: np.zeros(TAIL))  # smoothed counts of each tail class
+    shape: Shape = SHAPE
 
     def tail_class(self, counts: np.ndarray) -> np.ndarray:
         halvings = np.floor(np.log2(max(self.least, 1) / np.maximum(counts, 0.5)))
-        return np.clip(halvings, 0, TAIL - 1).astype(np.int64)
+        return np.clip(halvings, 0, self.shape.tail - 1).astype(np.int64)
 
     def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(is head, code) of each token."""
@@ -130,26 +172,28 @@ class Vocabulary:
         return self.words[at] == tokens, self.code[at]
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The head (``HEAD`` rows) and the sums of the tail classes; nothing larger reaches the driver."""
+def vocabulary(counts: DataFrame, shape: Shape = SHAPE) -> Vocabulary:
+    """The head words and the sums of the tail classes; nothing larger reaches the driver."""
     sums = counts.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     top = (counts.select(F.explode(F.arrays_zip("top", "top_counts")).alias("t"))
            .select(F.col("t.top").alias("word"), F.col("t.top_counts").alias("n"))
-           .orderBy(F.desc("n"), "word").limit(HEAD).collect())
+           .orderBy(F.desc("n"), "word").limit(shape.head).collect())
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     known = np.array([r["n"] for r in top], np.int64)
-    vocab = Vocabulary(sums["n"] or 0, sums["v"] or 0, hashes[order], np.arange(len(hashes))[order], known,
-                       int(known[-1]) if len(known) else 1)
+    least = int(known[-1]) if len(known) else 1
+    tail = max(TAIL, int(math.log2(2 * least)) + 1)  # one class for each halving down to unseen words
+    vocab = Vocabulary(sums["n"] or 0, sums["v"] or 0, hashes[order], np.arange(len(hashes))[order], known, least,
+                       np.zeros(tail), replace(shape, tail=tail))
 
     def weigh(batches):
-        mass = np.zeros(TAIL)
+        mass = np.zeros(tail)
         for batch in batches:
             for words, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = np.frombuffer(own, "<i8")
-                tail = ~vocab.look_up(np.frombuffer(words, np.uint64))[0]
-                mass += np.bincount(vocab.tail_class(own[tail]), own[tail] + SMOOTH, TAIL)
-        yield pa.RecordBatch.from_pydict({"tail": list(range(TAIL)), "mass": mass.tolist()})
+                rare = own[~vocab.look_up(np.frombuffer(words, np.uint64))[0]]
+                mass += np.bincount(vocab.tail_class(rare), rare + SMOOTH, tail)
+        yield pa.RecordBatch.from_pydict({"tail": list(range(tail)), "mass": mass.tolist()})
 
     for r in counts.select("words", "counts").mapInArrow(weigh, "tail long, mass double").groupBy("tail").agg(
             F.sum("mass").alias("mass")).collect():
@@ -158,9 +202,13 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return vocab
 
 
-def encoded(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, bits: int, rows: int) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, base_score, tail_score, codes) of every row of ``docs`` (id, held_out, text)."""
-    bounds = id_bounds(docs, "id", max(1, rows // BLOCK_DOCS))
+def encoded(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, bits: int, rows: int, size: int) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, base_score, tail_score, codes) of every row of ``docs`` (id, held_out, text).
+
+    ``rows`` and ``size`` (bytes) of the texts say how many blocks there are.
+    """
+    n_blocks = max(1, rows // BLOCK_DOCS, size // BLOCK_BYTES)
+    placed = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int").alias("block"), "id", "held_out", "text")
     schema = "bucket int, block int, words binary, counts binary"
 
     def ask(batches):
@@ -179,7 +227,7 @@ def encoded(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, bits: int, ro
 
         for batch in batches:
             for piece in T.slices(batch, 1):
-                blocks = part_of(piece.column(0), bounds)
+                blocks = piece.column(0).to_numpy()
                 tokens, offsets = tokens_of(piece.column(1))
                 for block in np.unique(blocks).tolist():
                     mine = np.repeat(blocks == block, np.diff(offsets))
@@ -209,11 +257,6 @@ def encoded(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, bits: int, ro
         return pa.table({"block": pa.array(blocks, pa.int32()), "words": pa.array(asked, pa.binary()),
                          "counts": pa.array(given, pa.binary())})
 
-    def place(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(batch.column(0), bounds)), *batch.columns],
-                                             ["block", "id", "held_out", "text"])
-
     def encode(key, left: pa.Table, right: pa.Table) -> pa.Table:
         words, own = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if right.num_rows:
@@ -224,10 +267,9 @@ def encoded(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, bits: int, ro
         parts = [_encode(piece, words, own, vocab) for batch in left.to_batches() for piece in T.slices(batch, 3)]
         return pa.Table.from_batches(parts, ENCODED) if parts else ENCODED.empty_table()
 
-    asked = docs.select("id", "text").mapInArrow(ask, schema)
+    asked = placed.select("block", "text").mapInArrow(ask, schema)
     known = counts.select("bucket", F.lit(-1).alias("block"), "words", "counts")
     answers = asked.unionByName(known).groupBy("bucket").applyInArrow(answer, "block int, words binary, counts binary")
-    placed = docs.select("id", "held_out", "text").mapInArrow(place, "block int, id long, held_out boolean, text string")
     return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         encode, "id long, held_out boolean, n_tokens long, n_known long, base_score double, tail_score double, codes binary")
 
@@ -251,8 +293,8 @@ def _encode(piece: pa.RecordBatch, words: np.ndarray, own: np.ndarray, vocab: Vo
     if len(tail):
         kind = vocab.tail_class(counts[tail])
         share[tail] = np.log10((counts[tail] + SMOOTH) / vocab.mass[kind])
-        code[tail] = HEAD + kind
-    codes = code.astype("<u2")
+        code[tail] = vocab.shape.head + kind
+    codes = code.astype(vocab.shape.dtype)
     return pa.RecordBatch.from_arrays(
         [piece.column(1), piece.column(2), pa.array(np.diff(offsets)), pa.array(T.per_row(counts > 0, offsets)),
          pa.array(np.add.reduceat(base, offsets[:-1])), pa.array(np.add.reduceat(share, offsets[:-1])),
@@ -261,30 +303,25 @@ def _encode(piece: pa.RecordBatch, words: np.ndarray, own: np.ndarray, vocab: Vo
 
 # ---------------------------------------------------------------------------------------------- network
 
-SHAPES = {"embed": (HEAD + TAIL, 3 * HIDDEN), "recur": (HIDDEN, 3 * HIDDEN), "shift": (HIDDEN,),
-          "class_w": (HIDDEN, CLASSES + TAIL), "class_b": (CLASSES + TAIL,),
-          "word_w": (CLASSES, HIDDEN, WIDTH), "word_b": (CLASSES, WIDTH)}
-SIZE = sum(math.prod(s) for s in SHAPES.values())
-
-
-def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+def views(flat: np.ndarray, shape: Shape = SHAPE) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, shape in SHAPES.items():
-        out[name] = flat[at:at + math.prod(shape)].reshape(shape)
-        at += math.prod(shape)
+    for name, sizes in shape.arrays.items():
+        out[name] = flat[at:at + math.prod(sizes)].reshape(sizes)
+        at += math.prod(sizes)
     return out
 
 
 def initial(vocab: Vocabulary, seed: int = 5) -> np.ndarray:
     """Parameters of a network that ignores its state and gives the unigram probabilities."""
-    flat = np.zeros(SIZE, np.float32)
-    p = views(flat)
+    shape = vocab.shape
+    flat = np.zeros(shape.size, np.float32)
+    p = views(flat, shape)
     rng = np.random.default_rng(seed)
     p["embed"][:] = rng.normal(0, 0.3, p["embed"].shape)
     p["recur"][:] = rng.normal(0, 0.2, p["recur"].shape)
-    counts = np.full(HEAD, SMOOTH)
+    counts = np.full(shape.head, SMOOTH)
     counts[:len(vocab.counts)] += vocab.counts
-    within = counts.reshape(CLASSES, WIDTH)
+    within = counts.reshape(shape.classes, shape.width)
     p["word_b"][:] = np.log(within / within.sum(axis=1, keepdims=True))
     both = np.concatenate((within.sum(axis=1), np.maximum(vocab.mass, SMOOTH)))
     p["class_b"][:] = np.log(both / both.sum())
@@ -292,7 +329,7 @@ def initial(vocab: Vocabulary, seed: int = 5) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 def step(p: dict, h: np.ndarray, code: np.ndarray) -> tuple:
@@ -305,51 +342,59 @@ def step(p: dict, h: np.ndarray, code: np.ndarray) -> tuple:
     return n + z * (h - n), (z, r, n, inner)
 
 
-def _class_of(code: np.ndarray) -> np.ndarray:
-    return np.where(code < HEAD, code // WIDTH, code - HEAD + CLASSES)
+def _softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-probability at one place of every row; ``scores`` become probabilities."""
+    scores -= scores.max(axis=1, keepdims=True)
+    found = scores[np.arange(len(at)), at]
+    np.exp(scores, out=scores)
+    total = scores.sum(axis=1)
+    scores /= total[:, None]
+    return found - np.log(total)
 
 
 def output(p: dict, h: np.ndarray, code: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log-probability of each code given its state; with ``grad`` also adds gradients and returns dh."""
-    kind = _class_of(code)
-    rows = np.arange(len(code))
-    scores = h @ p["class_w"] + p["class_b"]
-    scores -= scores.max(axis=1, keepdims=True)
-    e = np.exp(scores)
-    total = e.sum(axis=1)
-    found = scores[rows, kind] - np.log(total)
-    back = None
-    if grad is not None:
-        e /= total[:, None]
-        e[rows, kind] -= 1
-        grad["class_w"] += h.T @ e
-        grad["class_b"] += e.sum(axis=0)
-        back = e @ p["class_w"].T
+    """Natural log-probability of each code given its state; with ``grad`` also adds gradients and returns dh.
+
+    Rows are taken in the order of their classes, so that the words of a class meet its rows as one slice.
+    """
+    classes, _, width = p["word_w"].shape
+    head = classes * width
+    kind = np.where(code < head, code // width, code - head + classes).astype(np.uint16 if classes < 1 << 15 else np.int64)
     order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[cuts[c]:cuts[c + 1]]
-        if not len(at):
-            continue
-        own = h[at]
-        scores = own @ p["word_w"][c] + p["word_b"][c]
-        scores -= scores.max(axis=1, keepdims=True)
-        e = np.exp(scores)
-        total = e.sum(axis=1)
-        word, here = code[at] % WIDTH, np.arange(len(at))
-        found[at] += scores[here, word] - np.log(total)
-        if grad is not None:
-            e /= total[:, None]
-            e[here, word] -= 1
-            grad["word_w"][c] += own.T @ e
-            grad["word_b"][c] += e.sum(axis=0)
-            back[at] += e @ p["word_w"][c].T
+    h, kind, code = h[order], kind[order].astype(np.int64), code[order]
+    scores = h @ p["class_w"] + p["class_b"]
+    logs = _softmax(scores, kind)
+    cuts = np.searchsorted(kind, np.arange(classes + 1))
+    known = cuts[-1]
+    slices = [(c, slice(cuts[c], cuts[c + 1])) for c in np.flatnonzero(np.diff(cuts)).tolist()]
+    words = np.empty((known, width), scores.dtype)
+    for c, at in slices:
+        np.matmul(h[at], p["word_w"][c], out=words[at])
+        words[at] += p["word_b"][c]
+    word = code[:known] - kind[:known] * width
+    if known:
+        logs[:known] += _softmax(words, word)
+    found = np.empty_like(logs)
+    found[order] = logs
+    if grad is None:
+        return found, None
+    scores[np.arange(len(kind)), kind] -= 1
+    grad["class_w"] += h.T @ scores
+    grad["class_b"] += scores.sum(axis=0)
+    own = scores @ p["class_w"].T
+    words[np.arange(known), word] -= 1
+    for c, at in slices:
+        grad["word_w"][c] += h[at].T @ words[at]
+        grad["word_b"][c] += words[at].sum(axis=0)
+        own[at] += words[at] @ p["word_w"][c].T
+    back = np.empty_like(own)
+    back[order] = own
     return found, back
 
 
-def log_likelihoods(flat: np.ndarray, docs: list[np.ndarray], window: int = 1 << 14) -> np.ndarray:
+def log_likelihoods(flat: np.ndarray, docs: list[np.ndarray], window: int = 1 << 14, shape: Shape = SHAPE) -> np.ndarray:
     """Natural log-likelihood of whole code sequences, longest first side by side, the state never cut."""
-    p = views(flat)
+    p = views(flat, shape)
     lengths = np.array([len(d) for d in docs], np.int64)
     order = np.argsort(-lengths, kind="stable")
     sizes = lengths[order]
@@ -361,7 +406,7 @@ def log_likelihoods(flat: np.ndarray, docs: list[np.ndarray], window: int = 1 <<
 
     def flush():
         found, _ = output(p, np.concatenate(states), np.concatenate(targets))
-        np.add.at(out, np.concatenate(owners), found)
+        out[:len(owners[0])] += np.bincount(np.concatenate(owners), found, len(owners[0]))
 
     active = len(docs)
     for t in range(int(sizes[0]) if len(sizes) else 0):
@@ -384,7 +429,7 @@ def log_likelihoods(flat: np.ndarray, docs: list[np.ndarray], window: int = 1 <<
 
 
 def learn(flat: np.ndarray, docs: list[np.ndarray], rate: float = 0.1, streams: int | None = None, window: int = 24,
-          squares: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+          squares: np.ndarray | None = None, shape: Shape = SHAPE) -> tuple[np.ndarray, int]:
     """(parameters, tokens seen) after one pass of truncated backpropagation over every token of code sequences.
 
     Documents follow one another in parallel streams, by default more of them for more tokens (``STREAMS``); the state is
@@ -406,7 +451,7 @@ def learn(flat: np.ndarray, docs: list[np.ndarray], rate: float = 0.1, streams:
     spare = steps * streams - seen  # places after the last token, which teach nothing
     whole, fresh = (np.concatenate((x, np.zeros(spare, x.dtype))).reshape(streams, steps) for x in (whole, fresh))
     real = (np.arange(steps * streams) < seen).reshape(streams, steps)
-    p, squares = views(flat), np.full(SIZE, SQUARES, np.float32) if squares is None else squares
+    p, squares = views(flat, shape), np.full(shape.size, SQUARES, np.float32) if squares is None else squares
     h = np.zeros((streams, HIDDEN), np.float32)
     for start in range(0, steps, window):
         codes, new = whole[:, start:start + window].T, fresh[:, start:start + window].T[:, :, None]
@@ -417,8 +462,8 @@ def learn(flat: np.ndarray, docs: list[np.ndarray], rate: float = 0.1, streams:
             before[t] = h
             h, g = step(p, h, codes[t])
             gates.append(g)
-        gradient = np.zeros(SIZE, np.float32)
-        grad = views(gradient)
+        gradient = np.zeros(shape.size, np.float32)
+        grad = views(gradient, shape)
         used = np.flatnonzero(real[:, start:start + window].T.reshape(-1))
         flat_codes = codes.reshape(-1)
         back = np.zeros((length * streams, HIDDEN), np.float32)
@@ -451,47 +496,65 @@ def learn(flat: np.ndarray, docs: list[np.ndarray], rate: float = 0.1, streams:
     return flat, seen
 
 
-def trained(codes: DataFrame, flat: np.ndarray, rounds: int = ROUNDS, chunks: int = 16) -> np.ndarray:
-    """Parameters after ``rounds`` of learning in all tasks and averaging; every row of ``codes`` (id, codes) is in one round."""
-    cuts = [SIZE * i // chunks for i in range(chunks + 1)]
-    schema = "chunk int, weight double, part binary"
+def trained(codes: DataFrame, flat: np.ndarray, rounds: int = ROUNDS, chunks: int = 16, shape: Shape = SHAPE,
+            lot: int = LOT) -> np.ndarray:
+    """Parameters after ``rounds`` of learning in groups and averaging; every row of ``codes`` (id, codes) is in one round.
+
+    A group holds about ``lot`` tokens. A task takes its groups one by one and sums their parameters, and the sums of
+    tasks are added in two levels, always in the same order.
+    """
+    cuts = [shape.size * i // chunks for i in range(chunks + 1)]
+    width = np.dtype(shape.dtype).itemsize
+    schema = "chunk int, task int, weight double, part binary"
+    tokens = (codes.agg(F.sum(F.octet_length("codes")).alias("n")).first()["n"] or 0) // width
+    groups = max(1, round(tokens / rounds / lot))
+    tasks = min(groups, PARTS)
+    dealt = codes.select("codes", F.pmod(F.xxhash64("id", "codes"), F.lit(groups)).alias("group"), "id",
+                         F.pmod(F.xxhash64("id", F.lit(3)), F.lit(rounds)).alias("turn"))
     for turn in range(rounds):
-        part = codes.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(rounds)) == turn).select("codes")
+        part = (dealt.filter(F.col("turn") == turn).repartitionById(tasks, F.pmod("group", F.lit(tasks)).cast("int"))
+                .sortWithinPartitions("group", "id", "codes").select("group", "codes"))
 
+        @T.tidy
         def run(batches, flat=flat):
-            found, seen, squares = flat, 0, np.full(SIZE, SQUARES, np.float32)
-            for docs in _lots(batches):
-                found, more = learn(found, docs, squares=squares)
-                seen += more
-            if seen:
+            total, weight, task = np.zeros(shape.size), 0, 0
+            for group, docs in _groups(batches, shape.dtype):
+                found, seen = learn(flat, docs, shape=shape)
+                total += seen * found.astype(np.float64)
+                weight += seen
+                task = group % tasks
+            if weight:
                 yield pa.RecordBatch.from_pydict({
-                    "chunk": pa.array(range(chunks), pa.int32()), "weight": [float(seen)] * chunks,
-                    "part": pa.array([found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
-
-        def average(table: pa.Table) -> pa.Table:
-            weights = table.column("weight").to_pylist()
-            total = sum(w * np.frombuffer(x, np.float32).astype(np.float64) for w, x in zip(weights, table.column("part").to_pylist()))
-            return pa.table({"chunk": table.column("chunk").slice(0, 1), "weight": [sum(weights)],
-                             "part": pa.array([(total / sum(weights)).astype(np.float32).tobytes()], pa.binary())})
-
-        found = part.mapInArrow(run, schema).groupBy("chunk").applyInArrow(average, schema).collect()
+                    "chunk": pa.array(range(chunks), pa.int32()), "task": pa.array([task] * chunks, pa.int32()),
+                    "weight": [float(weight)] * chunks,
+                    "part": pa.array([total[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+
+        def add(table: pa.Table) -> pa.Table:
+            table = table.sort_by("task")
+            total = sum(np.frombuffer(x) for x in table.column("part").to_pylist())
+            return pa.table({"chunk": table.column("chunk").slice(0, 1), "task": table.column("task").slice(0, 1),
+                             "weight": [sum(table.column("weight").to_pylist())], "part": pa.array([total.tobytes()], pa.binary())})
+
+        sums = part.mapInArrow(run, schema).groupBy("chunk", F.pmod("task", F.lit(64)).alias("some")).applyInArrow(add, schema)
+        found = sums.groupBy("chunk").applyInArrow(add, schema).collect()
         if found:
-            flat = np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(found, key=lambda r: r["chunk"])])
+            flat = np.concatenate([np.frombuffer(r["part"]) / r["weight"] for r in sorted(found, key=lambda r: r["chunk"])])
+            flat = flat.astype(np.float32)
     return flat
 
 
-def _lots(batches):
-    """The code sequences of ``batches`` in lists of about ``LOT`` tokens; a longer document stands alone."""
-    held, size = [], 0
+def _groups(batches, dtype: str):
+    """(group, its code sequences) of rows (group, codes) in the order of groups."""
+    current, held = None, []
     for batch in batches:
-        for x in batch.column(0).to_pylist():
-            held.append(np.frombuffer(x, "<u2"))
-            size += len(held[-1])
-            if size > LOT:
-                yield held
-                held, size = [], 0
+        for group, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if group != current and held:
+                yield current, held
+                held = []
+            current = group
+            held.append(np.frombuffer(x, dtype))
     if held:
-        yield held
+        yield current, held
 
 
 def scores(docs: DataFrame, text: str = "text", id_column: str = "doc_id", parts: int = 10, part: int = 0) -> DataFrame:
@@ -499,17 +562,19 @@ def scores(docs: DataFrame, text: str = "text", id_column: str = "doc_id", parts
     source = docs.select(F.col(id_column).cast("long").alias("id"), held_out(F.col(id_column), parts, part).alias("held_out"),
                          F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = source.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    bits = _bits((size["bytes"] or 0) // 40)
-    counts = cut_lineage(word_counts(source.filter(~F.col("held_out")).select("text"), bits))
-    vocab = vocabulary(counts)
-    codes = cut_lineage(encoded(source, counts, vocab, bits, size["rows"]))
-    flat = trained(codes.filter(~F.col("held_out")), initial(vocab))
-    total = vocab.total
-
+    n_bytes = size["bytes"] or 0
+    bits, shape = _bits(n_bytes // 40), shape_for(n_bytes)
+    counts = cut_lineage(word_counts(source.filter(~F.col("held_out")).select("text"), bits, shape.head))
+    vocab = vocabulary(counts, shape)
+    codes = cut_lineage(encoded(source, counts, vocab, bits, size["rows"], n_bytes))
+    total, shape = vocab.total, vocab.shape
+    flat = trained(codes.filter(~F.col("held_out")), initial(vocab), shape=shape)
+
+    @T.tidy
     def score(batches):
         for batch in batches:
-            for piece in T.slices(batch, 6):
-                found = log_likelihoods(flat, [np.frombuffer(x, "<u2") for x in piece.column(6).to_pylist()])
+            for piece in T.slices(batch, 6, SCORED):
+                found = log_likelihoods(flat, [np.frombuffer(x, shape.dtype) for x in piece.column(6).to_pylist()], shape=shape)
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns[:4], pa.array([total] * piece.num_rows, pa.int64()), piece.column(4),
                      pa.array(found / math.log(10) + piece.column(5).to_numpy())],
