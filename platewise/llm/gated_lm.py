@@ -44,7 +44,7 @@ FLUSH = 1 << 21
 END = np.uint64(0x5EED0FE4D0FD0C55)
 ROUNDS = 3  # each training document is in one of them
 LOT = 1 << 20  # tokens of a group, which learns from them at a time
-STREAMS = (32, 512, 128)  # fewest and most streams, updates in a lot before there are more streams
+STREAMS = (32, 192, 256)  # fewest and most streams, updates in a lot before there are more streams
 SQUARES = 1e-4
 SCORED = 1 << 22  # bytes of codes scored side by side
 PARTS = 8192  # most tasks of a training round; each sums the parameters of its groups
@@ -428,7 +428,7 @@ def log_likelihoods(flat: np.ndarray, docs: list[np.ndarray], window: int = 1 <<
     return found
 
 
-def learn(flat: np.ndarray, docs: list[np.ndarray], rate: float = 0.1, streams: int | None = None, window: int = 24,
+def learn(flat: np.ndarray, docs: list[np.ndarray], rate: float = 0.2, streams: int | None = None, window: int = 24,
           squares: np.ndarray | None = None, shape: Shape = SHAPE) -> tuple[np.ndarray, int]:
     """(parameters, tokens seen) after one pass of truncated backpropagation over every token of code sequences.
 
