@@ -10,7 +10,7 @@ from platewise.operators import results as R
 from platewise.operators.packed import pack, unpack
 from platewise.plans.steps import config_name, run_steps
 from platewise.sources import readers, writers
-from platewise.streaming.ingest import ingest_available, site_stream
+from platewise.streaming.ingest import append_new, held_keys, ingest_available, key_ranges, site_stream
 
 
 def test_malformed_site_key_is_an_error(spark):
@@ -279,3 +279,39 @@ def test_row_wise_steps_are_written_once(spark, profiles, monkeypatch):
     spoiled = profiles.withColumn("features", F.transform("features", lambda x: F.when(F.col("row_id") == 5, float("nan")).otherwise(x)))
     with pytest.raises(ValueError, match="sample_norm left invalid values"):
         steps.run_steps(Profiles(spoiled, names), chain)
+
+
+def rows_scanned(df):
+    """Rows that the scan of a collected frame without shuffles gave out."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_ingest_reads_only_key_ranges_of_the_batch(spark, tmp_path):
+    sink = str(tmp_path / "sink")
+    write = append_new(sink, ["site", "part"], ["plate"])
+    frame = lambda rows: spark.createDataFrame(rows, "site string, part int, plate string, value int")
+    for plate in "ABC":
+        write(frame([(f"{plate}{i:03d}", i % 2, plate, i) for i in range(100)]), 0)
+    batch = frame([("B007", 1, "Z", 0), ("B007", 0, "B", 1), ("B200", 0, "B", 2), ("B200", 0, "B", 2)])
+    held = held_keys(spark.read.parquet(sink), batch, ["site", "part"])
+    assert rows_scanned(held) <= 100
+    assert {tuple(r) for r in held.collect()} >= {("B007", 1)}
+    write(batch, 1)
+    back = spark.read.parquet(sink)
+    # the key that comes again under another plate stays out
+    assert back.count() == 302 and back.filter("plate = 'Z'").count() == 0
+    write(batch, 1)
+    assert spark.read.parquet(sink).count() == 302
+    write(frame([]), 2)
+    assert spark.read.parquet(sink).count() == 302
+
+
+def test_key_ranges_cover_all_values(spark):
+    values = [None, 5, 1, 1, 9, 200, 300]
+    df = spark.createDataFrame([(v,) for v in values], "key long")
+    ranges = key_ranges(df, "key", 4)
+    assert 1 <= len(ranges) <= 4
+    assert all(any(a <= v <= b for a, b in ranges) for v in values if v is not None)
+    assert all(x[1] < y[0] for x, y in zip(ranges[:-1], ranges[1:]))
+    assert key_ranges(df.filter("key IS NULL"), "key") == []
