@@ -9,7 +9,7 @@ from platewise.catalog.inputs import (
 from platewise.catalog.registry import derive, register, table, with_clause
 from platewise.operators import annotations as A
 from platewise.operators import metadata as M
-from platewise.plans.curation import build_graph
+from platewise.plans.curation import build_graph, curate
 
 REGISTRY = with_clause(well=WELL, plate=PLATE, compound=COMPOUND, crispr=CRISPR, orf=ORF)
 RAW = REGISTRY + """, raw AS (
@@ -434,6 +434,66 @@ def gg_edges_strict(spark, sf_dir):
     return edge_columns(out).select("a", "b", "modality")
 
 
+PROFILED = """SELECT DISTINCT Metadata_Source AS src, Metadata_Plate AS plate, Metadata_Well AS well, Metadata_JCP2022 AS pert,
+    CASE WHEN Metadata_JCP2022 LIKE 'JCP2022%' THEN 'negcon' ELSE 'trt' END AS pert_type,
+    CASE WHEN p_partkey % 6 = 1 THEN 'crispr' WHEN p_partkey % 6 = 3 THEN 'orf' ELSE 'compound' END AS kind,
+    CASE WHEN p_partkey % 6 IN (1, 3) THEN 'G' || (p_partkey % 90) END AS symbol
+  FROM {well} well LEFT JOIN {part} part ON Metadata_JCP2022 = 'C' || p_partkey"""
+CURATION = (REGISTRY + ", cc AS (" + PAIRS + "), cg AS (" + CURATED + """),
+blocks AS (SELECT split_part(inchikey_a, '-', 1) AS block FROM cc UNION SELECT split_part(inchikey_b, '-', 1) FROM cc
+  UNION SELECT split_part(inchikey, '-', 1) FROM cg),
+structures AS (SELECT DISTINCT "Metadata_JCP2022" AS pert, split_part("Metadata_InChIKey", '-', 1) AS block FROM compound
+  WHERE split_part("Metadata_InChIKey", '-', 1) IN (SELECT block FROM blocks)),
+wanted AS (SELECT pert FROM structures UNION SELECT "Metadata_JCP2022" FROM crispr UNION SELECT "Metadata_JCP2022" FROM orf),
+every AS (SELECT w."Metadata_Source" AS src, p."Metadata_Batch" AS batch, w."Metadata_Plate" AS plate,
+         w."Metadata_Well" AS well, w."Metadata_JCP2022" AS pert
+  FROM well w JOIN plate p ON w."Metadata_Source" = p."Metadata_Source" AND w."Metadata_Plate" = p."Metadata_Plate"),
+raw AS (SELECT *, CASE WHEN pert IN (SELECT "Metadata_JCP2022" FROM crispr) THEN 'CRISPR'
+    WHEN pert IN (SELECT "Metadata_JCP2022" FROM orf) THEN 'ORF' ELSE 'COMPOUND' END AS modality
+  FROM every WHERE pert IN (SELECT pert FROM wanted)),
+typed AS (SELECT * FROM raw WHERE src <> 'source_9' AND plate NOT IN (
+    SELECT "Metadata_Plate" FROM plate WHERE "Metadata_PlateType" ILIKE '%TARGET2%')),
+filtered AS (SELECT * FROM typed SEMI JOIN (SELECT src, plate FROM typed GROUP BY ALL
+    HAVING round(count(DISTINCT well) * 100.0 / 384, 2) >= 3) f ON f.src = typed.src AND f.plate = typed.plate),
+ctrl AS (SELECT every.* FROM every JOIN (VALUES ('COMPOUND', 'JCP2022_033924'), ('CRISPR', 'JCP2022_800001')) AS t(modality, pert)
+    USING (pert) SEMI JOIN (SELECT DISTINCT modality, plate FROM filtered) f
+    ON f.modality = t.modality AND f.plate = every.plate),
+prof AS (""" + PROFILED.format(well="well", part="part") + """),
+matched AS (SELECT batch, prof.* FROM (SELECT src, batch, plate, well FROM filtered
+    UNION SELECT src, batch, plate, well FROM ctrl) JOIN prof USING (src, plate, well)),
+grouped AS (SELECT *, CASE WHEN src IN ('source_2', 'source_6', 'source_8') THEN 'group_high'
+    WHEN src = 'source_7' THEN 'group_low' WHEN src = 'source_4' THEN 'group_orf'
+    WHEN src = 'source_13' THEN 'group_crispr' ELSE 'group_other' END AS grp FROM matched),
+enough AS (SELECT grp, pert FROM grouped GROUP BY ALL HAVING count(*) >= 4),
+replicated AS (SELECT * FROM grouped g WHERE grp NOT IN ('group_high', 'group_low') OR pert_type = 'negcon'
+    OR EXISTS (SELECT 1 FROM enough e WHERE e.grp = g.grp AND e.pert = g.pert)),
+lists AS (SELECT pert, array_to_string(list_sort(list(DISTINCT target)), '|') AS l
+  FROM cg JOIN structures ON split_part(inchikey, '-', 1) = block WHERE target IS NOT NULL GROUP BY pert)""").replace(
+    "{lineitem}", "lineitem")
+
+
+def curated(spark, sf_dir):
+    profiles = derive(spark, sf_dir, PROFILED.format(well=f"({WELL})", part="{part}")).withColumnsRenamed(
+        {"src": C.SOURCE, "plate": C.PLATE, "well": C.WELL, "pert": C.PERT, "pert_type": "Metadata_pert_type",
+         "kind": C.PERT_TYPE, "symbol": C.SYMBOL})
+    return curate(registry(spark, sf_dir), profiles, derive(spark, sf_dir, PAIRS), derive(spark, sf_dir, CURATED), min_fill=3.0)
+
+
+@register("curated_wells", CURATION + """ SELECT src, batch, plate, well, r.pert, kind, grp, CASE WHEN pert_type = 'negcon' THEN 'unknown'
+  WHEN kind IN ('orf', 'crispr') THEN symbol ELSE coalesce(l, 'unknown') END AS target FROM replicated r LEFT JOIN lists ON lists.pert = r.pert""")
+def curated_wells(spark, sf_dir):
+    out = short(curated(spark, sf_dir)[0])
+    return out.select("src", "batch", "plate", "well", "pert", F.col(C.PERT_TYPE).alias("kind"), F.col(C.GROUP).alias("grp"),
+                      F.col("Metadata_graph_target").alias("target"))
+
+
+@register("curation_steps", CURATION + """ SELECT DISTINCT pert, 'structures' AS step FROM structures WHERE pert IS NOT NULL
+UNION SELECT pert, 'raw' FROM raw UNION SELECT pert, 'filtered' FROM filtered
+UNION SELECT pert, 'matched' FROM matched UNION SELECT pert, 'replicated' FROM replicated""")
+def curation_steps(spark, sf_dir):
+    return curated(spark, sf_dir)[1].select(F.col(C.PERT).alias("pert"), "step")
+
+
 @register("graph_edge_counts", f"""{P_CTE}, {GENES}, {STRICT}, cgs AS (
   SELECT 'cg' AS source, target_modality AS modality, count(*) AS n FROM st_targets JOIN genes USING (target) GROUP BY 2),
 ccs AS (SELECT 'cc' AS source, NULL::VARCHAR AS modality, count(*) AS n FROM (
