@@ -464,7 +464,7 @@ matched AS (SELECT batch, prof.* FROM (SELECT src, batch, plate, well FROM filte
 grouped AS (SELECT *, CASE WHEN src IN ('source_2', 'source_6', 'source_8') THEN 'group_high'
     WHEN src = 'source_7' THEN 'group_low' WHEN src = 'source_4' THEN 'group_orf'
     WHEN src = 'source_13' THEN 'group_crispr' ELSE 'group_other' END AS grp FROM matched),
-enough AS (SELECT grp, pert FROM grouped GROUP BY ALL HAVING count(*) >= 4),
+enough AS (SELECT grp, pert FROM grouped GROUP BY ALL HAVING count(*) >= 30),
 replicated AS (SELECT * FROM grouped g WHERE grp NOT IN ('group_high', 'group_low') OR pert_type = 'negcon'
     OR EXISTS (SELECT 1 FROM enough e WHERE e.grp = g.grp AND e.pert = g.pert)),
 lists AS (SELECT pert, array_to_string(list_sort(list(DISTINCT target)), '|') AS l
@@ -476,7 +476,8 @@ def curated(spark, sf_dir):
     profiles = derive(spark, sf_dir, PROFILED.format(well=f"({WELL})", part="{part}")).withColumnsRenamed(
         {"src": C.SOURCE, "plate": C.PLATE, "well": C.WELL, "pert": C.PERT, "pert_type": "Metadata_pert_type",
          "kind": C.PERT_TYPE, "symbol": C.SYMBOL})
-    return curate(registry(spark, sf_dir), profiles, derive(spark, sf_dir, PAIRS), derive(spark, sf_dir, CURATED), min_fill=3.0)
+    return curate(registry(spark, sf_dir), profiles, derive(spark, sf_dir, PAIRS), derive(spark, sf_dir, CURATED), min_fill=3.0,
+                  min_replicates=30)
 
 
 @register("curated_wells", CURATION + """ SELECT src, batch, plate, well, r.pert, kind, grp, CASE WHEN pert_type = 'negcon' THEN 'unknown'

@@ -17,7 +17,8 @@ def test_every_sql_has_a_query():
     assert len(entry.queries()) > 150
 
 
-@pytest.mark.parametrize("name", ["activity_map", "consistency_map", "recall_compounds", "tiers", "select_best_average", "key_digest"])
+@pytest.mark.parametrize("name", ["activity_map", "consistency_map", "recall_compounds", "tiers", "select_best_average", "key_digest",
+                                  "curated_wells", "curation_steps"])
 def test_query_matches_sql(spark, name):
     import __spark_entry__ as entry
     from compare import compare, duck
