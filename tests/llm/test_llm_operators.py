@@ -815,3 +815,18 @@ def test_a_shard_of_given_documents_is_smaller_than_its_plain_ids():
     in_symbols = np.bincount(symbols[symbols >= base] - base, minlength=len(rules))
     in_rules = np.bincount(rules[rules >= base] - base, minlength=len(rules))
     assert ((in_symbols >= repair_shards.USES) | (in_rules > 0)).all()
+
+
+def test_gated_lm_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, rng.integers(0, 1030, 60).astype("<u2").tobytes()) for i in range(90)]
+    codes = spark.createDataFrame(data, "id long, codes binary")
+    start = gated_lm.initial(small_vocabulary())
+    one, many = (gated_lm.trained(codes.repartition(n), start, lot=600) for n in (1, 7))
+    assert not np.array_equal(one, start) and np.array_equal(one, many)
+
+
+def test_gated_lm_grows_with_the_corpus():
+    sizes = [gated_lm.shape_for(n) for n in (0, 10 ** 6, 5 * 10 ** 8, 3 * 10 ** 10, 10 ** 14)]
+    assert [s.head for s in sizes] == [1024, 1024, 4096, 8192, 65536]
+    assert sizes[-1].dtype == "<u4" and sizes[0].dtype == "<u2" and sizes[0].size == gated_lm.SIZE
