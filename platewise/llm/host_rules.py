@@ -52,7 +52,7 @@ def statistics(column: pa.Array) -> dict[str, np.ndarray]:
     data, offsets = T.buffer_of(column)
     n_rows = len(offsets) - 1
     starts, ends, rows = T.words_of(data, offsets)
-    inside = ~T._SPACE[data] & ((data & 0xC0) != 0x80)
+    inside = ~T.SPACE[data] & ((data & 0xC0) != 0x80)
     raw = data.tobytes()
     return {
         "n_words": np.bincount(rows, minlength=n_rows),

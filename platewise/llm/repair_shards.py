@@ -39,13 +39,19 @@ def bits_for(values: int) -> int:
     return max(1, int(values - 1).bit_length())
 
 
-def frequent(symbols: np.ndarray, last: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def frequent(symbols: np.ndarray, last: np.ndarray, enough: int, since: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, number, pairs): where pairs found ``enough`` times begin, and which of ``pairs`` each is.
 
-    Pairs in slots of a hash that are not found so often are passed over, the others are sorted and counted.
+    Only pairs with a symbol from ``since`` on are looked at. Pairs in slots of a hash that are not found so often are passed
+    over, the others are sorted and counted.
     """
-    slot = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
-    at = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= enough)[slot] & ~last[:-1])
+    if since:
+        new = symbols >= since
+        at = np.flatnonzero((new[:-1] | new[1:]) & ~last[:-1])
+    else:
+        at = np.flatnonzero(~last[:-1])
+    slot = (symbols[at] * np.uint32(0x9E3779B1) + symbols[at + 1] * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
+    at = at[(np.bincount(slot, minlength=1 << SLOT_BITS) >= enough)[slot]]
     keys = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
     pairs, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
     good = counts >= enough
@@ -58,20 +64,22 @@ def compress(ids: np.ndarray, last: np.ndarray, share: int = 4096, least: int =
 
     A round replaces every pair found often enough, except where it would overlap the replacement before it. Enough is
     ``symbols / share`` times at first and a ``STEP``-th of that whenever no pair is left, down to ``least``, where rounds go on
-    until no pair is found so often. Rules that save nothing are taken back. ``last`` marks the last symbol of each
-    document.
+    until no pair is found so often. Every place of such a pair is replaced or loses a symbol to the replacement before
+    it, so in the next round only pairs with a new symbol can be found so often. Rules that save nothing are taken back.
+    ``last`` marks the last symbol of each document.
     """
     symbols, last = ids.astype(np.uint32), last.copy()
     base = int(symbols.max()) + 1 if len(symbols) else 0
     rules = np.zeros((0, 2), np.uint32)
-    enough = max(least, len(symbols) // share)
+    enough, since = max(least, len(symbols) // share), 0
     while len(symbols) > 1:
-        at, number, pairs = frequent(symbols, last, enough)
+        at, number, pairs = frequent(symbols, last, enough, since)
         if not len(at):
             if enough == least:
                 break
-            enough = max(least, enough // STEP)
+            enough, since = max(least, enough // STEP), 0
             continue
+        since = base + len(rules)
         fresh = np.concatenate(([True], at[1:] != at[:-1] + 1))
         begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - begin) % 2 == 0

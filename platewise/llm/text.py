@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_LOWER = _BYTE.copy()
@@ -101,7 +101,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~_SPACE[data]
+    inside = ~SPACE[data]
     first = np.empty(len(data), bool)
     first[0] = True
     np.logical_not(inside[:-1], out=first[1:])

@@ -15,8 +15,11 @@ import os
 import re
 from array import array
 
+import numpy as np
 import pyarrow as pa
 
+from platewise.llm.text import SPACE, words_of
+
 CACHE_BYTES = 96 << 20  # of the words known to a worker and their ids
 ENTRY_BYTES = 180  # of a word and its ids besides their letters
 BATCH = 20_000
@@ -44,23 +47,42 @@ def _added(path: str) -> re.Pattern:
 
 
 class _Table:
-    """Words and their ids, emptied when they would hold more than ``CACHE_BYTES``."""
-
-    def __init__(self):
-        # a plain dict: sets only look up words in that, and walk through anything else
-        self.held, self.ids = 0, {}
-
-    def missing(self, words: set[bytes]) -> set[bytes]:
-        new = words.difference(self.ids)
-        size = _bytes(new)
-        if new and self.held + size > CACHE_BYTES:
-            self.ids, self.held = {}, 0
-            new, size = words, _bytes(words)
-        self.held += size
-        return new
+    """Words and their ids in two generations of half of ``CACHE_BYTES``.
 
+    When the younger one is full it becomes the older one, whose words are taken over as they are met again, so that
+    common words stay and only rare ones are encoded anew. The words of one call may exceed the bound until the next.
+    """
 
-def _bytes(words: set[bytes]) -> int:
+    def __init__(self):
+        self.ids, self.old = {}, {}
+        self.young_bytes = self.old_bytes = 0
+
+    @property
+    def held(self) -> int:
+        return self.young_bytes + self.old_bytes
+
+    def look_up(self, path: str, words: list[bytes]) -> list[bytes]:
+        """Ids of each of the distinct words."""
+        found = list(map(self.ids.get, words))
+        new = [w for w, ids in zip(words, found) if ids is None]
+        if not new:
+            return found
+        if self.young_bytes + _bytes(new) > CACHE_BYTES // 2:
+            self.old, self.old_bytes, self.ids, self.young_bytes = self.ids, self.young_bytes, {}, 0
+            new, found = words, [None] * len(words)
+        rare = new
+        if self.old:
+            before = list(map(self.old.get, new))
+            self.ids.update((w, ids) for w, ids in zip(new, before) if ids is not None)
+            rare = [w for w, ids in zip(new, before) if ids is None]
+        self.young_bytes += _bytes(new) + _encode_words(path, rare, self.ids)
+        if self.held > CACHE_BYTES:
+            self.old, self.old_bytes = {}, 0
+        fresh = map(self.ids.__getitem__, new)
+        return [next(fresh) if ids is None else ids for ids in found]
+
+
+def _bytes(words: list[bytes]) -> int:
     return len(words) * ENTRY_BYTES + 5 * sum(map(len, words))  # an id has four bytes and at least one of the word
 
 
@@ -70,43 +92,82 @@ def _table(path: str) -> _Table:
 
 
 def encode_texts(path: str, texts: list[bytes], end: int) -> list[bytes]:
-    """Little-endian 32-bit ids of each text of a bounded slice, followed by the id ``end``."""
-    table = _table(path)
+    """Little-endian 32-bit ids of each text of a bounded slice, followed by the id ``end``.
+
+    The words are numbered by an Arrow dictionary, so that the table is asked once for each distinct word of the slice
+    and the ids of all words in order are gathered from those.
+    """
     mark = array("I", [end]).tobytes()
-    whole = {i: _tokenizer(path).encode(text.decode(), add_special_tokens=False).ids
+    whole = {i: array("I", _tokenizer(path).encode(text.decode(), add_special_tokens=False).ids).tobytes()
              for i, text in enumerate(texts) if _added(path).search(text)}
-    words = [[] if i in whole else text.lower().split() for i, text in enumerate(texts)]
-    missing = table.missing(set().union(*words))
-    known = table.ids
-    if missing:
-        _encode_words(path, list(missing), known)
-    return [(array("I", whole[i]).tobytes() if i in whole else b"".join(map(known.__getitem__, own))) + mark for i, own in enumerate(words)]
-
-
-def _encode_words(path: str, words: list[bytes], known: dict[bytes, bytes]) -> None:
-    """Add the ids of lower-cased words.
+    lowered = [b"" if i in whole else text.lower() for i, text in enumerate(texts)]
+    offsets = np.cumsum([0, *map(len, lowered)], dtype=np.int64)
+    data = np.frombuffer(b"".join(lowered), np.uint8)
+    starts, ends, rows = words_of(data, offsets)
+    if not len(starts):
+        return [whole.get(i, b"") + mark for i in range(len(texts))]
+    letters = data[~SPACE[data]]
+    places = np.concatenate(([0], np.cumsum(ends - starts)))
+    words = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(letters)]).dictionary_encode()
+    found = _table(path).look_up(path, _pieces(words.dictionary))
+    flat = np.frombuffer(b"".join(found), "<u4")
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    number = words.indices.to_numpy()
+    own = sizes[number]
+    after = np.cumsum(own)
+    ids = flat[np.repeat((np.cumsum(sizes) - sizes)[number] - (after - own), own) + np.arange(after[-1])].tobytes()
+    cuts = (4 * np.concatenate(([0], after))[np.searchsorted(rows, np.arange(len(texts) + 1))]).tolist()
+    return [whole.get(i, ids[a:b]) + mark for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+
+
+def _pieces(column: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of a column without nulls, cut from its buffer."""
+    _, where, data = column.buffers()
+    places = np.frombuffer(where, np.int64)[column.offset:column.offset + len(column) + 1].tolist()
+    every = data.to_pybytes()
+    return [every[a:b] for a, b in zip(places[:-1], places[1:])]
+
+
+def _encode_words(path: str, words: list[bytes], known: dict[bytes, bytes]) -> int:
+    """Add the ids of lower-cased words, and of the parts of words; returns the bytes that the parts take.
 
     Letters of the first two Unicode blocks and printable ASCII characters need no normalisation but lower-casing: where
     the file says that it splits as ``SPLIT`` does, the merges of the tokenizer's model are applied to the parts of such
-    words directly.
+    words directly. A part is itself a word with the same ids.
     """
     tokenizer = _tokenizer(path)
-    rest = words
+    rest, fresh = words, []
     if _plain(path):
         model, rest, letters = tokenizer.model, [], _byte_letters()
+
+        def merged(part: str) -> bytes:
+            return array("I", [t.id for t in model.tokenize(part if part.isascii() else part.translate(letters))]).tobytes()
+
         for word in words:
             text = word.decode()
-            if PLAIN.fullmatch(text):
-                parts = PARTS.findall(text.lower())
-                if not text.isascii():
-                    parts = [part.translate(letters) for part in parts]
-                known[word] = array("I", [t.id for part in parts for t in model.tokenize(part)]).tobytes()
-            else:
+            if not PLAIN.fullmatch(text):
                 rest.append(word)
+                continue
+            parts = PARTS.findall(text.lower())
+            if len(parts) == 1:
+                if word not in known:
+                    known[word] = merged(parts[0])
+                continue
+            ids = []
+            for part in parts:
+                key = part.encode()
+                own = known.get(key)
+                if own is None:
+                    own = known[key] = merged(part)
+                    fresh.append(key)
+                ids.append(own)
+            known[word] = b"".join(ids)
     for start in range(0, len(rest), BATCH):
         part = rest[start:start + BATCH]
         encoded = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
         known.update(zip(part, [array("I", e.ids).tobytes() for e in encoded]))
+    return _bytes(fresh)
 
 
 @functools.lru_cache(maxsize=1)
