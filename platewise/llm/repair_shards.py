@@ -39,6 +39,10 @@ def bits_for(values: int) -> int:
     return max(1, int(values - 1).bit_length())
 
 
+def slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
+
+
 def frequent(symbols: np.ndarray, last: np.ndarray, enough: int, since: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, number, pairs): where pairs found ``enough`` times begin, and which of ``pairs`` each is.
 
@@ -48,10 +52,11 @@ def frequent(symbols: np.ndarray, last: np.ndarray, enough: int, since: int = 0)
     if since:
         new = symbols >= since
         at = np.flatnonzero((new[:-1] | new[1:]) & ~last[:-1])
+        slot = slots(symbols[at], symbols[at + 1])
+        at = at[(np.bincount(slot, minlength=1 << SLOT_BITS) >= enough)[slot]]
     else:
-        at = np.flatnonzero(~last[:-1])
-    slot = (symbols[at] * np.uint32(0x9E3779B1) + symbols[at + 1] * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
-    at = at[(np.bincount(slot, minlength=1 << SLOT_BITS) >= enough)[slot]]
+        slot = slots(symbols[:-1], symbols[1:])
+        at = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= enough)[slot] & ~last[:-1])
     keys = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
     pairs, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
     good = counts >= enough

@@ -146,6 +146,10 @@ def _encode_words(path: str, words: list[bytes], known: dict[bytes, bytes]) -> i
 
         for word in words:
             text = word.decode()
+            if text.isascii() and text.isalpha():
+                if word not in known:
+                    known[word] = merged(text)
+                continue
             if not PLAIN.fullmatch(text):
                 rest.append(word)
                 continue
