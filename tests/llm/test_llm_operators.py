@@ -830,3 +830,34 @@ def test_gated_lm_grows_with_the_corpus():
     sizes = [gated_lm.shape_for(n) for n in (0, 10 ** 6, 5 * 10 ** 8, 3 * 10 ** 10, 10 ** 14)]
     assert [s.head for s in sizes] == [1024, 1024, 4096, 8192, 65536]
     assert sizes[-1].dtype == "<u4" and sizes[0].dtype == "<u2" and sizes[0].size == gated_lm.SIZE
+
+
+def test_rounds_over_new_pairs_find_what_rounds_over_all_pairs_find(monkeypatch):
+    rng = np.random.default_rng(5)
+    cases = []
+    for size in (2, 50, 400, 3000):
+        ids = rng.integers(0, 4, size).astype(np.uint32)
+        last = rng.random(size) < 0.05
+        last[-1] = True
+        cases.append((ids, last))
+    found = [repair_shards.compress(*case) for case in cases]
+    every = repair_shards.frequent
+    monkeypatch.setattr(repair_shards, "frequent", lambda symbols, last, enough, since=0: every(symbols, last, enough))
+    for case, got in zip(cases, found):
+        assert all(np.array_equal(a, b) for a, b in zip(got, repair_shards.compress(*case)))
+
+
+def test_common_words_outlive_a_full_word_table(monkeypatch):
+    from platewise.llm import wordbpe
+
+    wordbpe._table.cache_clear()
+    monkeypatch.setattr(wordbpe, "CACHE_BYTES", 4000)
+    seen, encode = [], wordbpe._encode_words
+    monkeypatch.setattr(wordbpe, "_encode_words", lambda path, words, known: (seen.extend(words), encode(path, words, known))[1])
+    texts = [f"common word{i} café, {i}!".encode() for i in range(200)]
+    for text in texts:
+        ids = np.frombuffer(encode_texts(WORD_BPE, [text, b"", b" \t"], 1)[0], "<u4").tolist()
+        assert ids == library_ids(text.decode(), 1)
+        assert wordbpe._table(WORD_BPE).held <= 4000
+    assert seen.count(b"common") == 1 and len(set(seen)) > 200
+    wordbpe._table.cache_clear()
