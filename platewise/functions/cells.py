@@ -113,3 +113,20 @@ def precision_of(sims, counts, anchor: str, total: int) -> tuple[int, int, float
     place = np.arange(1, n_pos + 1)
     ahead = np.searchsorted(counts, place, "left")
     return n_pos, n_neg, float(np.mean(place / (place + ahead))) if n_pos and n_neg else None
+
+
+def holders_of(labels: pa.ChunkedArray) -> dict[str, np.ndarray]:
+    """Rows that hold each label."""
+    found = {}
+    for row, own in enumerate(labels.to_pylist()):
+        for label in dict.fromkeys(own or []):
+            found.setdefault(label, []).append(row)
+    return {label: np.asarray(rows) for label, rows in found.items()}
+
+
+def complete_precision(positives: np.ndarray, negatives: np.ndarray) -> float:
+    """Average precision from all similarities, ``negatives`` in rising order; ties rank positives first."""
+    positives = np.sort(positives)
+    above = (len(negatives) - np.searchsorted(negatives, positives, "right"))[::-1]
+    place = np.arange(1, len(positives) + 1)
+    return float(np.mean(place / (place + above)))

@@ -120,12 +120,11 @@ def phenotypic_activity(df: DataFrame, row_id: str = C.ROW_ID, compound: str = C
     """AP of each treated profile: replicates against controls of its plate and group.
 
     Controls never serve as each other's positives, so only treated rows are queries.
-    The controls of a plate are the anchors: a compound of any size is only counted.
     """
     treated, control = ~F.col(negcon), F.col(negcon)
     pos = PairRule(same=[compound, group], query=treated, ref=treated)
     neg = PairRule(same=[plate, group], differ=[compound], query=treated, ref=control)
-    ap = average_precision(df, row_id, pos, neg, "neg", metric, cell_rows)
+    ap = average_precision(df, row_id, pos, neg, None, metric, cell_rows)
     return attach(ap, df, row_id, [compound, group])
 
 
@@ -175,7 +174,7 @@ def phenotypic_consistency(profiles: DataFrame, scope: list[str], row_id: str =
     known = ~F.array_contains(targets, C.UNKNOWN)
     pos = PairRule(same=scope, shared=targets, query=known, ref=known)
     neg = PairRule(same=scope, disjoint=targets, query=known)
-    ap = average_precision(rows, row_id, pos, neg, "pos", metric, cell_rows)
+    ap = average_precision(rows, row_id, pos, neg, None, metric, cell_rows)
     return attach(ap, rows, row_id, list(dict.fromkeys([*scope, compound]))).withColumnRenamed("lab", "target")
 
 
@@ -242,9 +241,7 @@ def well_position_effect(df: DataFrame, row_id: str = C.ROW_ID, compound: str =
         rows = rows.join(wells, [group, well], "left_semi")
         pos = PairRule(same=[group, well], differ=[compound])
         neg = PairRule(same=[group, plate], differ=[well, compound])
-    # the rarer side is listed: sampled negatives are about 15 a query, positives one a plate and compound
-    side = "neg" if mode == "sampled" else "pos"
-    return attach(average_precision(rows, row_id, pos, neg, side, metric), rows, row_id, [group, well])
+    return attach(average_precision(rows, row_id, pos, neg, None, metric), rows, row_id, [group, well])
 
 
 def plate_effect(df: DataFrame, row_id: str = C.ROW_ID, compound: str = C.PERT, group: str = C.GROUP,
@@ -259,7 +256,7 @@ def plate_effect(df: DataFrame, row_id: str = C.ROW_ID, compound: str = C.PERT,
     if mode == "controls":
         rows = df.filter(F.col(negcon))
         pos, neg = PairRule(same=[plate]), PairRule(same=[well], differ=[plate])
-        return attach(average_precision(rows, row_id, pos, neg, "neg", metric), rows, row_id, [group, plate])
+        return attach(average_precision(rows, row_id, pos, neg, None, metric), rows, row_id, [group, plate])
     rows = df.filter(~F.col(negcon))
     plates = rows.groupBy(group).agg(F.count_distinct(plate).alias("n")).filter("n >= 2")
     rows = rows.join(plates, group, "left_semi")
@@ -268,7 +265,7 @@ def plate_effect(df: DataFrame, row_id: str = C.ROW_ID, compound: str = C.PERT,
     rows = random_index(rows, [group], F.count(F.lit(1)) / F.lit(25), "index_neg", row_id, seed + 1)
     pos = PairRule(same=[group, plate, "index_pos"], differ=[compound])
     neg = PairRule(same=[group, "index_neg"], differ=[plate, well, compound])
-    return attach(average_precision(rows, row_id, pos, neg, "pos", metric), rows, row_id, [group, plate])
+    return attach(average_precision(rows, row_id, pos, neg, None, metric), rows, row_id, [group, plate])
 
 
 # ---- summaries ---------------------------------------------------------------------

@@ -8,10 +8,12 @@ whatever the pool size. Inside a cell numpy computes similarities; only two thin
 * anchors: for each query, the similarities of the smaller kind of partner;
 * counts: for each query and anchor, how many partners of the other kind rank above it.
 
-Ranks, average precision and recall follow exactly from these.
+Ranks, average precision and recall follow exactly from these. Where such a list would be long and whole pools fit
+a task, ``strips`` ranks queries against whole pools instead.
 """
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,12 @@ from pyspark.sql import functions as F
 from platewise import columns as C
 from platewise.functions.arrow import matrix_of
 from platewise.functions.cells import STEP, Cell, count_above, precision_of, prepared, row_similarities
+from platewise.operators import strips
 from platewise.session import cut_lineage
 
 CELL_ROWS = 4096
 EDGE_ROWS = 1024
+STRIP_COST = 50_000  # values that would take as long to send as a strip takes to begin
 
 
 @dataclass(frozen=True)
@@ -179,14 +183,53 @@ def partner_counts(df: DataFrame, row_id: str, rule: PairRule, anchors: DataFram
     return found.groupBy("id").agg(summed.alias("counts"), F.sum("total").alias("total"))
 
 
-def average_precision(df: DataFrame, row_id: str, pos: PairRule, neg: PairRule, anchor: str = "pos",
+def average_precision(df: DataFrame, row_id: str, pos: PairRule, neg: PairRule, anchor: str | None = None,
                       metric: str = "cosine", cell_rows: int = CELL_ROWS) -> DataFrame:
     """Average precision of each query over its ranked positives and negatives.
 
-    ``anchor`` names the rule expected to give fewer partners per query. Ties rank
-    positives first. Queries lacking either kind have no precision and are left out.
+    Ties rank positives first. Queries lacking either kind have no precision and are left out. Queries that meet the
+    same large pools are ranked in strips against the whole pools; for the others the partners of one kind are listed:
+    of the kind that ``anchor`` names, or of that with fewer rows in its pools. Both ways give the same rows.
     Returns ``id, lab, n_pos, n_neg, average_precision``.
     """
+    keys = text_key(pos.same), text_key(neg.same)
+    query = pos.query if neg.query is None else neg.query if pos.query is None else pos.query & neg.query
+    sized = lambda keep, columns: (df if keep is None else df.filter(keep)).groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    asked = sized(query, [keys[0].alias("pk"), keys[1].alias("nk")]).withColumnRenamed("n", "q")
+    pools = cut_lineage(asked.join(sized(pos.ref, [keys[0].alias("pk")]).withColumnRenamed("n", "p"), "pk").join(
+        sized(neg.ref, [keys[1].alias("nk")]).withColumnRenamed("n", "m"), "nk"))
+    total = pools.agg(F.sum("q")).first()[0] or 0
+    width = strips.width_of(df)
+    rows = strips.strip_rows(df.sparkSession, int(total))
+    # values sent either way: all references to every strip, or some eight for each partner listed
+    pools = pools.withColumn("strips", F.ceil(F.col("q") / rows))
+    sent = F.col("strips") * ((F.col("p") + F.col("m")) * (width + 1) + STRIP_COST)
+    listed = F.lit(8.0) * F.col("q") * F.least("p", "m")
+    fits = (F.col("p") + F.col("m")) * width * 8 <= strips.REF_BYTES
+    plain = pos.disjoint is None and neg.shared is None
+    whole = fits & F.lit(plain) & (F.lit(pos.shared is not None) | (sent < listed))
+    pools = pools.withColumn("whole", whole)
+    kinds = {r["whole"]: r for r in pools.groupBy("whole").agg(
+        F.sum(F.col("q") * F.col("p")).alias("p"), F.sum(F.col("q") * F.col("m")).alias("m")).collect()}
+    parts = []
+    if True in kinds:
+        parts.append(strips.strip_precision(df, row_id, pos, neg, query, pools.filter("whole"), keys, metric))
+    if False in kinds or not kinds:
+        rest = df
+        if True in kinds:
+            few = pools.filter("not whole").select(F.col("pk").alias("__pk"), F.col("nk").alias("__nk"), F.lit(True).alias("__few"))
+            rest = cut_lineage(df.withColumn("__pk", keys[0]).withColumn("__nk", keys[1]).join(few, ["__pk", "__nk"], "left"))
+            here = F.coalesce("__few", F.lit(False))
+            pos, neg = [replace(rule, query=here if rule.query is None else rule.query & here) for rule in (pos, neg)]
+        if anchor is None:
+            anchor = "pos" if pos.shared is not None or not kinds or kinds[False]["p"] <= kinds[False]["m"] else "neg"
+        parts.append(listed_precision(rest, row_id, pos, neg, anchor, metric, cell_rows))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def listed_precision(df: DataFrame, row_id: str, pos: PairRule, neg: PairRule, anchor: str, metric: str,
+                     cell_rows: int) -> DataFrame:
+    """Average precision from a list of each query's partners of one kind and counts of the other kind."""
     first, second = (pos, neg) if anchor == "pos" else (neg, pos)
     mode = "negatives" if anchor == "pos" else "positives"
     # read by several branches below: computed once, whatever is lost later
