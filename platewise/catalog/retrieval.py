@@ -318,9 +318,7 @@ def recall_shared_target(spark, sf_dir):
 @register("recall_genetic_pairs", recall_sql(
     CONSENSUS, "q.symbol = r.symbol", "grp = 'group_orf'", "grp = 'group_crispr'", "grp"))
 def recall_genetic_pairs(spark, sf_dir):
-    rows = consensus(spark, sf_dir)
-    pairs = R.genetic_pairs(rows, "group_orf", "group_crispr")
-    return summary(R.cross_recall(rows, pairs, ["group_orf"], "group_crispr"))
+    return summary(R.symbol_recall(consensus(spark, sf_dir), "group_orf", "group_crispr"))
 
 
 def subset_recall_sql(sign: str) -> str:

@@ -76,16 +76,18 @@ def null_draws(n_pos: int, n_total: int, size: int, seed: int) -> np.ndarray:
     place = np.arange(1, n_pos + 1)
     if n_pos == n_total:
         return np.ones(size)
+    harmonics = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, n_total + 1))]) if 2 * n_pos > n_total else None
     out, done = np.empty(size), 0
     while done < size:
-        chunk = min(size - done, max(1, 4_000_000 // (n_pos if 2 * n_pos <= n_total else n_total)))
+        chunk = min(size - done, max(1, 4_000_000 // min(n_pos, n_total - n_pos)))
         if 2 * n_pos <= n_total:
             spots = random_places(rng, chunk, n_pos, n_total)
-        else:  # the places that stay free are the fewer ones
-            taken = np.ones((chunk, n_total), bool)
-            np.put_along_axis(taken, random_places(rng, chunk, n_total - n_pos, n_total).astype(np.int64), False, axis=1)
-            spots = np.nonzero(taken)[1].reshape(chunk, n_pos)
-        out[done:done + chunk] = (place / (spots + 1)).mean(axis=1)
+            out[done:done + chunk] = (place / (spots + 1)).mean(axis=1)
+        else:  # the places that stay free are the fewer ones: between two of them the precisions add up to harmonic numbers
+            free = random_places(rng, chunk, n_total - n_pos, n_total)
+            ends = np.concatenate([free[:, 1:], np.full((chunk, 1), n_total, free.dtype)], axis=1)
+            misses = (harmonics[ends] - harmonics[free + 1]) @ np.arange(1.0, n_total - n_pos + 1)
+            out[done:done + chunk] = 1 - misses / n_pos
         done += chunk
     return out
 

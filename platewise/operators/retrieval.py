@@ -13,6 +13,7 @@ from platewise.operators.cuts import top_shares
 from platewise.operators.similarity import (
     CELL_ROWS, PairRule, anchor_sims, average_precision, edge_anchors, partner_counts,
 )
+from platewise.operators.strips import pools_fit, strip_recall
 from platewise.session import cut_lineage
 
 # Euler's constant and the size of the exact harmonic table.
@@ -318,6 +319,30 @@ def recall_table(df: DataFrame, row_id: str, anchors: DataFrame, pool: list[str]
     return placed.select("id", *pool, *out)
 
 
+def shares(found: DataFrame, k_percent: tuple[float, ...]) -> list:
+    """Recall columns of hits among the top at each percentage."""
+    return [(F.col("hits")[i] / F.col("n_pos")).alias(f"recall_{pct:g}") for i, pct in enumerate(k_percent)]
+
+
+def one_set(labels: Column) -> Column:
+    return F.array(F.struct(F.lit("").alias("name"), labels.alias("labels")))
+
+
+def edge_recall(df: DataFrame, row_id: str, edges: DataFrame, pool: list[str], query: Column | None = None,
+                ref: Column | None = None, k_percent: tuple[float, ...] = (1.0, 5.0, 10.0), metric: str = "cosine",
+                cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``recall_table`` for positive pairs ``(query_id, ref_id)`` inside the pools: partners are told by id, not listed with
+    similarities, while every pool fits a task."""
+    if not pools_fit(df, pool, ref):
+        return recall_table(df, row_id, edge_anchors(df, row_id, edges, query, ref, metric), pool, query, ref, k_percent, metric, cell_rows)
+    text = lambda c: F.col(c).cast("string")
+    partners = edges.groupBy(text("query_id").alias("id_")).agg(one_set(F.collect_set(text("ref_id"))).alias("sets_"))
+    rows = cut_lineage(df.withColumn("id_", text(row_id)).join(partners, "id_", "left").withColumn("labels_", F.array("id_")))
+    found = strip_recall(rows, row_id, pool, "sets_", "labels_", k_percent, query, ref, metric)
+    meta = rows.select(F.col("id_").alias("id"), *pool)
+    return found.join(meta, "id").select("id", *pool, "n_pos", "n_refs", *shares(found, k_percent))
+
+
 def recall_summary(table: DataFrame, by: list[str]) -> DataFrame:
     recalls = [c for c in table.columns if c.startswith("recall_")]
     return table.groupBy(*by).agg(
@@ -351,32 +376,40 @@ def compound_recall(rows: DataFrame, edges: DataFrame, groups: list[str], compou
     scope = rows.filter(F.col(group).isin(groups))
     cc = edges.filter(F.col("source") == "cc")
     pairs = edges_to_rows(scope, cc, compound, None, None, [group])
-    return recall_table(scope, C.ROW_ID, edge_anchors(scope, C.ROW_ID, pairs), [group], **options)
+    return edge_recall(scope, C.ROW_ID, pairs, [group], **options)
 
 
 def shared_target_recall(rows: DataFrame, targets: str, pool: list[str], k_percent: tuple[float, ...] = (1.0, 5.0, 10.0),
                          **options) -> DataFrame:
-    """Recall whose positives share a target. Neither pairs nor partners are listed, whatever the size of a target."""
+    """Recall whose positives share a target. Neither pairs nor partners are listed, whatever the size of a target.
+
+    Pools that fit a task are ranked whole; beyond that histograms over cells of ``cell_rows`` narrow the wanted ranks.
+    """
+    if pools_fit(rows, pool):
+        own = rows.withColumn("sets_", one_set(F.coalesce(F.col(targets), F.array().cast("array<string>"))))
+        found = strip_recall(own, C.ROW_ID, pool, "sets_", targets, k_percent, metric=options.get("metric", "cosine"))
+        sized = rows.select(F.col(C.ROW_ID).cast("string").alias("id"), *pool)
+        return found.join(sized, "id").select("id", *pool, "n_pos", "n_refs", *shares(found, k_percent))
     found = top_shares(rows, C.ROW_ID, pool, targets, k_percent, **options)
-    return found.select("id", *pool, "n_pos", "n_refs", *[
-        (F.col("hits")[i] / F.col("n_pos")).alias(f"recall_{pct:g}") for i, pct in enumerate(k_percent)])
+    return found.select("id", *pool, "n_pos", "n_refs", *shares(found, k_percent))
 
 
 def gene_recall(rows: DataFrame, edges: DataFrame, pool: str = "full", compound: str = C.PERT,
                 group: str = C.GROUP, modalities: tuple[str, ...] = ("orf", "crispr"), **options) -> DataFrame:
     """Gene to gene recall per modality; ``filtered`` keeps genes that have an edge."""
     named = rows.filter(F.col(group).isin([f"group_{m}" for m in modalities]))
-    gg = edges.filter(F.col("source") == "gg").withColumn(
-        group, F.concat(F.lit("group_"), F.col("target_modality")))
+    # read by several branches below: edges may be distinct rows of a large table
+    gg = cut_lineage(edges.filter(F.col("source") == "gg").select(
+        "Metadata_JCP2022", "partner_jcp", F.concat(F.lit("group_"), F.col("target_modality")).alias(group)))
     if pool == "filtered":
         ends = gg.select(F.col("Metadata_JCP2022").alias(compound), group).unionByName(
             gg.select(F.col("partner_jcp").alias(compound), group)).distinct()
-        named = named.join(ends, [compound, group], "left_semi")
+        named = cut_lineage(named.join(ends, [compound, group], "left_semi"))
     a = named.select(F.col(compound).alias("Metadata_JCP2022"), group, F.col(C.ROW_ID).alias("query_id"))
     b = named.select(F.col(compound).alias("partner_jcp"), group, F.col(C.ROW_ID).alias("ref_id"))
-    pairs = gg.select("Metadata_JCP2022", "partner_jcp", group).distinct().join(
+    pairs = gg.distinct().join(
         a, ["Metadata_JCP2022", group]).join(b, ["partner_jcp", group])
-    return recall_table(named, C.ROW_ID, edge_anchors(named, C.ROW_ID, pairs), [group], **options)
+    return edge_recall(named, C.ROW_ID, pairs, [group], **options)
 
 
 def cross_recall(rows: DataFrame, pairs: DataFrame, query_groups: list[str], ref_group: str,
@@ -391,8 +424,7 @@ def cross_recall(rows: DataFrame, pairs: DataFrame, query_groups: list[str], ref
     if allowed_refs is not None:
         kept = scope.filter(is_ref).join(allowed_refs, C.ROW_ID, "left_semi")
         scope = scope.filter(is_query & ~is_ref).unionByName(kept)
-    anchors = edge_anchors(scope, C.ROW_ID, pairs, is_query, is_ref, metric)
-    table = recall_table(scope, C.ROW_ID, anchors, [], is_query, is_ref, metric=metric, **options)
+    table = edge_recall(scope, C.ROW_ID, pairs, [], is_query, is_ref, metric=metric, **options)
     names = scope.select(F.col(C.ROW_ID).alias("id"), F.col(group))
     return table.join(names, "id").withColumn("reference_group", F.lit(ref_group))
 
@@ -452,6 +484,27 @@ def subset_recall(rows: DataFrame, targets: DataFrame, query_groups: list[str],
     metric = "cosine" if direction == "top" else "anticosine"
     used = rows if active is None else rows.join(
         active.select(compound, group).distinct(), [compound, group], "left_semi")
+    k_percent = options.get("k_percent", (1.0, 5.0, 10.0))
+    if pools_fit(used, [group], F.col(group).isin(ref_groups)):
+        lists = targets.filter(F.col("target").isNotNull()).groupBy(compound, "subset").agg(F.collect_set("target").alias("labels"))
+        sets = lists.groupBy(compound).agg(F.collect_list(F.struct(F.col("subset").alias("name"), "labels")).alias("sets"))
+        asked = used.filter(F.col(group).isin(query_groups)).join(sets, compound).select(
+            F.explode(F.array(*[F.lit(g) for g in ref_groups])).alias("pool"), C.ROW_ID, "sets",
+            F.lit(None).cast("array<string>").alias("labels"), F.lit(True).alias("is_query"), C.FEATURES)
+        # a row is its own query in another role: text keeps its id apart from those of references
+        asked = asked.withColumn("key", F.concat_ws("\u0001", F.col(C.ROW_ID).cast("string"), F.lit("?")))
+        held = used.filter(F.col(group).isin(ref_groups)).select(
+            F.col(group).alias("pool"), C.ROW_ID, F.lit(None).cast(asked.schema["sets"].dataType).alias("sets"),
+            F.array_compact(F.array(symbol)).alias("labels"), F.lit(False).alias("is_query"), C.FEATURES,
+            F.col(C.ROW_ID).cast("string").alias("key"))
+        scope = cut_lineage(asked.unionByName(held).withColumn("key", F.when(
+            F.col("is_query"), F.concat_ws("\u0001", "key", "pool")).otherwise(F.col("key"))))
+        found = strip_recall(scope, "key", ["pool"], "sets", "labels", k_percent, F.col("is_query"), ~F.col("is_query"), metric)
+        own = F.split("id", "\u0001")
+        names = used.select(F.col(C.ROW_ID).cast("string").alias("query_id"), F.col(group).alias("query_group"))
+        per_query = found.select(F.col("name").alias("subset"), own[0].alias("query_id"), own[2].alias("ref_group"), "n_pos", "n_refs",
+                                 *shares(found, k_percent)).join(names, "query_id")
+        return recall_summary(per_query, ["subset", "query_group", "ref_group"]).withColumn("direction", F.lit(direction))
     # a query appears once per reference group, so that the group is an ordinary pool
     tagged = lambda query, pool: F.concat_ws(">", query, pool)
     pairs = cut_lineage(symbol_pairs(used, targets, compound, group, symbol).filter(
@@ -479,7 +532,6 @@ def subset_recall(rows: DataFrame, targets: DataFrame, query_groups: list[str],
     placed = pairs.join(ranks, ["tag", "ref_id"])
     sizes = used.groupBy(F.col(group).alias("ref_group")).agg(F.count(F.lit(1)).alias("n_refs"))
     names = used.select(F.col(C.ROW_ID).alias("query_id"), F.col(group).alias("query_group"))
-    k_percent = options.get("k_percent", (1.0, 5.0, 10.0))
     per_query = placed.join(sizes, "ref_group").join(names, "query_id").groupBy(
         "subset", "query_group", "ref_group", "query_id").agg(
         F.count(F.lit(1)).alias("n_pos"), F.max("n_refs").alias("n_refs"),
@@ -496,3 +548,18 @@ def genetic_pairs(rows: DataFrame, query_group: str, ref_group: str, group: str
     q = named.filter(F.col(group) == query_group).select(symbol, F.col(C.ROW_ID).alias("query_id"))
     r = named.filter(F.col(group) == ref_group).select(symbol, F.col(C.ROW_ID).alias("ref_id"))
     return q.join(r, symbol).select("query_id", "ref_id")
+
+
+def symbol_recall(rows: DataFrame, query_group: str, ref_group: str, group: str = C.GROUP, symbol: str = C.SYMBOL,
+                  k_percent: tuple[float, ...] = (1.0, 5.0, 10.0), metric: str = "cosine", **options) -> DataFrame:
+    """Recall between two genetic modalities whose positives have equal symbols; a symbol of many rows is never paired out."""
+    is_query, is_ref = F.col(group) == query_group, F.col(group) == ref_group
+    if not pools_fit(rows, [], is_ref):
+        pairs = genetic_pairs(rows, query_group, ref_group, group, symbol)
+        return cross_recall(rows, pairs, [query_group], ref_group, group, metric=metric, k_percent=k_percent, **options)
+    own = F.filter(F.array(F.col(symbol).cast("string")), lambda s: s.isNotNull() & (s != ""))
+    scope = cut_lineage(rows.filter(is_query | is_ref).withColumn("labels_", own).withColumn("sets_", one_set(F.col("labels_"))))
+    found = strip_recall(scope, C.ROW_ID, [], "sets_", "labels_", k_percent, is_query, is_ref, metric)
+    names = scope.filter(is_query).select(F.col(C.ROW_ID).cast("string").alias("id"), F.col(group))
+    return found.join(names, "id").select("id", "n_pos", "n_refs", *shares(found, k_percent), group).withColumn(
+        "reference_group", F.lit(ref_group))

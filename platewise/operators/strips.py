@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from platewise import columns as C
 from platewise.functions.arrow import matrix_of
-from platewise.functions.cells import complete_precision, holders_of, prepared, similarities, codes_of
+from platewise.functions.cells import codes_of, complete_precision, holders_of, prepared, similarities
+from platewise.session import cut_lineage
 
 REF_BYTES = 256 << 20  # features of the references that a strip meets
 STRIPS_PER_CORE = 4
@@ -125,3 +126,78 @@ def strip_precision(df: DataFrame, row_id: str, pos, neg, query: Column | None,
     keys_ = ["pk", "nk", "strip"]
     return queries.groupBy(*keys_).cogroup(refs.groupBy(*keys_)).applyInArrow(
         run, "id string, lab string, n_pos bigint, n_neg bigint, average_precision double")
+
+
+def pools_fit(df: DataFrame, pool: list[str], ref: Column | None = None) -> bool:
+    """Whether the references of every pool fit a task."""
+    rows = df if ref is None else df.filter(ref)
+    largest = rows.groupBy(*pool).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return largest * width_of(df) * 8 <= REF_BYTES
+
+
+def top_sets(sims: np.ndarray, places: np.ndarray, ranks: list[int]) -> list[np.ndarray]:
+    """Which references are among the first of each rank: higher similarities first, then smaller places; -inf never counts."""
+    n = int(np.isfinite(sims).sum())
+    within = sorted({len(sims) - k for k in ranks if k < n})
+    ordered = np.partition(sims, within) if within else sims
+    found = []
+    for k in ranks:
+        if k >= n:
+            found.append(np.isfinite(sims))
+            continue
+        edge = ordered[len(sims) - k]
+        top, ties = sims > edge, np.nonzero(sims == edge)[0]
+        top[ties[np.argsort(places[ties])][:k - int(top.sum())]] = True
+        found.append(top)
+    return found
+
+
+def strip_recall(df: DataFrame, row_id: str, pool: list[str], sets: str, labels: str, k_percent: tuple[float, ...],
+                 query: Column | None = None, ref: Column | None = None, metric: str = "cosine") -> DataFrame:
+    """``id, name, n_pos, n_refs, hits``: references that hold a label of the set, and how many are in the top of the pool.
+
+    ``sets`` is an array of ``(name, labels)`` of a query, ``labels`` the array of a reference. Ties rank by reference
+    id; a query's own row ranks last but counts in the pool; sets without a reference are left out. Every pool must fit a task.
+    """
+    key = F.concat_ws("\u0001", F.lit(""), *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in pool]).alias("pool_")
+    identity = [key, F.col(row_id).cast("string").alias("id"), F.col(C.FEATURES)]
+    queries = (df if query is None else df.filter(query)).select(*identity, F.col(sets).alias("sets")).filter("size(sets) > 0")
+    refs = (df if ref is None else df.filter(ref)).select(*identity, F.col(labels).alias("labels"))
+    pools = cut_lineage(queries.groupBy("pool_").agg(F.count(F.lit(1)).alias("n")))
+    rows = strip_rows(df.sparkSession, int(pools.agg(F.sum("n")).first()[0] or 0))
+    pools = pools.withColumn("strips", F.ceil(F.col("n") / rows))
+    axis = pools.select("pool_", F.explode(F.sequence(F.lit(0), (F.col("strips") - 1).cast("int"))).alias("strip"))
+    queries, refs = strip_of(queries, pools, ["pool_"]), refs.join(axis, "pool_")
+    refs = refs.select(*[F.col(c).alias(c) for c in refs.columns])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"id": [], "name": [], "n_pos": [], "n_refs": [], "hits": []}
+        if left.num_rows and right.num_rows:
+            refs_, q = Partners(left, right, [], metric), prepared(matrix_of(left.column(C.FEATURES)), metric)
+            places = np.argsort(np.argsort(np.asarray(right.column("id").to_pylist(), dtype=object)))
+            holders, ids, asked = holders_of(right.column("labels")), left.column("id").to_pylist(), left.column("sets").to_pylist()
+            ranks = [max(1, int(np.floor(right.num_rows * pct / 100))) for pct in k_percent]
+            for part in blocks_of(len(q), right.num_rows):
+                sims, allowed = refs_.block(q, part)
+                sims[~allowed] = -np.inf
+                for i, row in enumerate(range(part.start, part.stop)):
+                    tops = None
+                    for one in asked[row]:
+                        held = [holders[label] for label in one["labels"] or [] if label in holders]
+                        if not held:
+                            continue
+                        positive = np.zeros(right.num_rows, bool)
+                        positive[np.concatenate(held)] = True
+                        positive &= allowed[i]
+                        n_pos = int(positive.sum())
+                        if n_pos:
+                            tops = tops or top_sets(sims[i], places, ranks)
+                            hits = [int((top & positive).sum()) for top in tops]
+                            for name, value in zip(out, (ids[row], one["name"], n_pos, right.num_rows, hits)):
+                                out[name].append(value)
+        return pa.table({"id": pa.array(out["id"], pa.string()), "name": pa.array(out["name"], pa.string()),
+                         "n_pos": pa.array(out["n_pos"], pa.int64()), "n_refs": pa.array(out["n_refs"], pa.int64()),
+                         "hits": pa.array(out["hits"], pa.list_(pa.int64()))})
+
+    return queries.groupBy("pool_", "strip").cogroup(refs.groupBy("pool_", "strip")).applyInArrow(
+        run, "id string, name string, n_pos bigint, n_refs bigint, hits array<bigint>")
