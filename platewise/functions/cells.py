@@ -1,5 +1,7 @@
 """Numpy work inside one similarity cell; imported by tasks, so it stays light."""
 
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 
@@ -61,22 +63,25 @@ class Cell:
         self.q_labels = left.column("labels").to_pylist() if disjoint else None
         self.r_labels = right.column("labels").to_pylist() if disjoint else None
 
-    def steps(self):
-        """(query rows, reference rows, similarities, allowed) per pool and step."""
+    def steps(self, step: int = STEP, ref_step: int | None = None, rounded: bool = True):
+        """(query rows, reference rows, similarities, allowed) per pool and step; all references of a pool at once or in steps."""
         order_q, order_r = np.argsort(self.q_pool, kind="stable"), np.argsort(self.r_pool, kind="stable")
         pools = np.intersect1d(self.q_pool, self.r_pool)
         sorted_q, sorted_r = self.q_pool[order_q], self.r_pool[order_r]
         for pool in pools:
             qs = order_q[np.searchsorted(sorted_q, pool, "left"):np.searchsorted(sorted_q, pool, "right")]
             rs = order_r[np.searchsorted(sorted_r, pool, "left"):np.searchsorted(sorted_r, pool, "right")]
-            for start in range(0, len(qs), STEP):
-                part = qs[start:start + STEP]
-                allowed = self.q_id[part][:, None] != self.r_id[rs][None, :]
+            for start, first in product(range(0, len(qs), step), range(0, len(rs), ref_step or len(rs))):
+                part, some = qs[start:start + step], rs[first:first + (ref_step or len(rs))]
+                allowed = self.q_id[part][:, None] != self.r_id[some][None, :]
                 for mine, theirs in self.codes:
-                    allowed &= mine[part][:, None] != theirs[rs][None, :]
+                    allowed &= mine[part][:, None] != theirs[some][None, :]
                 if self.disjoint:
-                    self.clear_shared(allowed, part, rs)
-                yield part, rs, similarities(self.q[part], self.r[rs], self.metric), allowed
+                    self.clear_shared(allowed, part, some)
+                plain = rounded or self.metric == "euclidean"
+                q, r = self.q[part], self.r[some]
+                sims = similarities(q, r, self.metric) if plain else q @ r.T if self.metric == "cosine" else -(q @ r.T)
+                yield part, some, sims, allowed
 
     def clear_shared(self, allowed, part, rs):
         holders = {}

@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from platewise import columns as C
 from platewise.functions.arrow import matrix_of
-from platewise.functions.cells import STEP, Cell, count_above, precision_of, prepared, row_similarities
+from platewise.functions.cells import DIGITS, STEP, Cell, count_above, precision_of, prepared, row_similarities
 from platewise.operators import strips
 from platewise.session import cut_lineage
 
 CELL_ROWS = 4096
 EDGE_ROWS = 1024
+TOP_BYTES = 64 << 20  # features of either side of a cell of ``top_k``
+TOP_STEP = 2048
 STRIP_COST = 50_000  # values that would take as long to send as a strip takes to begin
 
 
@@ -70,11 +72,11 @@ def side(df: DataFrame, rule: PairRule, row_id: str, keep: Column | None, extra:
 
 
 def into_cells(queries: DataFrame, refs: DataFrame, cell_rows: int,
-               bound: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+               bound: DataFrame | None = None, ref_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Assign both sides to cells; a pool pair meets in exactly one cell per row pair.
 
     Pool sizes of both sides come from one aggregation. ``bound`` may name a cheaper table
-    with at least the queries' pools, to size them from.
+    with at least the queries' pools, to size them from; ``ref_rows`` may allow a cell more references than queries.
     """
     spark = queries.sparkSession
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
@@ -85,7 +87,7 @@ def into_cells(queries: DataFrame, refs: DataFrame, cell_rows: int,
     counted = both.groupBy("pool").agg(F.sum("q").alias("q"), F.sum("r").alias("r")).filter("q > 0 and r > 0")
     grid = counted.select(
         "pool", F.ceil(F.col("q") / cell_rows).cast("int").alias("gq"),
-        F.ceil(F.col("r") / cell_rows).cast("int").alias("gr"))
+        F.ceil(F.col("r") / (ref_rows or cell_rows)).cast("int").alias("gr"))
     own = lambda n: F.pmod(F.xxhash64("id", F.lit(29)), F.col(n)).cast("int")
     axis = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     shared_cell = F.pmod(F.xxhash64("pool"), F.lit(buckets))
@@ -307,10 +309,13 @@ def top_k(df: DataFrame, row_id: str, rule: PairRule, k: int, metric: str = "cos
           cell_rows: int = CELL_ROWS) -> DataFrame:
     """The k most similar references of each query; ties by the smaller reference id.
 
-    Each cell keeps k partners per query, which is enough for the exact overall k.
+    Each cell keeps k partners per query, which is enough for the exact overall k. A pool beyond ``cell_rows`` is cut
+    into strips of queries, a few for each core, and blocks of references that fit a task.
     """
-    queries, refs = into_cells(side(df, rule, row_id, rule.query, []),
-                               side(df, rule, row_id, rule.ref, []), cell_rows)
+    width = strips.width_of(df)
+    ask, hold = side(df, rule, row_id, rule.query, []), side(df, rule, row_id, rule.ref, [])
+    left_rows = max(cell_rows, min(strips.strip_rows(df.sparkSession, ask.count()), TOP_BYTES // (8 * width)))
+    queries, refs = into_cells(ask, hold, left_rows, ref_rows=max(cell_rows, TOP_BYTES // (8 * width)))
     differ, disjoint = len(rule.differ), rule.disjoint is not None
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -318,17 +323,35 @@ def top_k(df: DataFrame, row_id: str, rule: PairRule, k: int, metric: str = "cos
         if left.num_rows and right.num_rows:
             cell = Cell(left, right, differ, disjoint, metric)
             ids = left.column("id").to_pylist()
-            names = np.asarray(right.column("id").to_pylist(), dtype=str)
-            for part, rs, sims, allowed in cell.steps():
-                for i, q in enumerate(part):
-                    hit = np.nonzero(allowed[i])[0]
-                    if len(hit) > k:
-                        edge = np.partition(sims[i, hit], len(hit) - k)[len(hit) - k]
-                        hit = hit[sims[i, hit] >= edge]
-                    best = hit[np.lexsort((names[rs[hit]], -sims[i, hit]))][:k]
-                    out["query_id"].extend([ids[q]] * len(best))
-                    out["ref_id"].extend(names[rs[best]].tolist())
-                    out["sim"].extend(sims[i, best].tolist())
+            names = np.asarray(right.column("id").to_pylist(), dtype=object)
+            places = np.argsort(np.argsort(names))
+            by_place = names[np.argsort(places)]
+            top, held = np.full((len(ids), k), -np.inf), np.full((len(ids), k), len(names))
+            for part, rs, sims, allowed in cell.steps(TOP_STEP, TOP_STEP, rounded=False):
+                edge = top[part, -1]
+                if np.isinf(edge).any() and sims.shape[1] > k:
+                    sims[~allowed] = -np.inf
+                    edge = np.maximum(edge, np.partition(sims, -k, axis=1)[:, -k])
+                # rounding may raise a similarity to that of the k-th
+                hits = np.flatnonzero(sims >= edge[:, None] - 10.0**(1 - DIGITS))
+                rows, at = np.divmod(hits, sims.shape[1])
+                kept = allowed[rows, at]
+                rows, at = rows[kept], at[kept]
+                some = np.unique(rows)
+                owner = np.concatenate([rows, np.repeat(some, k)])
+                values = np.concatenate([np.round(sims[rows, at], DIGITS), top[part[some]].ravel()])
+                order = np.concatenate([places[rs[at]], held[part[some]].ravel()])
+                ranked = np.lexsort((order, -values, owner))
+                owner = owner[ranked]
+                rank = np.arange(len(owner)) - np.searchsorted(owner, owner, "left")
+                first = rank < k
+                top[part[owner[first]], rank[first]] = values[ranked][first]
+                held[part[owner[first]], rank[first]] = order[ranked][first]
+            for q, (own, at) in enumerate(zip(top, held)):
+                n = int((own > -np.inf).sum())
+                out["query_id"].extend([ids[q]] * n)
+                out["ref_id"].extend(by_place[at[:n]].tolist())
+                out["sim"].extend(own[:n].tolist())
         return pa.table({"query_id": pa.array(out["query_id"], pa.string()),
                          "ref_id": pa.array(out["ref_id"], pa.string()),
                          "sim": pa.array(out["sim"], pa.float64())})
