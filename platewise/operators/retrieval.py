@@ -72,8 +72,9 @@ def with_significance(maps: DataFrame, ap: DataFrame, by: list[str], null_size:
     """
     shape = ap.filter(F.col("average_precision").isNotNull()).groupBy(*by, "n_pos", "n_total").agg(
         F.count(F.lit(1)).alias("n"))
-    shapes = shape.groupBy(*by).agg(F.collect_list(F.struct("n_pos", "n_total", "n")).alias("shapes"))
-    joined = maps.join(shapes, by)
+    shapes = shape.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("n_pos", "n_total", "n"))).alias("shapes"))
+    # nulls cost far more than rows: groups of equal shapes go to one task, the others to any
+    joined = maps.join(shapes, by).repartition(int(maps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shapes")
     at = joined.columns.index("shapes")
     score = joined.columns.index("mean_average_precision")
 
