@@ -88,12 +88,21 @@ def seeded_bucket(seed: int, buckets: Column | int, *parts: Column | str) -> Col
 
 
 def safe_corr(x: Column | str, y: Column | str) -> Column:
-    """Pearson correlation of complete pairs; NULL when a side does not vary."""
+    """Pearson correlation of complete pairs; NULL when a side does not vary.
+
+    Partial deviations of a constant need not merge to zero, so its extremes are compared.
+    """
     a, b = as_col(x), as_col(y)
     both = a.isNotNull() & b.isNotNull()
     a, b = F.when(both, a), F.when(both, b)
     spread = F.stddev_pop(a) * F.stddev_pop(b)
-    return F.when(spread > 0, F.covar_pop(a, b) / spread)
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.when(varies & (spread > 0), F.covar_pop(a, b) / spread)
+
+
+def exact_std(x: Column) -> Column:
+    """Population deviation that is zero for a constant, however its rows are spread over tasks."""
+    return F.when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(F.stddev_pop(x))
 
 
 def unique_sorted(values: Column | str) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise import columns as C
-from platewise.functions.expressions import average_rank, clean_number, safe_corr
+from platewise.functions.expressions import average_rank, clean_number, exact_std, safe_corr
 from platewise.functions.naming import feature_group
 from platewise.operators.blocks import exact_median, largest_group, running_totals
 from platewise.operators.moments import global_moments
@@ -61,7 +61,7 @@ def pair_correlation(pairs: DataFrame, keys: list[str], a: str = "value_ref", b:
     out = [
         F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_valid"),
         F.avg(x).alias("mean_ref"), F.avg(y).alias("mean_codec"),
-        F.stddev_pop(x).alias("std_ref"), F.stddev_pop(y).alias("std_codec"),
+        exact_std(x).alias("std_ref"), exact_std(y).alias("std_codec"),
         F.covar_pop(x, y).alias("covariance"), safe_corr(x, y).alias("__r")]
     agg = both.groupBy(*keys).agg(*out)
     if medians:
@@ -172,9 +172,11 @@ def distribution_distance(long: DataFrame, keys: list[str], side: str = "side",
     rows = long.filter(F.col(value).isNotNull() & ~F.isnan(value))
     is_a, is_b = F.col(side) == "a", F.col(side) == "b"
     x, y = F.when(is_a, F.col(value)), F.when(is_b, F.col(value))
+    # partial variances of a constant need not merge to zero
+    spread = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) > 1), F.lit(0.0)).otherwise(F.var_samp(c))
     shape = rows.groupBy(*keys).agg(
         F.count(x).alias("n_a"), F.count(y).alias("n_b"), F.avg(x).alias("__ma"), F.avg(y).alias("__mb"),
-        F.var_samp(x).alias("__va"), F.var_samp(y).alias("__vb"))
+        spread(x).alias("__va"), spread(y).alias("__vb"))
     # the counted values are read twice: to find the largest key and to run over them
     steps = cut_lineage(rows.groupBy(*keys, F.col(value).alias("__v")).agg(
         F.count_if(is_a).alias("a"), F.count_if(is_b).alias("b")))
