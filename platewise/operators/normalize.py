@@ -24,6 +24,7 @@ from platewise.operators.packed import from_long, to_long
 
 EPSILON = 1e-18
 IN_MEMORY_GROUP = 128 << 20
+BAND_BYTES = 16 << 20  # features of a group that one call holds, where the group is larger
 CLOSURE_MODELS = 64 << 20
 NO_BATCH = "\u0000no batch"
 
@@ -80,8 +81,20 @@ def numpy_mad(table: pa.Table, factor: float) -> pa.Table:
     x = matrix_of(table.column("features"))
     center = np.median(x, axis=0)
     spread = np.median(np.abs(x - center), axis=0) * factor
-    return pa.table({"grp": table.column("grp").slice(0, 1), "center": list_column(center[None, :]),
-                     "scale": list_column(spread[None, :])})
+    return pa.table({"grp": table.column("grp").slice(0, 1), "band": table.column("band").slice(0, 1),
+                     "center": list_column(center[None, :]), "scale": list_column(spread[None, :])})
+
+
+def feature_bands(rows: DataFrame, width: int, biggest: int) -> DataFrame:
+    """``grp, band, features``: rows cut into bands of features, of at most ``BAND_BYTES`` in the largest group."""
+    step = max(1, BAND_BYTES // (8 * max(biggest, 1)))
+    if step >= width:
+        return rows.select("grp", F.lit(0).alias("band"), C.FEATURES)
+    starts = list(range(0, width, step))
+    # the last band is open, so that longer arrays are still noticed
+    pieces = [F.struct(F.lit(i).alias("band"), F.slice(C.FEATURES, at + 1, step if i + 1 < len(starts) else 2**31 - 1).alias(C.FEATURES))
+              for i, at in enumerate(starts)]
+    return rows.select("grp", F.explode(F.array(*pieces)).alias("piece")).select("grp", "piece.*")
 
 
 def long_medians(rows: DataFrame, biggest: int) -> DataFrame:
@@ -97,17 +110,20 @@ def long_medians(rows: DataFrame, biggest: int) -> DataFrame:
 def mad_model(df: DataFrame, batch_col: str | None, control: str | None, factor: float = 1.0) -> DataFrame:
     """``grp, center, scale``: exact median and median absolute deviation.
 
-    A NULL or NaN among a batch's rows makes that feature's centre and scale NaN. Groups that
-    provably fit a task are reduced there; larger ones go through exact medians of the
-    long form, with the same result.
+    A NULL or NaN among a batch's rows makes that feature's centre and scale NaN. Groups are reduced in
+    bands of features that fit a task; groups of which one feature does not go through exact medians of
+    the long form, with the same result.
     """
     rows = fit_rows(df, batch_col, control)
     first = df.select(F.size(C.FEATURES)).first()
     biggest = largest_group(rows, ["grp"])
-    if first is not None and biggest * first[0] * 8 <= IN_MEMORY_GROUP:
-        return rows.groupBy("grp").applyInArrow(
+    if first is not None and biggest * 8 <= IN_MEMORY_GROUP:
+        found = feature_bands(rows, first[0], biggest).groupBy("grp", "band").applyInArrow(
             lambda table: numpy_mad(table, factor),
-            "grp string, center array<double>, scale array<double>")
+            "grp string, band int, center array<double>, scale array<double>")
+        bands = F.array_sort(F.collect_list(F.struct("band", "center", "scale")))
+        whole = lambda name: F.flatten(F.col("bands")[name]).alias(name)
+        return found.groupBy("grp").agg(bands.alias("bands")).select("grp", whole("center"), whole("scale"))
     middle = long_medians(rows, biggest).withColumnRenamed(C.FEATURES, "center")
     apart = rows.join(middle, "grp").select(
         "grp", F.zip_with(C.FEATURES, "center", lambda x, c: F.abs(x - c)).alias(C.FEATURES))
