@@ -38,6 +38,9 @@ CG_ULTRA = [
     "DRUG_BINDACT_GENE", "agonist,antagonist", "blocker,activator",
 ]
 
+# pairs of genes that a task makes distinct
+PAIRS_PER_TASK = 1_000_000
+
 EDGE = ["Metadata_JCP2022", "target", "partner_jcp", "target_modality", "source"]
 
 
@@ -197,17 +200,23 @@ def bridged_edges(targets: DataFrame, keys: list[str] | None = None, block: int
 def gg_edges(pairs: DataFrame, metadata: DataFrame, allowed: list[str] | None = None) -> DataFrame:
     """Gene to gene edges within each modality, symmetrised.
 
-    The modality is part of the join key, so both modalities are resolved in one pass.
+    The modality is part of the join key, so both modalities are resolved in one pass. An edge is made distinct once,
+    smaller id first, and both directions follow from it. Rows meet their equals before any are collected, in tasks
+    whose number grows with the pairs.
     """
     kept = pairs if allowed is None else pairs.filter(F.col("rel_type").isin(allowed))
-    canon = kept.filter("target_a is not null and target_b is not null and target_a <> target_b").select(
-        F.least("target_a", "target_b").alias("lo"), F.greatest("target_a", "target_b").alias("hi")).distinct()
+    stated = kept.filter("target_a is not null and target_b is not null and target_a <> target_b")
+    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), stated.count() // PAIRS_PER_TASK)
+    apart = lambda df: df.repartition(tasks, *df.columns).distinct()
+    canon = apart(stated.select(F.least("target_a", "target_b").alias("lo"), F.greatest("target_a", "target_b").alias("hi")))
     genes = gene_lookup(metadata)
-    low = genes.select(F.col("target").alias("lo"), F.col("partner_jcp").alias("Metadata_JCP2022"), "target_modality")
-    high = genes.select(F.col("target").alias("hi"), "partner_jcp", "target_modality")
-    met = canon.join(low, "lo").join(high, ["hi", "target_modality"]).filter("Metadata_JCP2022 <> partner_jcp")
-    sides = met.select("Metadata_JCP2022", "partner_jcp", "target_modality")
-    return as_edges(symmetric(sides, "Metadata_JCP2022", "partner_jcp"), "gg")
+    low = genes.select(F.col("target").alias("lo"), F.col("partner_jcp").alias("a"), "target_modality")
+    high = genes.select(F.col("target").alias("hi"), F.col("partner_jcp").alias("b"), "target_modality")
+    met = canon.join(low, "lo").join(high, ["hi", "target_modality"]).filter("a <> b")
+    once = apart(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "target_modality"))
+    way = lambda a, b: F.struct(F.col(a).alias("Metadata_JCP2022"), F.col(b).alias("partner_jcp"))
+    sides = once.select("target_modality", F.explode(F.array(way("a", "b"), way("b", "a"))).alias("way"))
+    return as_edges(sides.select("way.*", "target_modality"), "gg")
 
 
 def build_splits(raw: DataFrame, structures: DataFrame, key: str, split: str) -> DataFrame:
