@@ -284,23 +284,13 @@ def first_profiles(spark, sf_dir):
 MAPPINGS = """SELECT 's' || (l_suppkey % 20) AS source_id, 'method' || (l_linenumber % 3) AS method, l_partkey AS gt_id, l_tax AS iou_score FROM {lineitem}"""
 
 
-def move_parts(spark, path: str, name: str, end: str) -> None:
-    """Gives the single file of a written folder the name by which readers know it."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    source = jvm.org.apache.hadoop.fs.Path(path)
-    files = source.getFileSystem(conf)
-    part = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/part-*"))[0].getPath()
-    files.rename(part, jvm.org.apache.hadoop.fs.Path(source.getParent(), name + end))
-
-
 @register("instance_mapping_files", with_clause(m=MAPPINGS) + """ SELECT method, source_id, count(*) AS n, round(sum(iou_score), 2) AS total FROM m GROUP BY ALL""")
 def instance_mapping_files(spark, sf_dir):
-    """Mappings of several methods, one file each, read as one table."""
+    """Mappings of several methods, a name each, read as one table."""
     base = folder(spark)
     rows = derive(spark, sf_dir, MAPPINGS)
     for method in ("method0", "method1", "method2"):
-        rows.filter(F.col("method") == method).drop("method").repartition(1).write.parquet(f"{base}/{method}")
-        move_parts(spark, f"{base}/{method}", method, ".parquet")
+        rows.filter(F.col("method") == method).drop("method").write.parquet(f"{base}/{method}.parquet")
     return readers.read_instance_mappings(spark, f"{base}/*.parquet").groupBy("method", "source_id").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("iou_score"), 2).alias("total"))
 
@@ -316,8 +306,7 @@ def detailed_files(spark, sf_dir):
     rows = derive(spark, sf_dir, DETAILED)
     for kind in ("cell", "nuclei"):
         for codec in ("qF", "qO"):
-            rows.filter((F.col("object_type") == kind) & (F.col("codec") == codec)).select("file", "dice").repartition(1).write.option(
-                "header", True).csv(f"{base}/{kind}_{codec}")
-            move_parts(spark, f"{base}/{kind}_{codec}", f"{kind}_{codec}", ".csv")
+            rows.filter((F.col("object_type") == kind) & (F.col("codec") == codec)).select("file", "dice").write.option(
+                "header", True).csv(f"{base}/{kind}_{codec}.csv")
     return readers.read_detailed(spark, f"{base}/*.csv").groupBy("object_type", "codec", "file").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("dice"), 6).alias("dice"))

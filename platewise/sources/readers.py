@@ -208,14 +208,22 @@ def recall_rows(files: DataFrame, dataset: str) -> DataFrame:
         F.when(F.col("task") != "GG", item["compound_group"]).alias("group"), value(1), value(5), value(10))
 
 
+def named_stem(suffix: str) -> Column:
+    """Stem of the file, or of the folder ``<stem><suffix>`` where Spark wrote the file in parts."""
+    name = F.col("_metadata.file_name")
+    folder = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1)
+    plain = F.when(folder.contains("%"), F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(folder)
+    return file_stem(F.when(name.startswith("part-") & folder.endswith(suffix), plain).otherwise(name))
+
+
 def read_instance_mappings(spark: SparkSession, glob: str) -> DataFrame:
-    """Instance mappings of several methods, the method taken from the file name."""
-    return spark.read.parquet(glob).withColumn("method", file_stem(F.col("_metadata.file_name")))
+    """Instance mappings of several methods, the method taken from the name of the file or folder of parts."""
+    return spark.read.parquet(glob).withColumn("method", named_stem(".parquet"))
 
 
 def read_detailed(spark: SparkSession, glob: str, pattern: str = r"^(.*?)_(.*)$") -> DataFrame:
-    """Per-site csv results with object type and codec taken from the file name."""
-    stem = file_stem(F.col("_metadata.file_name"))
+    """Per-site csv results with object type and codec taken from the name of the file or folder of parts."""
+    stem = named_stem(".csv")
     return spark.read.option("header", True).option("inferSchema", True).csv(glob).withColumns(
         {"object_type": F.regexp_extract(stem, pattern, 1), "codec": F.regexp_extract(stem, pattern, 2)})
 
