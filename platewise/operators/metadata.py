@@ -105,7 +105,7 @@ def wells_with_plates(wells: DataFrame, plates: DataFrame, wanted: DataFrame | N
 
 def connectivity(key: Column | str) -> Column:
     """First block of a structure key, which ignores stereochemistry and charge."""
-    return F.split(key, "-")[0]
+    return F.substring_index(key, "-", 1)
 
 
 def match_structures(keys: DataFrame, compounds: DataFrame, key: str = "Metadata_InChIKey") -> DataFrame:

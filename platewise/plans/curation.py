@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from platewise import columns as C
 from platewise.operators import annotations as A
 from platewise.operators import metadata as M
+from platewise.session import cut_lineage
 
 
 def curate(registry: dict[str, DataFrame], profiles: DataFrame, cc: DataFrame, cg: DataFrame,
@@ -16,20 +17,21 @@ def curate(registry: dict[str, DataFrame], profiles: DataFrame, cc: DataFrame, c
     """The eight curation steps; returns annotated wells and step membership.
 
     ``registry`` holds well, plate, compound, crispr and orf; ``cc`` and ``cg`` are the
-    structure-keyed annotation tables.
+    structure-keyed annotation tables. What several steps start from is written once, so that the
+    annotation tables are not read anew for every step.
     """
     key = "Metadata_InChIKey"
     keys = [cc.select(F.col("inchikey_a").alias(key)).unionByName(cc.select(F.col("inchikey_b").alias(key))),
             cg.select(F.col("inchikey").alias(key))]
-    structures = M.structure_map(keys, registry["compound"])
+    structures = cut_lineage(M.structure_map(keys, registry["compound"]))
     wanted = structures.select(C.PERT).unionByName(
         registry["crispr"].select(C.PERT)).unionByName(registry["orf"].select(C.PERT)).dropna().distinct()
-    raw = M.wells_with_plates(registry["well"], registry["plate"], wanted)
-    typed = M.classify(raw, registry["crispr"], registry["orf"], registry["compound"])
-    filtered = M.filter_plates(typed, registry["plate"], min_fill=min_fill)
+    raw = cut_lineage(M.classify(M.wells_with_plates(registry["well"], registry["plate"], wanted),
+                                 registry["crispr"], registry["orf"], registry["compound"]))
+    filtered = M.filter_plates(raw, registry["plate"], min_fill=min_fill)
     everything = M.wells_with_plates(registry["well"], registry["plate"])
     controls = M.sample_controls(M.control_wells(filtered, everything), negcon_fraction, seed)
-    matched = M.match_to_profiles(filtered, controls, profiles, denied)
+    matched = cut_lineage(M.match_to_profiles(filtered, controls, profiles, denied))
     replicated = M.replicate_filter(matched, min_replicates)
     lists = M.target_lists(
         cg.filter(F.col("inchikey").isNotNull())
