@@ -30,7 +30,7 @@ from platewise.llm.wordbpe import encode_texts, texts_of
 SHARD = 1 << 20
 SCHEMA = ("part int, shard int, start long, n_tokens long, doc_ids array<long>, doc_tokens binary, doc_symbols binary, "
           "base int, n_rules int, n_symbols long, bits int, length_bits int, rules binary, lengths binary, symbols binary")
-SLOT_BITS = 20
+SLOT_BITS = 18  # counts of slots that stay near the core
 USES, STEP = 3, 4
 
 

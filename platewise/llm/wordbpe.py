@@ -3,7 +3,8 @@
 The distinct words of a bounded slice of texts are encoded together and kept in a bounded table, since the ids of a
 text are those of its words in order: normalisation, splitting and merges of such a tokenizer stay within a word.
 The tokenizer must lower-case, as A-Z are lowered before the words are looked up.
-Texts without spaces are one word and are encoded as such. A text that holds the string of one of the file's added tokens is encoded
+Where the file splits as ``SPLIT`` does, plain words are cut into runs of letters and runs of marks first, so that a word is known
+with any marks around it. Texts without spaces are one word and are encoded as such. A text that holds the string of one of the file's added tokens is encoded
 whole by the library, which takes those out before it looks at white space.
 """
 
@@ -27,6 +28,13 @@ BATCH = 20_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+# of a lowered byte: whether it is a mark, a letter, the first byte of a plain letter, or one that leaves its word whole
+MARK, LETTER, LEAD, WHOLE = range(4)
+KIND = np.full(256, WHOLE, np.uint8)
+KIND[0x21:0x7F] = MARK
+KIND[[*range(ord("0"), ord("9") + 1), ord("'")]] = WHOLE
+KIND[ord("a"):ord("z") + 1] = LETTER
+KIND[0xC3] = LEAD
 
 
 @functools.lru_cache(maxsize=2)
@@ -94,8 +102,8 @@ def _table(path: str) -> _Table:
 def encode_texts(path: str, texts: list[bytes], end: int) -> list[bytes]:
     """Little-endian 32-bit ids of each text of a bounded slice, followed by the id ``end``.
 
-    The words are numbered by an Arrow dictionary, so that the table is asked once for each distinct word of the slice
-    and the ids of all words in order are gathered from those.
+    The words, or the parts of plain words, are numbered by an Arrow dictionary, so that the table is asked once for each
+    distinct one of the slice and the ids of all in order are gathered from those.
     """
     mark = array("I", [end]).tobytes()
     whole = {i: array("I", _tokenizer(path).encode(text.decode(), add_special_tokens=False).ids).tobytes()
@@ -108,8 +116,10 @@ def encode_texts(path: str, texts: list[bytes], end: int) -> list[bytes]:
         return [whole.get(i, b"") + mark for i in range(len(texts))]
     letters = data[~SPACE[data]]
     places = np.concatenate(([0], np.cumsum(ends - starts)))
+    cuts = places[np.searchsorted(rows, np.arange(len(texts) + 1))]
+    places = _cut_plain(letters, places) if _plain(path) else places
     words = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(starts), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(letters)]).dictionary_encode()
+        pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(letters)]).dictionary_encode()
     found = _table(path).look_up(path, _pieces(words.dictionary))
     flat = np.frombuffer(b"".join(found), "<u4")
     sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -117,10 +127,33 @@ def encode_texts(path: str, texts: list[bytes], end: int) -> list[bytes]:
     own = sizes[number]
     after = np.cumsum(own)
     ids = flat[np.repeat((np.cumsum(sizes) - sizes)[number] - (after - own), own) + np.arange(after[-1])].tobytes()
-    cuts = (4 * np.concatenate(([0], after))[np.searchsorted(rows, np.arange(len(texts) + 1))]).tolist()
+    cuts = (4 * np.concatenate(([0], after))[np.searchsorted(places, cuts)]).tolist()
     return [whole.get(i, ids[a:b]) + mark for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
 
 
+def _cut_plain(letters: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Where words begin and end, and where runs of letters or marks do in words that ``SPLIT`` cuts nowhere else.
+
+    Words with a digit, an apostrophe or a byte that is neither ASCII nor of a plain letter stay whole.
+    """
+    kind = KIND[letters]
+    lead = np.flatnonzero(kind == LEAD)
+    if len(lead):
+        after = letters[np.minimum(lead + 1, len(letters) - 1)]
+        lead = lead[(after >= 0x80) & (after != 0x97) & (after != 0xB7)]  # not the signs of times and division
+        kind[kind == LEAD] = WHOLE
+        kind[lead] = kind[lead + 1] = LETTER
+    first = np.empty(len(letters), bool)
+    np.not_equal(kind[1:], kind[:-1], out=first[1:])
+    odd = np.flatnonzero(kind == WHOLE)
+    if len(odd):
+        whole = np.zeros(len(places) - 1, bool)
+        whole[np.searchsorted(places, odd, side="right") - 1] = True
+        first &= ~np.repeat(whole, np.diff(places))
+    first[places[:-1]] = True
+    return np.append(np.flatnonzero(first), len(letters))
+
+
 def _pieces(column: pa.LargeBinaryArray) -> list[bytes]:
     """The values of a column without nulls, cut from its buffer."""
     _, where, data = column.buffers()

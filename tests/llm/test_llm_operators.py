@@ -861,3 +861,19 @@ def test_common_words_outlive_a_full_word_table(monkeypatch):
         assert wordbpe._table(WORD_BPE).held <= 4000
     assert seen.count(b"common") == 1 and len(set(seen)) > 200
     wordbpe._table.cache_clear()
+
+
+def test_plain_words_are_cut_into_letters_and_marks(monkeypatch):
+    """A word is encoded once, whatever marks stand around it; what the split cuts otherwise stays whole."""
+    from platewise.llm import wordbpe
+
+    wordbpe._table.cache_clear()
+    seen, encode = [], wordbpe._encode_words
+    monkeypatch.setattr(wordbpe, "_encode_words", lambda path, words, known: (seen.extend(words), encode(path, words, known))[1])
+    texts = ["Lorem, lorem. (lorem) -- \"LOREM\"; lorem... lorem-Ärger/ärger ÷Ä× straße, 'til don't 'sun x1y 3,5 áb",
+             "", " \t", "Ã", "è÷é ×", "!", "ÿÿ!ÿ", "привет, lorem\x7f,  x \u0085y", "lorem's ''s '' '", "a\x00b \x01,", "中文,字"]
+    found = encode_texts(WORD_BPE, [t.encode() for t in texts], 1)
+    for text, ids in zip(texts, found):
+        assert np.frombuffer(ids, "<u4").tolist() == library_ids(text, 1), text
+    assert seen.count(b"lorem") == 1 and seen.count(b",") == 1 and b"lorem," not in seen and b"don't" in seen
+    wordbpe._table.cache_clear()
