@@ -877,3 +877,9 @@ def test_plain_words_are_cut_into_letters_and_marks(monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == library_ids(text, 1), text
     assert seen.count(b"lorem") == 1 and seen.count(b",") == 1 and b"lorem," not in seen and b"don't" in seen
     wordbpe._table.cache_clear()
+
+
+def test_every_plain_letter_is_encoded_as_the_library_does():
+    plain = [chr(c) for c in (*range(0xC0, 0x100),)]
+    text = " ".join([*plain, *(f"a{x}b{x}" for x in plain), "".join(x for x in plain if x not in "×÷")])
+    assert np.frombuffer(encode_texts(WORD_BPE, [text.encode()], 1)[0], "<u4").tolist() == library_ids(text, 1)
