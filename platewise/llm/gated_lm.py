@@ -46,7 +46,10 @@ ROUNDS = 3  # each training document is in one of them
 LOT = 1 << 20  # tokens of a group, which learns from them at a time
 STREAMS = (32, 192, 256)  # fewest and most streams, updates in a lot before there are more streams
 SQUARES = 1e-4
-SCORED = 1 << 22  # bytes of codes scored side by side
+SAFE = 40.0  # scores up to here can be raised to powers as they are
+SCORED = 1 << 23  # bytes of codes scored side by side
+ABREAST = 512  # streams of a step that stay near the core
+TEXTS = 1 << 16  # bytes of texts cut into words at a time
 PARTS = 8192  # most tasks of a training round; each sums the parameters of its groups
 
 
@@ -65,8 +68,7 @@ class Shape:
     @property
     def arrays(self) -> dict[str, tuple[int, ...]]:
         return {"embed": (self.head + self.tail, 3 * HIDDEN), "recur": (HIDDEN, 3 * HIDDEN), "shift": (HIDDEN,),
-                "class_w": (HIDDEN, self.classes + self.tail), "class_b": (self.classes + self.tail,),
-                "word_w": (self.classes, HIDDEN, self.width), "word_b": (self.classes, self.width)}
+                "class": (HIDDEN + 1, self.classes + self.tail), "word": (self.classes, HIDDEN + 1, self.width)}
 
     @property
     def size(self) -> int:
@@ -114,7 +116,7 @@ def word_counts(docs: DataFrame, bits: int, head: int = HEAD) -> DataFrame:
     def count(batches):
         held, size = [], 0
         for batch in batches:
-            for piece in T.slices(batch, 0):
+            for piece in T.slices(batch, 0, TEXTS):
                 held.append(tokens_of(piece.column(0))[0])
                 size += len(held[-1])
                 if size > FLUSH:
@@ -202,6 +204,18 @@ def vocabulary(counts: DataFrame, shape: Shape = SHAPE) -> Vocabulary:
     return vocab
 
 
+def words_by_block(blocks: np.ndarray, sizes: np.ndarray, tokens: np.ndarray):
+    """(block, its distinct tokens) of rows that lie one after the other, ``sizes`` tokens each."""
+    order = np.argsort(blocks, kind="stable")
+    own = sizes[order]
+    after = np.cumsum(own)
+    tokens = tokens[np.repeat((np.cumsum(sizes) - sizes)[order] - (after - own), own) + np.arange(len(tokens))]
+    blocks = blocks[order]
+    lasts = np.flatnonzero(np.concatenate((blocks[1:] != blocks[:-1], [True])))
+    for block, part in zip(blocks[lasts].tolist(), np.split(tokens, after[lasts[:-1]])):
+        yield block, np.unique(part)
+
+
 def encoded(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, bits: int, rows: int, size: int) -> DataFrame:
     """(id, held_out, n_tokens, n_known, base_score, tail_score, codes) of every row of ``docs`` (id, held_out, text).
 
@@ -212,13 +226,11 @@ def encoded(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, bits: int, ro
     schema = "bucket int, block int, words binary, counts binary"
 
     def ask(batches):
-        held: dict[int, list[np.ndarray]] = {}
-        size = 0
+        held, size = [], 0
 
         def send():
             found = []
-            for block, parts in held.items():
-                words = np.unique(np.concatenate(parts))
+            for block, words in words_by_block(*map(np.concatenate, zip(*held))):
                 words = words[~vocab.look_up(words)[0]]
                 found += [(b, block, words[x:y].tobytes(), None) for b, x, y in _split(words, bits)] if len(words) else []
             return pa.RecordBatch.from_arrays(
@@ -226,16 +238,13 @@ def encoded(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, bits: int, ro
                 ["bucket", "block", "words", "counts"])
 
         for batch in batches:
-            for piece in T.slices(batch, 1):
-                blocks = piece.column(0).to_numpy()
+            for piece in T.slices(batch, 1, TEXTS):
                 tokens, offsets = tokens_of(piece.column(1))
-                for block in np.unique(blocks).tolist():
-                    mine = np.repeat(blocks == block, np.diff(offsets))
-                    held.setdefault(block, []).append(np.unique(tokens[mine]))
-                    size += len(held[block][-1])
+                held.append((piece.column(0).to_numpy(), np.diff(offsets), tokens))
+                size += len(tokens)
                 if size > FLUSH:
                     yield send()
-                    held, size = {}, 0
+                    held, size = [], 0
         if held:
             yield send()
 
@@ -264,7 +273,7 @@ def encoded(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, bits: int, ro
             own = np.concatenate([np.frombuffer(x, "<i8") for x in right.column("counts").to_pylist()])
             order = np.argsort(words, kind="stable")
             words, own = words[order], own[order]
-        parts = [_encode(piece, words, own, vocab) for batch in left.to_batches() for piece in T.slices(batch, 3)]
+        parts = [_encode(piece, words, own, vocab) for batch in left.to_batches() for piece in T.slices(batch, 3, TEXTS)]
         return pa.Table.from_batches(parts, ENCODED) if parts else ENCODED.empty_table()
 
     asked = placed.select("block", "text").mapInArrow(ask, schema)
@@ -304,10 +313,13 @@ def _encode(piece: pa.RecordBatch, words: np.ndarray, own: np.ndarray, vocab: Vo
 # ---------------------------------------------------------------------------------------------- network
 
 def views(flat: np.ndarray, shape: Shape = SHAPE) -> dict[str, np.ndarray]:
+    """Parameters by name; weights and biases (``_w``, ``_b``) of classes and words also together."""
     out, at = {}, 0
     for name, sizes in shape.arrays.items():
         out[name] = flat[at:at + math.prod(sizes)].reshape(sizes)
         at += math.prod(sizes)
+    for name in ("class", "word"):
+        out[f"{name}_w"], out[f"{name}_b"] = out[name][..., :HIDDEN, :], out[name][..., HIDDEN, :]
     return out
 
 
@@ -329,98 +341,155 @@ def initial(vocab: Vocabulary, seed: int = 5) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+    """Of -x, in place."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
+
+
+def recurrence(p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``advance`` needs of the parameters: signs and scales of the inputs of each gate, recurrent weights and shift with them."""
+    scale = np.repeat(np.array([-1, -1, -2], p["recur"].dtype), HIDDEN)
+    turned = np.ascontiguousarray((p["recur"] * np.repeat(np.array([-1, -1, 1], scale.dtype), HIDDEN)).T)
+    return p["embed"], scale[:, None], turned, p["shift"][:, None]
+
+
+def advance(model: tuple, h: np.ndarray, x: np.ndarray, zr: np.ndarray, n: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Next states [HIDDEN, streams] from states and scaled inputs [3 * HIDDEN, streams]; gates are left in zr, n and inner.
+
+    Streams lie side by side in memory, so that every step works on whole rows.
+    """
+    g = model[2] @ h
+    zr[:] = g[:2 * HIDDEN]
+    zr += x[:2 * HIDDEN]
+    _sigmoid(zr)
+    np.add(g[2 * HIDDEN:], model[3], out=inner)
+    np.multiply(zr[HIDDEN:], inner, out=n)
+    n *= -2
+    n += x[2 * HIDDEN:]
+    _sigmoid(n)  # the hyperbolic tangent of x is twice that of 2x, less one
+    n *= 2
+    n -= 1
+    after = h - n
+    after *= zr[:HIDDEN]
+    after += n
+    return after
+
+
+def inputs_of(model: tuple, codes: np.ndarray) -> np.ndarray:
+    """Scaled inputs [..., 3 * HIDDEN, streams] of codes [..., streams]."""
+    x = np.take(model[0], codes, axis=0)
+    return np.multiply(x.swapaxes(-1, -2), model[1], order="C")
 
 
 def step(p: dict, h: np.ndarray, code: np.ndarray) -> tuple:
     """(next state, gates) after reading a code."""
-    x, g = p["embed"][code], h @ p["recur"]
-    zr = _sigmoid(x[:, :2 * HIDDEN] + g[:, :2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    inner = g[:, 2 * HIDDEN:] + p["shift"]
-    n = np.tanh(x[:, 2 * HIDDEN:] + r * inner)
-    return n + z * (h - n), (z, r, n, inner)
+    model = recurrence(p)
+    zr, n, inner = (np.empty((k * HIDDEN, len(code)), h.dtype) for k in (2, 1, 1))
+    after = advance(model, h.T, inputs_of(model, code), zr, n, inner)
+    return after.T, (zr[:HIDDEN].T, zr[HIDDEN:].T, n.T, inner.T)
 
 
-def _softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-probability at one place of every row; ``scores`` become probabilities."""
-    scores -= scores.max(axis=1, keepdims=True)
+def _softmax(scores: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log-probability at one place, sum) of every row; ``scores`` become probabilities times the sum."""
+    if scores.size and max(scores.max(), -scores.min()) > SAFE:
+        scores -= scores.max(axis=1, keepdims=True)
     found = scores[np.arange(len(at)), at]
     np.exp(scores, out=scores)
-    total = scores.sum(axis=1)
-    scores /= total[:, None]
-    return found - np.log(total)
+    total = scores @ np.ones(scores.shape[1], scores.dtype)
+    return found - np.log(total), total
 
 
 def output(p: dict, h: np.ndarray, code: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log-probability of each code given its state; with ``grad`` also adds gradients and returns dh.
 
-    Rows are taken in the order of their classes, so that the words of a class meet its rows as one slice.
+    Rows are taken in the order of their classes, so that the words of a class meet its rows as one slice. States get a
+    one behind them, which meets the biases.
     """
-    classes, _, width = p["word_w"].shape
+    classes, _, width = p["word"].shape
     head = classes * width
     kind = np.where(code < head, code // width, code - head + classes).astype(np.uint16 if classes < 1 << 15 else np.int64)
     order = np.argsort(kind, kind="stable")
-    h, kind, code = h[order], kind[order].astype(np.int64), code[order]
-    scores = h @ p["class_w"] + p["class_b"]
-    logs = _softmax(scores, kind)
+    full = np.ones((len(h), HIDDEN + 1), h.dtype)
+    full[:, :HIDDEN] = np.take(h, order, axis=0)
+    kind, code = kind[order].astype(np.int64), code[order]
+    scores = full @ p["class"]
+    logs, totals = _softmax(scores, kind)
     cuts = np.searchsorted(kind, np.arange(classes + 1))
     known = cuts[-1]
     slices = [(c, slice(cuts[c], cuts[c + 1])) for c in np.flatnonzero(np.diff(cuts)).tolist()]
     words = np.empty((known, width), scores.dtype)
     for c, at in slices:
-        np.matmul(h[at], p["word_w"][c], out=words[at])
-        words[at] += p["word_b"][c]
+        np.matmul(full[at], p["word"][c], out=words[at])
     word = code[:known] - kind[:known] * width
     if known:
-        logs[:known] += _softmax(words, word)
+        own_logs, sums = _softmax(words, word)
+        logs[:known] += own_logs
     found = np.empty_like(logs)
     found[order] = logs
     if grad is None:
         return found, None
-    scores[np.arange(len(kind)), kind] -= 1
-    grad["class_w"] += h.T @ scores
-    grad["class_b"] += scores.sum(axis=0)
+    # rows of scores and words stay unscaled: what they meet is divided by their sums
+    totals, rows = totals[:, None], np.arange(len(kind))
+    scores[rows, kind] -= totals[:, 0]
+    grad["class"] += (full / totals).T @ scores
     own = scores @ p["class_w"].T
-    words[np.arange(known), word] -= 1
-    for c, at in slices:
-        grad["word_w"][c] += h[at].T @ words[at]
-        grad["word_b"][c] += words[at].sum(axis=0)
-        own[at] += words[at] @ p["word_w"][c].T
+    own /= totals
+    if known:
+        words[rows[:known], word] -= sums
+        sums = sums[:, None]
+        shares, within = full[:known] / sums, np.empty((known, HIDDEN), own.dtype)
+        for c, at in slices:
+            grad["word"][c] += shares[at].T @ words[at]
+            np.matmul(words[at], p["word_w"][c].T, out=within[at])
+        within /= sums
+        own[:known] += within
     back = np.empty_like(own)
     back[order] = own
     return found, back
 
 
-def log_likelihoods(flat: np.ndarray, docs: list[np.ndarray], window: int = 1 << 14, shape: Shape = SHAPE) -> np.ndarray:
+def log_likelihoods(flat: np.ndarray, docs: list[np.ndarray], window: int = 1 << 13, shape: Shape = SHAPE) -> np.ndarray:
     """Natural log-likelihood of whole code sequences, longest first side by side, the state never cut."""
     p = views(flat, shape)
+    model = recurrence(p)
     lengths = np.array([len(d) for d in docs], np.int64)
     order = np.argsort(-lengths, kind="stable")
     sizes = lengths[order]
     codes = np.concatenate([docs[i] for i in order] + [np.zeros(0, "<u2")]).astype(np.int64)
     begin = np.cumsum(sizes) - sizes
     out = np.zeros(len(docs))
-    h = np.zeros((len(docs), HIDDEN), np.float32)
-    states, targets, owners, held = [], [], [], 0
+    h = np.zeros((HIDDEN, len(docs)), np.float32)
+    gates = [np.empty((k * HIDDEN, min(len(docs), ABREAST)), np.float32) for k in (2, 1, 1)]
+    states, targets, held = [], [], 0
 
     def flush():
-        found, _ = output(p, np.concatenate(states), np.concatenate(targets))
-        out[:len(owners[0])] += np.bincount(np.concatenate(owners), found, len(owners[0]))
+        found, _ = output(p, np.concatenate([x.T for x in states]), np.concatenate(targets))
+        out[:len(targets[0])] += np.bincount(np.concatenate([rows[:len(x)] for x in targets]), found, len(targets[0]))
 
-    active = len(docs)
-    for t in range(int(sizes[0]) if len(sizes) else 0):
-        active = int(np.searchsorted(-sizes[:active], -t, side="left"))
+    rows = np.arange(len(docs))
+    running = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")  # documents longer than each place
+    for t, active in enumerate(running.tolist()):
         code = codes[begin[:active] + t]
-        h = h[:active]
+        if active < h.shape[1]:
+            h = h[:, :active]
+        if active < gates[0].shape[1]:
+            gates = [np.empty((len(x), active), np.float32) for x in gates]
         states.append(h)
         targets.append(code)
-        owners.append(np.arange(active))
         held += active
-        h, _ = step(p, h, code)
+        if active <= ABREAST:
+            h = advance(model, h, inputs_of(model, code), *gates)
+        else:
+            after = np.empty_like(h)
+            for start in range(0, active, ABREAST):
+                some = slice(start, min(start + ABREAST, active))
+                after[:, some] = advance(model, h[:, some], inputs_of(model, code[some]), *[x[:, :some.stop - start] for x in gates])
+            h = after
         if held >= window:
             flush()
-            states, targets, owners, held = [], [], [], 0
+            states, targets, held = [], [], 0
     if held:
         flush()
     found = np.empty(len(docs))
@@ -434,7 +503,8 @@ def learn(flat: np.ndarray, docs: list[np.ndarray], rate: float = 0.2, streams:
 
     Documents follow one another in parallel streams, by default more of them for more tokens (``STREAMS``); the state is
     carried from window to window and starts anew with each document. Steps are scaled by the root of the summed squares
-    of past gradients, which are added to ``squares``.
+    of past gradients, which are added to ``squares``. Inputs of codes that a window does not hold have no gradient there and are
+    not visited.
     """
     flat = flat.copy()
     whole = np.concatenate([*docs, np.zeros(0, "<u2")]).astype(np.int64)
@@ -452,47 +522,70 @@ def learn(flat: np.ndarray, docs: list[np.ndarray], rate: float = 0.2, streams:
     whole, fresh = (np.concatenate((x, np.zeros(spare, x.dtype))).reshape(streams, steps) for x in (whole, fresh))
     real = (np.arange(steps * streams) < seen).reshape(streams, steps)
     p, squares = views(flat, shape), np.full(shape.size, SQUARES, np.float32) if squares is None else squares
-    h = np.zeros((streams, HIDDEN), np.float32)
+    gradient = np.empty(shape.size, np.float32)
+    grad, past = views(gradient, shape), views(squares, shape)
+    dense = slice(p["embed"].size, None)  # all parameters but the inputs of codes
+    h = np.zeros((HIDDEN, streams), np.float32)
+
+    def stepped(gradient, squares):
+        """The change along a sum of gradients, whose squares are added."""
+        gradient /= len(used)
+        np.clip(gradient, -1, 1, out=gradient)
+        squares += gradient * gradient
+        gradient *= rate
+        gradient /= np.sqrt(squares)
+        return gradient
+
     for start in range(0, steps, window):
-        codes, new = whole[:, start:start + window].T, fresh[:, start:start + window].T[:, :, None]
+        codes = np.ascontiguousarray(whole[:, start:start + window].T)
+        keep = (~fresh[:, start:start + window]).T.astype(np.float32)
         length = len(codes)
-        before, gates = np.empty((length, streams, HIDDEN), np.float32), []
+        model = recurrence(p)
+        x = inputs_of(model, codes)
+        before, n, inner = (np.empty((length, HIDDEN, streams), np.float32) for _ in range(3))
+        zr = np.empty((length, 2 * HIDDEN, streams), np.float32)
         for t in range(length):
-            h = h * ~new[t]
-            before[t] = h
-            h, g = step(p, h, codes[t])
-            gates.append(g)
-        gradient = np.zeros(shape.size, np.float32)
-        grad = views(gradient, shape)
+            np.multiply(h, keep[t], out=before[t])
+            h = advance(model, before[t], x[t], zr[t], n[t], inner[t])
+        gradient[dense] = 0
         used = np.flatnonzero(real[:, start:start + window].T.reshape(-1))
         flat_codes = codes.reshape(-1)
-        back = np.zeros((length * streams, HIDDEN), np.float32)
-        back[used] = output(p, before.reshape(-1, HIDDEN)[used], flat_codes[used], grad)[1]
-        back = back.reshape(length, streams, HIDDEN)
+        states = before.transpose(0, 2, 1).reshape(-1, HIDDEN)
+        if len(used) == len(states):
+            back = output(p, states, flat_codes, grad)[1]
+        else:
+            back = np.zeros_like(states)
+            back[used] = output(p, states[used], flat_codes[used], grad)[1]
+        back = np.ascontiguousarray(back.reshape(length, streams, HIDDEN).transpose(0, 2, 1))
+        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+        # what the gradient of the state after a step is multiplied by: for the gates' sums, and for the new state before ``r``
+        parts = np.empty((length, 4, HIDDEN, streams), np.float32)
+        np.multiply(before - n, z * (1 - z), out=parts[:, 0])
+        np.multiply(1 - z, 1 - n * n, out=parts[:, 3])
+        np.multiply(parts[:, 3], r, out=parts[:, 2])
+        np.multiply(parts[:, 2], inner * (1 - r), out=parts[:, 1])
         later = np.zeros_like(h)
-        inputs, inner_grad = (np.empty((length, streams, 3 * HIDDEN), np.float32) for _ in range(2))
         for t in range(length - 1, -1, -1):
-            z, r, n, inner = gates[t]
             # ``later`` is the gradient of the state after step t
-            dn = later * (1 - z) * (1 - n * n)
-            own, dg = inputs[t], inner_grad[t]
-            own[:, :HIDDEN] = later * (before[t] - n) * z * (1 - z)
-            own[:, HIDDEN:2 * HIDDEN] = dn * inner * r * (1 - r)
-            own[:, 2 * HIDDEN:] = dn
-            dg[:] = own
-            dg[:, 2 * HIDDEN:] *= r
-            later = (later * z + dg @ p["recur"].T + back[t]) * ~new[t]
-        order = np.argsort(flat_codes, kind="stable")
+            parts[t] *= later
+            later *= z[t]
+            later += p["recur"] @ parts[t, :3].reshape(3 * HIDDEN, streams)
+            later += back[t]
+            later *= keep[t]
+        grad["recur"][:] = np.matmul(before, parts[:, :3].reshape(length, 3 * HIDDEN, streams).transpose(0, 2, 1)).sum(axis=0)
+        grad["shift"][:] = parts[:, 2].sum(axis=(0, 2))
+        order = np.argsort(flat_codes.astype(np.uint16) if shape.dtype == "<u2" else flat_codes, kind="stable")
         ranked = flat_codes[order]
         firsts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        grad["embed"][ranked[firsts]] = np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], firsts)
-        inner_grad = inner_grad.reshape(-1, 3 * HIDDEN)
-        grad["recur"][:] = before.reshape(-1, HIDDEN).T @ inner_grad
-        grad["shift"][:] = inner_grad[:, 2 * HIDDEN:].sum(axis=0)
-        gradient /= len(used)
-        np.clip(gradient, -1, 1, out=gradient)
-        squares += gradient * gradient
-        flat -= rate * gradient / np.sqrt(squares)
+        inputs = np.empty((length, streams, 3 * HIDDEN), np.float32)
+        inputs[:, :, :2 * HIDDEN] = parts[:, :2].reshape(length, 2 * HIDDEN, streams).transpose(0, 2, 1)
+        inputs[:, :, 2 * HIDDEN:] = parts[:, 3].transpose(0, 2, 1)
+        met = ranked[firsts]
+        sums = np.add.reduceat(np.take(inputs.reshape(-1, 3 * HIDDEN), order, axis=0), firsts)
+        own = past["embed"][met]
+        p["embed"][met] -= stepped(sums, own)
+        past["embed"][met] = own
+        flat[dense] -= stepped(gradient[dense], squares[dense])
     return flat, seen
 
 

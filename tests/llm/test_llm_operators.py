@@ -883,3 +883,46 @@ def test_every_plain_letter_is_encoded_as_the_library_does():
     plain = [chr(c) for c in (*range(0xC0, 0x100),)]
     text = " ".join([*plain, *(f"a{x}b{x}" for x in plain), "".join(x for x in plain if x not in "×÷")])
     assert np.frombuffer(encode_texts(WORD_BPE, [text.encode()], 1)[0], "<u4").tolist() == library_ids(text, 1)
+
+
+def test_gated_lm_learns_along_its_gradient():
+    """The squares of the first step are those of the gradient through all steps of a document, of every kind of parameter."""
+    rng = np.random.default_rng(6)
+    flat = gated_lm.initial(small_vocabulary())
+    flat[:] += rng.normal(0, 0.1, len(flat)).astype(np.float32)
+    doc = rng.choice([3, 40, 700, 1023, 1026], 20).astype("<u2")
+    squares = np.full(len(flat), 1e-30, np.float32)
+    gated_lm.learn(flat, [doc[:12], doc[12:]], squares=squares)
+    found, total = gated_lm.views(np.sqrt(squares)), lambda x: gated_lm.log_likelihoods(x, [doc[:12], doc[12:]]).sum() / len(doc)
+    for name in ("embed", "recur", "shift", "class_w", "class_b", "word_w", "word_b"):
+        at = np.unravel_index(np.argmax(found[name]), found[name].shape)
+        up, down = flat.copy(), flat.copy()
+        gated_lm.views(up)[name][at] += 0.02
+        gated_lm.views(down)[name][at] -= 0.02
+        assert np.isclose(abs(total(up) - total(down)) / 0.04, found[name][at], rtol=0.02), name
+    assert not np.sqrt(squares[:3 * gated_lm.HIDDEN]).max() > 1e-14  # a code that is not met teaches nothing
+
+
+def test_gated_lm_scores_documents_abreast_in_blocks(monkeypatch):
+    rng = np.random.default_rng(7)
+    flat = gated_lm.initial(small_vocabulary())
+    docs = [rng.integers(0, 1030, n).astype("<u2") for n in (1, 9, 0, 30, 30, 4, 17, 90)]
+    whole = gated_lm.log_likelihoods(flat, docs)
+    monkeypatch.setattr(gated_lm, "ABREAST", 3)
+    assert np.allclose(gated_lm.log_likelihoods(flat, docs), whole, rtol=1e-5) and whole[2] == 0
+
+
+def test_softmax_of_large_scores():
+    scores = np.array([[300.0, 0.0], [0.0, -300.0], [1.0, 1.0]], np.float32)
+    logs, totals = gated_lm._softmax(scores, np.array([1, 1, 0]))
+    assert np.allclose(logs, [-300, -300, -np.log(2)]) and np.isfinite(totals).all()
+
+
+def test_words_by_block():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 300):
+        blocks, sizes = rng.integers(0, 1 + n // 4, n), rng.integers(1, 9, n)
+        tokens = rng.integers(0, 30, sizes.sum()).astype(np.uint64)
+        of = np.repeat(blocks, sizes)
+        found = {block: words.tolist() for block, words in gated_lm.words_by_block(blocks, sizes, tokens)}
+        assert found == {block: np.unique(tokens[of == block]).tolist() for block in np.unique(blocks).tolist()}
