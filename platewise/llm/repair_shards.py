@@ -30,6 +30,7 @@ from platewise.llm.wordbpe import encode_texts, texts_of
 SHARD = 1 << 20
 SCHEMA = ("part int, shard int, start long, n_tokens long, doc_ids array<long>, doc_tokens binary, doc_symbols binary, "
           "base int, n_rules int, n_symbols long, bits int, length_bits int, rules binary, lengths binary, symbols binary")
+TEXTS = 1 << 21  # bytes of texts encoded at a time: the more, the fewer distinct words are looked up
 SLOT_BITS = 18  # counts of slots that stay near the core
 USES, STEP = 3, 4
 
@@ -57,11 +58,26 @@ def frequent(symbols: np.ndarray, last: np.ndarray, enough: int, since: int = 0)
     else:
         slot = slots(symbols[:-1], symbols[1:])
         at = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= enough)[slot] & ~last[:-1])
-    keys = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
-    pairs, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    left, right = symbols[at].astype(np.uint64), symbols[at + 1]
+    wide, far = bits_for(int(symbols.max()) + 1), bits_for(len(symbols))
+    if 2 * wide + far > 64:
+        pairs, back, counts = np.unique((left << np.uint64(32)) | right, return_inverse=True, return_counts=True)
+        good = counts >= enough
+        chosen = good[back]
+        return at[chosen], (np.cumsum(good) - 1)[back[chosen]], pairs[good]
+    # pair and place in one number: sorting values is far cheaper than sorting their order
+    keys = (((left << np.uint64(wide)) | right) << np.uint64(far)) | at.astype(np.uint64)
+    keys.sort()
+    pairs = keys >> np.uint64(far)
+    firsts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
+    counts = np.diff(firsts, append=len(pairs))
     good = counts >= enough
-    chosen = good[back]
-    return at[chosen], (np.cumsum(good) - 1)[back[chosen]], pairs[good]
+    pairs, counts = pairs[firsts[good]], counts[good]
+    places = keys[np.repeat(good, np.diff(firsts, append=len(keys)))] & np.uint64((1 << far) - 1)
+    both = (places << np.uint64(32)) | np.repeat(np.arange(len(pairs), dtype=np.uint64), counts)
+    both.sort()
+    pairs = ((pairs >> np.uint64(wide)) << np.uint64(32)) | (pairs & np.uint64((1 << wide) - 1))
+    return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64), pairs
 
 
 def compress(ids: np.ndarray, last: np.ndarray, share: int = 4096, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -99,21 +115,29 @@ def compress(ids: np.ndarray, last: np.ndarray, share: int = 4096, least: int =
     return (*worthwhile(symbols, last, rules, base), base)
 
 
+def levels(rules: np.ndarray, base: int) -> list[slice]:
+    """Runs of rules none of which stands in a rule of its own run, in order."""
+    latest = rules.max(axis=1).astype(np.int64) - base if len(rules) else np.zeros(0, np.int64)
+    out, start = [], 0
+    while start < len(latest):
+        later = np.flatnonzero(latest[start:] >= start)
+        stop = start + int(later[0]) if len(later) else len(latest)
+        out.append(slice(start, stop))
+        start = stop
+    return out
+
+
 def worthwhile(symbols: np.ndarray, last: np.ndarray, rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Without the rules that stand in the symbols alone and fewer than ``USES`` times: those cost what they save."""
-    uses = np.bincount(symbols[symbols >= base] - base, minlength=len(rules)).tolist()
-    needed, pairs = [False] * len(rules), rules.astype(np.int64) - base
-    for r, (left, right) in zip(range(len(rules) - 1, -1, -1), pairs[::-1].tolist()):
-        if needed[r] or uses[r] >= USES:
-            needed[r] = True
-            for child in (left, right):
-                if child >= 0:
-                    needed[child] = True
-        else:
-            for child in (left, right):
-                if child >= 0:
-                    uses[child] += uses[r]
-    kept = np.array(needed, bool)
+    uses = np.bincount(symbols[symbols >= base] - base, minlength=len(rules))
+    kept, pairs = np.zeros(len(rules), bool), rules.astype(np.int64) - base
+    for own in reversed(levels(rules, base)):
+        kept[own] |= uses[own] >= USES
+        needed = kept[own]
+        inner = pairs[own][needed].ravel()
+        kept[inner[inner >= 0]] = True
+        inner, more = pairs[own][~needed].ravel(), np.repeat(uses[own][~needed], 2)
+        np.add.at(uses, inner[inner >= 0], more[inner >= 0])
     while True:
         gone = np.zeros(len(symbols), bool)
         ruled = symbols >= base
@@ -146,10 +170,11 @@ def unpack_bits(data: bytes, bits: int, count: int) -> np.ndarray:
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each nonterminal expands to."""
-    out: list[int] = []
-    for left, right in rules.tolist():
-        out.append((out[left - base] if left >= base else 1) + (out[right - base] if right >= base else 1))
-    return np.array(out, np.uint32)
+    out = np.ones(len(rules) + 1, np.int64)  # the last place is that of any id
+    inner = np.maximum(rules.astype(np.int64) - base, -1)
+    for own in levels(rules, base):
+        out[own] = out[inner[own]].sum(axis=1)
+    return out[:-1].astype(np.uint32)
 
 
 class Grammar:
@@ -219,7 +244,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, tex
     @T.tidy
     def encode(batches):
         for batch in batches:
-            for piece in T.slices(batch, 1):
+            for piece in T.slices(batch, 1, TEXTS):
                 encoded = encode_texts(tokenizer, texts_of(piece.column(1)), end)
                 found = [np.frombuffer(x, "<u4") for x in encoded]
                 small = [x.max() < 1 << 16 for x in found]

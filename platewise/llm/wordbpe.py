@@ -185,9 +185,9 @@ def _encode_words(path: str, words: list[bytes], known: dict[bytes, bytes]) -> i
 
         for word in words:
             text = word.decode()
-            if text.isascii() and text.isalpha():
+            if word.isalpha():  # of bytes: letters of ASCII alone
                 if word not in known:
-                    known[word] = merged(text)
+                    known[word] = array("I", map(number, tokenize(text))).tobytes()
                 continue
             if LETTERS.fullmatch(text):
                 if word not in known:

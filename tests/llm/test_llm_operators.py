@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -926,3 +927,38 @@ def test_words_by_block():
         of = np.repeat(blocks, sizes)
         found = {block: words.tolist() for block, words in gated_lm.words_by_block(blocks, sizes, tokens)}
         assert found == {block: np.unique(tokens[of == block]).tolist() for block in np.unique(blocks).tolist()}
+
+
+def test_frequent_pairs_of_small_and_of_large_symbols():
+    """Pair and place in one number where they fit 64 bits, and apart where they do not, find the same."""
+    rng = np.random.default_rng(9)
+    for size in (2, 40, 3000):
+        ids, last = rng.integers(0, 6, size).astype(np.uint32), rng.random(size) < 0.1
+        for enough, since in ((1, 0), (4, 0), (4, 3)):
+            at, number, pairs = repair_shards.frequent(ids, last, enough, since)
+            expected = collections.defaultdict(list)
+            for i in range(size - 1):
+                if not last[i] and max(ids[i], ids[i + 1]) >= since:
+                    expected[int(ids[i]), int(ids[i + 1])].append(i)
+            expected = {k: x for k, x in expected.items() if len(x) >= enough}
+            assert [(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in pairs] == sorted(expected)
+            assert at.tolist() == sorted(itertools.chain(*expected.values()))
+            assert all(i in expected[int(pairs[n]) >> 32, int(pairs[n]) & 0xFFFFFFFF] for i, n in zip(at.tolist(), number.tolist()))
+            shift = np.uint32(1 << 31)
+            wide = repair_shards.frequent(ids + shift, last, enough, since + (1 << 31) if since else 0)
+            assert np.array_equal(wide[0], at) and np.array_equal(wide[1], number)
+
+
+def test_levels_of_rules_are_those_of_one_by_one():
+    rng = np.random.default_rng(10)
+    ids = rng.integers(0, 4, 5000).astype(np.uint32)
+    last = np.arange(5000) == 4999
+    rules, base = repair_shards.compress(ids, last)[2:]
+    runs = repair_shards.levels(rules, base)
+    assert len(runs) > 1 and [r.start for r in runs] + [len(rules)] == [0] + [r.stop for r in runs]
+    assert all((rules[r] < base + r.start).all() for r in runs)
+    lengths = []
+    for left, right in rules.tolist():
+        lengths.append(sum(lengths[x - base] if x >= base else 1 for x in (left, right)))
+    assert repair_shards.rule_lengths(rules, base).tolist() == lengths
+    assert repair_shards.levels(np.zeros((0, 2), np.uint32), 4) == [] and not len(repair_shards.rule_lengths(np.zeros((0, 2), np.uint32), 4))
