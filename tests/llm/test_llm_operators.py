@@ -337,6 +337,52 @@ def test_voronoi_regions_find_what_all_pairs_find(spark, monkeypatch, crowd_byte
     assert 6 <= len({find(i) for i in range(len(sets))}) < 60
 
 
+def test_all_widespread_shingles_are_told(spark):
+    """17 texts share 270,000 shingles: were some taken for rare ones, each would make a large region."""
+    common = " ".join(f"w{i}" for i in range(270_000))
+    table = spark.createDataFrame([(i, f"{common} own{i}") for i in range(17)], "doc_id long, text string").repartition(4)
+    total = 17 * 269_997
+    hot, bits = jaccard_join.widespread(table, total)
+    regions = jaccard_join.plain_regions(table, hot, bits, total, 5, 75)
+    assert regions.filter(F.size("members") > jaccard_join.SMALL).count() == 0
+
+
+def test_rarer_ones_of_widespread_shingles_come_first(spark):
+    """Half of each text is a line of all 200 texts, half a passage of 20: regions are made by the passages."""
+    line = " ".join(f"line{i}" for i in range(64))
+    table = spark.createDataFrame(
+        [(i, f"{line} | {i} | " + " ".join(f"p{i % 10}x{k}" for k in range(64))) for i in range(200)], "doc_id long, text string")
+    hot, bits = jaccard_join.widespread(table, 200 * 126)
+    regions = jaccard_join.hot_rows(table, hot, bits, 5, 75).groupBy("region").count().collect()
+    assert 10 <= len(regions) and max(r["count"] for r in regions) < 100
+
+
+def test_texts_that_share_one_shingle_are_not_compared(spark, monkeypatch):
+    """Ten texts of eight words with one run of five in common, and a copy of each with a word more."""
+    texts = [f"a{i} a b c d e b{i} c{i}" for i in range(10)]
+    texts += [f"{t} more" for t in texts]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(jaccard_join, "SMALL", 30)
+    monkeypatch.setattr(jaccard_join, "likely", lambda docs, classes, pairs, *args: seen.append(pairs.count()) or pairs)
+    found = dict((r[0], r[2]) for r in jaccard_join.link_components(table).collect())
+    assert found == {i: i % 10 for i in range(20)}
+    assert seen == [10]
+
+
+@pytest.mark.parametrize("percent", [50, 67, 90])
+def test_jaccard_join_of_few_words_at_any_limit(spark, percent):
+    """Sets of one to nine shingles, where the prefixes of linked sets are shortest."""
+    rng = np.random.default_rng(percent)
+    rows = [(i, " ".join(f"w{w}" for w in range(s, s + n))) for i, (s, n) in enumerate(
+        zip(rng.integers(0, 40, 120).tolist(), rng.integers(1, 14, 120).tolist()))]
+    _, groups = brute_components(rows, percent)
+    expected = {i: min(members) for members in groups.values() for i in members}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_join.link_components(table, percent=percent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
+
+
 def test_sketches_never_rule_out_a_link():
     rng = np.random.default_rng(2)
     for n in (1, 2, 5, 40, 700, 5000):
