@@ -358,16 +358,16 @@ def test_rarer_ones_of_widespread_shingles_come_first(spark):
 
 
 def test_texts_that_share_one_shingle_are_not_compared(spark, monkeypatch):
-    """Ten texts of eight words with one run of five in common, and a copy of each with a word more."""
-    texts = [f"a{i} a b c d e b{i} c{i}" for i in range(10)]
+    """100 texts of eight words, five each with one run of five in common, and a copy of each with a word more."""
+    texts = [f"a{i} r{i % 20} b c d e b{i} c{i}" for i in range(100)]
     texts += [f"{t} more" for t in texts]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     seen = []
     monkeypatch.setattr(jaccard_join, "SMALL", 30)
     monkeypatch.setattr(jaccard_join, "likely", lambda docs, classes, pairs, *args: seen.append(pairs.count()) or pairs)
     found = dict((r[0], r[2]) for r in jaccard_join.link_components(table).collect())
-    assert found == {i: i % 10 for i in range(20)}
-    assert seen == [10]
+    assert found == {i: i % 100 for i in range(200)}
+    assert seen == [100]
 
 
 @pytest.mark.parametrize("percent", [50, 67, 90])
